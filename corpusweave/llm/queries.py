@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, quality_rules, sharding
+from . import chat, decontaminate, mixing, near_dedup, quality_rules, sharding
 from .sql import SQL
 from .store import documents
 
@@ -34,6 +34,10 @@ def op8_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                        chat.spans_text(F.col("chosen_mask")).alias("chosen_mask"), "rejected", chat.spans_text(F.col("rejected_mask")).alias("rejected_mask"))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), k=3, similarity=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
