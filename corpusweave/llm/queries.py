@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_id, mixing, near_dedup, quality_crf, quality_rules, sharding, token_files
+from . import chat, decontaminate, language_id, mixing, near_dedup, quality_crf, quality_rules, sharding, suffix_dedup, token_files
 from .sql import SQL
 from .store import documents
 
@@ -39,6 +39,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_passages(documents(spark, sf_dir))
+
+
 def op8_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = chat.format_pairs(chat.reply_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
     return done.select(F.col("pair_id").alias("conv_id"), F.col("prompt_turns").cast("long").alias("prompt_turns"), "prompt", "chosen",
