@@ -35,7 +35,7 @@ LENGTH = 50
 GRAM = 24
 SIDE = LENGTH - GRAM
 NO_ID = 2**63 - 1
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 1 << 20
 _MIX = np.random.default_rng(50).integers(1, 2**63, 2 * SIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
