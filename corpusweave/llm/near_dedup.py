@@ -4,8 +4,8 @@
    stopped early once later ranks cannot lower any component. Equal sets are one node from here on.
 2. Signatures are cut into bands; nodes with a common band are candidates. In each bucket every node is compared
    with the least one only, on the full sets; verified links give first components.
-3. Buckets that still hold several components are searched once more for pairs between components. Signatures, which
-   miss a true link with a chance below 1e-10, choose the pairs, and full sets decide.
+3. Buckets that still hold several components are searched once more for links between components, in tiles of bounded
+   size. Signatures, which miss a true link with a chance below 1e-10, choose the pairs, and full sets decide.
 4. Verified links are merged (union-find as star contraction on tables).
 
 No pair inside a component found so far is made, so large groups of copies cost their size. A set is identified by
@@ -181,26 +181,71 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> Dat
     return both.select("u", "v", "pu", "pv").mapInArrow(run, "u long, v long")
 
 
-def between(bucketed: DataFrame, similarity: int) -> DataFrame:
-    """bucketed(key, node, root, brief) -> pairs of nodes of one bucket and different roots whose signatures are near enough."""
+TILE = 2048
+
+
+def tiled(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows(key, node, ...), counts(key, n) -> the same with block, low and high: buckets of over ``TILE`` nodes are cut
+    into blocks, and each pair of blocks is a group of its own, so no task holds a whole bucket."""
+    cut = rows.join(counts, "key").withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    return (cut.select("*", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("n", "blocks", "other"))
+
+
+def between(tiles: DataFrame, k: int, similarity: int) -> DataFrame:
+    """Verified links between different roots in a tile of (key, node, root, brief, bands, packed): at most one per root less one.
+
+    Signatures choose the pairs, a pair is looked at in the first band it shares, full sets decide, and pairs that are
+    connected by then are passed over.
+    """
     need = SIGNATURE * max(similarity - 25, 0) // 100
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
+        block = table.column("block").to_numpy()
+        lone = block[0] == block[-1] and (block == block[0]).all()
         brief = np.frombuffer(b"".join(table.column("brief").to_pylist()), np.uint8).reshape(len(node), SIGNATURE)
-        names, of, size = np.unique(root, return_inverse=True, return_counts=True)
-        order = np.argsort(size[of], kind="stable")
-        node, of, brief = node[order], of[order], brief[order]
+        band = np.array(table.column("bands").to_pylist(), np.int64)
+        here = band == key[0].as_py()
+        first = here.argmax(axis=1)
+        unpack = zstandard.ZstdDecompressor()
+        sets, at = shingle_sets(pa.array([unpack.decompress(x) for x in table.column("packed").to_pylist()], pa.large_binary()), k)
+        names, of = np.unique(root, return_inverse=True)
+        parent = list(range(len(names)))
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
         us, vs = [], []
-        for i in np.flatnonzero(of != of[-1]).tolist():
+        size = np.diff(at)
+        for i in range(len(node) - 1):
             rest = slice(i + 1, None)
-            near = i + 1 + np.flatnonzero((of[rest] != of[i]) & ((brief[rest] == brief[i]).sum(axis=1) >= need))
-            us.append(np.full(len(near), node[i]))
-            vs.append(node[near])
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
-
-    return bucketed.groupBy("key").applyInArrow(run, "u long, v long")
+            far = of[rest] != of[i]
+            if not lone:
+                far &= block[rest] != block[i]
+            far &= 100 * np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i])
+            j = i + 1 + np.flatnonzero(far)
+            if len(j):
+                j = j[(brief[j] == brief[i]).sum(axis=1) >= need]
+            if len(j) and first[i]:
+                j = j[~(band[j, :first[i]] == band[i, :first[i]]).any(axis=1)]
+            x = sets[at[i]:at[i + 1]]
+            for o in j.tolist():
+                a, b = find(of[i]), find(of[o])
+                if a == b:
+                    continue
+                y = sets[at[o]:at[o + 1]]
+                common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                if 100 * common >= similarity * (len(x) + len(y) - common):
+                    parent[a] = b
+                    us.append(node[i])
+                    vs.append(node[o])
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return tiles.groupBy("key", "low", "high").applyInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
@@ -211,15 +256,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
     bucketed = materialize(keyed.join(shared.select("key", "u"), "key").select("key", "node", "u").distinct(), "buckets")
     stars = materialize(bucketed.where("node <> u").select("u", F.col("node").alias("v")).distinct(), "stars")
     near = bucketed.select("node").distinct()
-    texts = materialize(rows.where("node IS NOT NULL").select("node", "packed", "brief").join(near, "node", "left_semi")
-                        .groupBy("node").agg(F.first("packed").alias("packed"), F.first("brief").alias("brief")), "texts")
+    texts = materialize(rows.where("node IS NOT NULL").select("node", "packed", "brief", "bands").join(near, "node", "left_semi")
+                        .groupBy("node").agg(F.first("packed").alias("packed"), F.first("brief").alias("brief"), F.first("bands").alias("bands")), "texts")
     links = materialize(verified(stars, texts, k, similarity), "links")
     roots = components(links)
     named = bucketed.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_ = named.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("most")).where("r < most").select("key")
-    named = named.join(open_, "key", "left_semi").join(texts.select("node", "brief"), "node")
-    more = between(named, similarity).distinct().join(stars, ["u", "v"], "left_anti")
-    late = materialize(verified(more, texts, k, similarity), "links")
+    open_ = named.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("most"), F.count("*").alias("n")).where("r < most").select("key", "n")
+    late = materialize(between(tiled(named, open_).join(texts, "node"), k, similarity), "links")
     if late.limit(1).count():
         roots = components(links.unionByName(late))
     ids = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
