@@ -1,0 +1,200 @@
+"""Parsers of bibliographies, source code and catalogues (SRC4-SRC10, F3, F19, F20, G1, G4), as plain functions and as DataFrame scans."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def balanced(text: str, start: int) -> int:
+    """Place after the brace that closes the one at ``start``; the end where none does. Escaped braces don't count."""
+    depth, i = 0, start
+    while i < len(text):
+        if text[i] == "\\":
+            i += 2
+            continue
+        depth += {"{": 1, "}": -1}.get(text[i], 0)
+        i += 1
+        if depth == 0:
+            return i
+    return len(text)
+
+
+def bib_entries(text: str) -> Iterator[dict]:
+    """type, key and lower-case fields of each BibTeX entry; comments, preambles and strings are passed over (SRC6)."""
+    for m in re.finditer(r"@(\w+)\s*\{", text):
+        kind = m[1].lower()
+        if kind in ("comment", "preamble", "string"):
+            continue
+        body = text[m.end():balanced(text, m.end() - 1) - 1]
+        key, _, rest = body.partition(",")
+        fields, at = {}, 0
+        while f := re.compile(r"\s*,?\s*([\w-]+)\s*=\s*").match(rest, at):
+            at = f.end()
+            if rest[at:at + 1] == "{":
+                end = balanced(rest, at)
+                value = rest[at + 1:end - 1]
+            elif rest[at:at + 1] == '"':
+                end, depth = at + 1, 0
+                while end < len(rest) and (rest[end] != '"' or depth):
+                    depth += {"{": 1, "}": -1}.get(rest[end], 0)
+                    end += 1
+                value, end = rest[at + 1:end], end + 1
+            else:
+                end = at + len(re.match(r"[^,]*", rest[at:])[0])
+                value = rest[at:end].strip()
+            fields[f[1].lower()], at = value, end
+        yield {"type": kind, "key": key.strip(), "fields": fields}
+
+
+def plain_tex(text: str) -> str:
+    """TeX as text; mathematics between dollar signs is kept as it is."""
+    math: list[str] = []
+
+    def hold(m: re.Match) -> str:
+        math.append(m[0])
+        return f"\x00{len(math) - 1}\x00"
+
+    x = re.sub(r"\$[^$]*\$", hold, text or "")
+    x = re.sub(r"\\(?:href\s*\{[^{}]*\}|url\s*\{[^{}]*\})", "", x)
+    x = re.sub(r"\\[`'^\"~=.](?:\{(\w)\}|(\w))", lambda m: m[1] or m[2], x)
+    x = re.sub(r"\\(?:begin|end)\s*\{[^{}]*\}", " ", x)
+    x = re.sub(r"\\(?:emph|textbf|textit|texttt|textsc|em|bf|it|rm|sc|tt|newblock)\b", " ", x)
+    x = re.sub(r"\\([A-Za-z]+)", r"\1", x)
+    x = x.replace("~", " ").replace("--", "–").replace("{", "").replace("}", "").replace("\\", "")
+    x = re.sub(r"\x00(\d+)\x00", lambda m: math[int(m[1])], x)
+    return " ".join(x.split())
+
+
+def uncommented_tex(text: str) -> str:
+    return re.sub(r"(?<!\\)%[^\n]*", "", text)
+
+
+def bib_items(text: str) -> Iterator[dict]:
+    """key, raw, citation and url of each item of a bibliography list; citations under 20 characters are left out (SRC7)."""
+    text = uncommented_tex(text)
+    marks = list(re.finditer(r"\\bibitem\s*(?:\[[^\]]*\])?\s*\{([^}]*)\}", text))
+    for m, after in zip(marks, [*marks[1:], None], strict=True):
+        raw = text[m.end():after.start() if after else len(text)].split(r"\end{thebibliography}")[0]
+        citation = plain_tex(raw)
+        if len(citation) >= 20:
+            url = re.search(r"\\(?:href|url)\s*\{([^{}]*)\}", raw)
+            yield {"key": m[1].strip(), "raw": raw.strip(), "citation": citation, "url": url[1] if url else ""}
+
+
+def cite_keys(text: str) -> list[str]:
+    """Keys of all citing commands, in order."""
+    found = re.findall(r"\\[A-Za-z]*cite[A-Za-z]*\*?\s*(?:\[[^\]]*\]\s*)*\{([^}]*)\}", uncommented_tex(text))
+    return [k.strip() for x in found for k in x.split(",") if k.strip()]
+
+
+def strip_comments(text: str) -> str:
+    """Source without nested block comments and line comments; newlines stay, strings are respected (SRC9)."""
+    out, i, depth = [], 0, 0
+    while i < len(text):
+        two = text[i:i + 2]
+        if depth:
+            if two == "/-":
+                depth, i = depth + 1, i + 2
+            elif two == "-/":
+                depth, i = depth - 1, i + 2
+            else:
+                out.append("\n" if text[i] == "\n" else "")
+                i += 1
+        elif two == "/-":
+            depth, i = 1, i + 2
+        elif two == "--":
+            end = text.find("\n", i)
+            i = len(text) if end < 0 else end
+        elif text[i] == '"':
+            m = re.compile(r'"(?:\\.|[^"\\])*"?', re.S).match(text, i)
+            out.append(m[0])
+            i = m.end()
+        else:
+            out.append(text[i])
+            i += 1
+    return "".join(out)
+
+
+def imports(text: str) -> list[str]:
+    """Modules imported, each once, in order of name (G1)."""
+    lines = re.findall(r"^\s*(?:public\s+)?import\s+(.+)$", strip_comments(text), re.M)
+    return sorted({m for line in lines for m in line.split()})
+
+
+_HEAD = re.compile(r"^\s*(?:@\[[^\]]*\]\s*)?(?:(?:private|protected|noncomputable|partial|unsafe)\s+)*(theorem|lemma|def|abbrev|structure|inductive|class|instance|axiom|opaque)\s+([^\s:({\[]+)")
+_SCOPE = re.compile(r"^\s*(?:noncomputable\s+)?(namespace|section|end)\b[ \t]*([^\s]*)")
+
+
+def declarations(text: str, module: str) -> list[dict]:
+    """Qualified name, module, line and text up to the next head of each declaration."""
+    lines, stack, found = strip_comments(text).split("\n"), [], []
+    for n, line in enumerate(lines, 1):
+        if m := _SCOPE.match(line):
+            if m[1] == "end":
+                if stack:
+                    stack.pop()
+            else:
+                stack.append(m[2] if m[1] == "namespace" else "")
+        elif m := _HEAD.match(line):
+            name = m[2].removeprefix("_root_.") if m[2].startswith("_root_.") else ".".join([*(s for s in stack if s), m[2]])
+            found.append({"name": name, "module": module, "line": n})
+    for d, after in zip(found, [*found[1:], None], strict=True):
+        d["text"] = "\n".join(lines[d["line"] - 1:after["line"] - 1 if after else len(lines)]).strip()
+    return found
+
+
+def source_slice(text: str, start_line: int, start_column: int, end_line: int, end_column: int) -> str:
+    """Text between two places, lines from 1 and columns from 0, in code points (SRC10)."""
+    lines = text.split("\n")[start_line - 1:end_line]
+    if not lines:
+        return ""
+    lines[-1] = lines[-1][:end_column]
+    lines[0] = lines[0][start_column:]
+    return "\n".join(lines)
+
+
+def catalogue(text: str) -> list[dict]:
+    """id, title and links of each ``**NNN. title**`` entry (SRC4)."""
+    marks = list(re.finditer(r"\*\*(\d{3})\. (.+?)\*\*", text))
+    out = []
+    for m, after in zip(marks, [*marks[1:], None], strict=True):
+        body = text[m.end():after.start() if after else len(text)]
+        out.append({"id": m[1], "title": m[2].strip(), "links": re.findall(r"\]\(([^)\s]+)\)", body)})
+    return out
+
+
+def subjects(files: DataFrame, section: str, item: str) -> DataFrame:
+    """files(path, text) -> path, item, subject: the most recent section before each item (SRC5)."""
+    from pyspark.sql import Window
+
+    every = files.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(f"{section}|{item}"), F.lit(0))).alias("pos", "m"))
+    order = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    marked = every.withColumns({"subject": F.last(F.nullif(F.regexp_extract("m", section, 1), F.lit("")), True).over(order), "item": F.regexp_extract("m", item, 1)})
+    return marked.where("item <> ''").select("path", "item", "subject")
+
+
+def scan_bibliographies(files: DataFrame) -> DataFrame:
+    """files(path, text) -> one row per BibTeX entry or list item."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, text in zip(pdf["path"], pdf["text"], strict=True):
+                for e in bib_entries(text or "") if path.endswith(".bib") else ():
+                    f = e["fields"]
+                    rows.append((path, e["key"], plain_tex(f.get("title", "")), plain_tex(f.get("author", "")), f.get("year", ""), " ".join(plain_tex(v) for v in f.values()), f.get("doi", ""), f.get("eprint", ""), f.get("url", "")))
+                for e in () if path.endswith(".bib") else bib_items(text or ""):
+                    rows.append((path, e["key"], "", "", "", e["citation"], "", "", e["url"]))
+            yield pd.DataFrame(rows, columns=["path", "key", "title", "authors", "year", "citation", "doi", "arxiv", "url"])
+
+    return files.mapInPandas(run, "path string, key string, title string, authors string, year string, citation string, doi string, arxiv string, url string")
+
+
+def read_texts(spark, path: str, glob: str) -> DataFrame:
+    """Whole files below a folder (SRC2): path, text."""
+    return (spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
