@@ -64,7 +64,7 @@ def quotas(blocks: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
     b = b.withColumn("place", F.row_number().over(order) - 1).withColumn("upto", F.sum("words").over(order))
     size = F.greatest(F.col("source_size"), F.lit(1))
     b = b.withColumn("passes", F.floor(F.col("target") / size).cast("int")).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    whole = F.col("upto") <= F.col("rest")
+    whole = (F.col("upto") <= F.col("rest")) & (F.col("passes") < MOST)
     cut = ~whole & (F.col("upto") - F.col("words") < F.col("rest"))
     return b.select("source", "rank", "source_size", "target", "block", "words", "place", (F.col("passes") + whole.cast("int")).alias("copies"),
                     F.when(cut, F.col("rest") - (F.col("upto") - F.col("words"))).otherwise(F.lit(0.0)).alias("owed"))
@@ -187,8 +187,8 @@ def mix(docs: DataFrame, n_shards: int = SHARDS, seed: int = 7) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it. Texts are read in place: only a table of ids and counts is joined."""
-    counts = mix_counts(docs, seed).select(F.col("doc_id").alias("m_id"), "size", F.col("source").alias("m_source"), "copies")
-    counts = materialize(counts.groupBy("m_id", "m_source", "size").agg(F.max("copies").alias("copies")).where("copies > 0"), "mix-counts")
-    joined = docs.withColumn("m_words", word_count(F.col("text")))
-    at = joined["doc_id"].eqNullSafe(counts["m_id"]) & joined["source"].eqNullSafe(counts["m_source"]) & (joined["m_words"] == counts["size"])
-    return joined.join(counts, at).withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(joined[c] for c in docs.columns))
+    counts = mix_counts(docs.select("doc_id", "source", "text"), seed).select(F.col("doc_id").alias("__mix_id"), "size", F.col("source").alias("__mix_source"), "copies")
+    counts = materialize(counts.groupBy("__mix_id", "__mix_source", "size").agg(F.max("copies").alias("copies")).where("copies > 0"), "mix-counts")
+    joined = docs.withColumn("__mix_words", word_count(F.col("text")))
+    at = joined["doc_id"].eqNullSafe(counts["__mix_id"]) & joined["source"].eqNullSafe(counts["__mix_source"]) & (joined["__mix_words"] == counts["size"])
+    return joined.join(counts, at).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), counts["copies"]))).select(*(joined[c] for c in docs.columns))

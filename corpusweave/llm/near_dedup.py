@@ -276,5 +276,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
 
 def deduplicated(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    gone = materialize(near_duplicates(docs, k, similarity).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    gone = materialize(near_duplicates(docs, k, similarity).where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")

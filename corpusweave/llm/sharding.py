@@ -99,7 +99,8 @@ def place_documents(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS)
 
 
 def assign_shards(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS) -> DataFrame:
-    """All columns of ``docs`` plus ``shard`` and ``virtual_slot``; texts are not shuffled."""
+    """All columns of ``docs`` plus ``shard`` and ``virtual_slot``, which replace columns of these names; texts are not shuffled."""
+    docs = docs.drop("shard", "virtual_slot")
     tagged = docs.withColumn("virtual_slot", virtual_slot(F.col("doc_id"), F.col("text"), n_slots))
     totals = slot_totals(tagged.select("virtual_slot", size_bytes(F.col("text")).alias("size")))
     places = latest(stored_map(totals, n_shards, n_slots)).select("virtual_slot", "shard")
