@@ -144,7 +144,11 @@ def plan(docs: DataFrame, seed: int = 7, n_blocks: int = BLOCKS) -> tuple[DataFr
 
 def fill(tagged: DataFrame, rounds: int = FILL_ROUNDS) -> DataFrame:
     """Cut blocks: documents in key order as long as they fit what is owed; each round tries those that did not fit before."""
-    kept = tagged.where(F.col("owed") <= 0).drop("owed")
+    return tagged.where(F.col("owed") <= 0).drop("owed").unionByName(fill_cut(tagged, rounds))
+
+
+def fill_cut(tagged: DataFrame, rounds: int = FILL_ROUNDS) -> DataFrame:
+    """The rows of cut blocks, one block a source, with their copies."""
     cut = tagged.where(F.col("owed") > 0).withColumn("extra", F.lit(0))
     part = Window.partitionBy("source", "block")
     for _ in range(rounds):
@@ -153,7 +157,7 @@ def fill(tagged: DataFrame, rounds: int = FILL_ROUNDS) -> DataFrame:
         upto = F.sum(F.when(can, F.col("size")).otherwise(F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
         cut = cut.withColumn("now", F.when(can & (upto <= F.col("owed")), F.lit(1)).otherwise(F.lit(0)))
         cut = cut.withColumn("owed", F.col("owed") - F.sum(F.col("now") * F.col("size")).over(part)).withColumn("extra", F.col("extra") + F.col("now")).drop("now")
-    return kept.unionByName(cut.withColumn("copies", F.col("copies") + F.col("extra")).drop("owed", "extra"))
+    return cut.withColumn("copies", F.col("copies") + F.col("extra")).drop("owed", "extra")
 
 
 def mix_counts(docs: DataFrame, seed: int = 7) -> DataFrame:
@@ -185,10 +189,20 @@ def mix(docs: DataFrame, n_shards: int = SHARDS, seed: int = 7) -> DataFrame:
     return taken.join(seats, at).select("doc_id", "source", "size", "copy", "out_shard", uniform(F.lit(seed + 3), F.col("doc_id"), F.col("copy")).alias("order_key"))
 
 
-def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it. Texts are read in place: only a table of ids and counts is joined."""
-    counts = mix_counts(docs.select("doc_id", "source", "text"), seed).select(F.col("doc_id").alias("__mix_id"), "size", F.col("source").alias("__mix_source"), "copies")
-    counts = materialize(counts.groupBy("__mix_id", "__mix_source", "size").agg(F.max("copies").alias("copies")).where("copies > 0"), "mix-counts")
-    joined = docs.withColumn("__mix_words", word_count(F.col("text")))
-    at = joined["doc_id"].eqNullSafe(counts["__mix_id"]) & joined["source"].eqNullSafe(counts["__mix_source"]) & (joined["__mix_words"] == counts["size"])
-    return joined.join(counts, at).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), counts["copies"]))).select(*(joined[c] for c in docs.columns))
+def mixed_documents(docs: DataFrame, seed: int = 7, n_blocks: int = BLOCKS) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    A document's block says how often it is taken, and the table of blocks has a row per source and block, so texts stay
+    where they are read. Only documents of the cut blocks, one block a source, are joined by id.
+    """
+    tagged, blocks = plan(docs.select("doc_id", "source", "text"), seed, n_blocks)
+    b = blocks.select(F.col("source").alias("__mix_source"), F.col("block").alias("__mix_block"), F.col("copies").alias("__mix_copies"), (F.col("owed") > 0).alias("__mix_cut"))
+    placed = docs.withColumn("__mix_at", (uniform(F.lit(seed), F.col("doc_id")) % n_blocks).cast("int"))
+    placed = placed.join(b, placed["source"].eqNullSafe(b["__mix_source"]) & (placed["__mix_at"] == b["__mix_block"]))
+    counts = fill_cut(tagged).groupBy(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_from"), F.col("size").alias("__mix_size")).agg(F.max("copies").alias("__mix_taken"))
+    counts = materialize(counts.where("__mix_taken > 0"), "mix-counts")
+    cut = placed.where("__mix_cut").withColumn("__mix_words", word_count(F.col("text")))
+    cut = cut.join(counts, cut["doc_id"].eqNullSafe(counts["__mix_id"]) & cut["source"].eqNullSafe(counts["__mix_from"]) & (cut["__mix_words"] == counts["__mix_size"]))
+    whole = placed.where("NOT __mix_cut AND __mix_copies > 0").withColumn("__mix_taken", F.col("__mix_copies"))
+    each = F.explode(F.sequence(F.lit(1), F.col("__mix_taken"))).alias("__mix_copy")
+    return whole.select(*docs.columns, each).unionByName(cut.select(*docs.columns, each)).drop("__mix_copy")
