@@ -10,6 +10,7 @@ from urllib.parse import unquote
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def search_text(value: str) -> str:
@@ -18,12 +19,12 @@ def search_text(value: str) -> str:
     return flat.lower().replace("π", "pi")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def search_normalize(s: pd.Series) -> pd.Series:
     return s.map(search_text, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
