@@ -49,60 +49,82 @@ def project(v: Column, basis) -> Column:
     return normalize(F.array(*(dot(v, r) for r in rows)))
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Top k of each row by rounded score, then id; the row's own id is left out."""
-    scores = np.round(scores, 6)
-    scores[own[:, None] == ids[None, :]] = -np.inf
-    n = min(k, len(ids))
-    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :n]
-    row = np.repeat(np.arange(len(own)), n)
-    top = scores[row, order.ravel()]
-    fine = np.isfinite(top)
-    return row[fine], ids[order.ravel()[fine]], top[fine]
+def _matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
-def _matrix(column) -> np.ndarray:
-    return np.asarray(column.to_pylist(), float).reshape(len(column), -1)
+def _vectors(items: DataFrame, *more: str) -> DataFrame:
+    return items.where("vector IS NOT NULL").select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), *more)
 
 
-def knn(items: DataFrame, k: int = 8) -> DataFrame:
-    """items(id, vector) -> id, rank, neighbor, score: exact cosine neighbours of unit vectors; null vectors are in no list (V3, O1)."""
-    items = items.where("vector IS NOT NULL").select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
-    spark = items.sparkSession
+def _against(rows: DataFrame, items: DataFrame, work, out: str) -> DataFrame:
+    """``work(part, items)`` on parts of ``rows`` against all ``items``: sent whole where that is small, else tile by tile."""
     n, width = items.agg(F.count("*"), F.max(F.size("vector"))).first()
-    out = "id long, neighbor long, score double"
     if 8 * n * (width or 0) <= BROADCAST_BYTES:
-        table = items.toArrow()
-        sent = spark.sparkContext.broadcast((table.column("id").to_numpy(), _matrix(table.column("vector"))))
+        context = items.sparkSession.sparkContext
+        sent = context.broadcast(items.toArrow())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix = sent.value
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    own = part.column("id").to_numpy()
-                    row, near, score = _best(ids, _matrix(part.column("vector")) @ matrix.T, own, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(near), pa.array(score)], names=["id", "neighbor", "score"])
-
-        best = items.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, out)
-    else:
-        tiles = -(-n // TILE)
-        block = F.pmod(F.xxhash64("id"), F.lit(tiles))
-        every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-        a = items.select(block.alias("a"), every.alias("b"), F.lit(0).alias("side"), "id", "vector")
-        b = items.select(every.alias("a"), block.alias("b"), F.lit(1).alias("side"), "id", "vector")
-
-        def tile(table: pa.Table) -> pa.Table:
-            side, ids, m = table.column("side").to_numpy(), table.column("id").to_numpy(), _matrix(table.column("vector"))
-            own, ids2 = ids[side == 0], ids[side == 1]
-            if not len(own) or not len(ids2):
-                return pa.table({"id": pa.array([], pa.int64()), "neighbor": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-            row, near, score = _best(ids2, m[side == 0] @ m[side == 1].T, own, k)
-            return pa.table({"id": own[row], "neighbor": near, "score": score})
-
-        best = a.unionAll(b).groupBy("a", "b").applyInArrow(tile, out)
+                    yield from work(pa.Table.from_batches([batch.slice(at, 512)]), sent.value).to_batches()
+
+        return rows.repartition(context.defaultParallelism).mapInArrow(run, out)
+    tiles = -(-n // TILE)
+    block, every = F.pmod(F.xxhash64("id"), F.lit(tiles)), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    left = rows.select(block.cast("int").alias("__a"), every.alias("__b"), "*").groupBy("__a", "__b")
+    right = items.select(every.alias("__a"), block.cast("int").alias("__b"), "*").groupBy("__a", "__b")
+    return left.cogroup(right).applyInArrow(work, out)
+
+
+def knn(items: DataFrame, k: int = 8, apart: str | None = None) -> DataFrame:
+    """items(id, vector) -> id, rank, neighbor, score: exact cosine neighbours of unit vectors; null vectors are in no list (V3, O1).
+
+    With ``apart``, a column of items, rows that have the same value there are not neighbours of each other (W4).
+    """
+    items = _vectors(items, *([apart] if apart else []))
+
+    def best(part: pa.Table, every: pa.Table) -> pa.Table:
+        own, ids = part.column("id").to_numpy(), every.column("id").to_numpy()
+        if not len(own) or not len(ids):
+            return pa.table({"id": pa.array([], pa.int64()), "neighbor": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        scores = np.round(_matrix(part.column("vector")) @ _matrix(every.column("vector")).T, 6)
+        scores[own[:, None] == ids[None, :]] = -np.inf
+        if apart:
+            scores[part.column(apart).to_numpy()[:, None] == every.column(apart).to_numpy()[None, :]] = -np.inf
+        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+        row = np.repeat(np.arange(len(own)), order.shape[1])
+        top = scores[row, order.ravel()]
+        fine = np.isfinite(top)
+        return pa.table({"id": own[row[fine]], "neighbor": ids[order.ravel()[fine]], "score": top[fine]})
+
+    found = _against(items, items, best, "id long, neighbor long, score double")
     order = Window.partitionBy("id").orderBy(F.desc("score"), "neighbor")
-    return best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("id", "rank", "neighbor", "score")
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("id", "rank", "neighbor", "score")
+
+
+def ranks(items: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(id, neighbor) -> id, neighbor, rank: a pair's place in the id's ranking of all others.
+
+    Each block of items tells how many of them come before the pair; the counts add up, so no ranking is ever made.
+    """
+    items = _vectors(items)
+    near = items.select(F.col("id").alias("neighbor"), F.col("vector").alias("near"))
+    asked = wanted.select("id", "neighbor").distinct().join(items, "id").join(near, "neighbor").select("id", "neighbor", "vector", "near")
+
+    def before(part: pa.Table, every: pa.Table) -> pa.Table:
+        own, ids, other = part.column("id").to_numpy(), every.column("id").to_numpy(), part.column("neighbor").to_numpy()
+        n = np.zeros(len(own), np.int64)
+        if len(own) and len(ids):
+            v = _matrix(part.column("vector"))
+            mine = np.round((v * _matrix(part.column("near"))).sum(axis=1), 6)[:, None]
+            scores = np.round(v @ _matrix(every.column("vector")).T, 6)
+            first = (scores > mine) | ((scores == mine) & (ids[None, :] < other[:, None]))
+            n = (first & (ids[None, :] != own[:, None]) & (ids[None, :] != other[:, None])).sum(axis=1)
+        return pa.table({"id": own, "neighbor": other, "n": n})
+
+    return _against(asked, items, before, "id long, neighbor long, n long").groupBy("id", "neighbor").agg((F.sum("n") + 1).alias("rank"))
 
 
 def mean_vectors(rows: DataFrame, key: str) -> DataFrame:
@@ -112,11 +134,6 @@ def mean_vectors(rows: DataFrame, key: str) -> DataFrame:
     return long.join(length, key).where(F.col("length") > TINY).select(key, F.col("pos").cast("long").alias("pos"), F.round(F.col("x") / F.col("length"), 6).alias("value"))
 
 
-def ranked(items: DataFrame, k: int | None = None) -> DataFrame:
-    """Every item's whole ranking of all others: for audits of small collections."""
-    return knn(items, k or items.count())
-
-
 def procrustes(points: DataFrame) -> DataFrame:
     """points(id, x, y, rx, ry) -> id, x, y: centred, scaled to unit RMS, turned and where better mirrored on the reference.
 

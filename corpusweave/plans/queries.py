@@ -34,6 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- coupling: families are customers, works are parts ---------------------------------------------------------------
 
 def _families(spark, d, rare: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``rare`` keeps returned lines of urgent orders: only then some families have no neighbour."""
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
     if rare:
         o, li = o.where("o_orderpriority = '1-URGENT'"), li.where("l_returnflag = 'R'")
@@ -54,9 +55,9 @@ def coupling_topk(spark, d):
     return coupling.neighbors(coupling.pairs(*_families(spark, d)))
 
 
-@query(f"WITH {_RARE} SELECT * FROM s")
+@query(f"WITH {_ALL} SELECT * FROM s")
 def coupling_pairs(spark, d):
-    return coupling.pairs(*_families(spark, d, True))
+    return coupling.pairs(*_families(spark, d))
 
 
 @query(f"WITH {_ALL} SELECT work, df, round(idf, 6) AS idf FROM i")
@@ -70,9 +71,9 @@ def coupling_isolates(spark, d):
     return coupling.isolates(edges, families, coupling.pairs(edges, families))
 
 
-@query(f"WITH {_RARE}, k AS (SELECT family, count(*) AS works FROM e GROUP BY family) SELECT (SELECT count(*) FROM s) AS pairs, (SELECT count(*) FROM (SELECT work FROM e GROUP BY work HAVING count(*) > 1)) AS shared_works, (SELECT string_agg(family::VARCHAR, ',' ORDER BY works DESC, family) FROM (SELECT * FROM k ORDER BY works DESC, family LIMIT 10)) AS largest")
+@query(f"WITH {_ALL}, k AS (SELECT family, count(*) AS works FROM e GROUP BY family) SELECT (SELECT count(*) FROM s) AS pairs, (SELECT count(*) FROM (SELECT work FROM e GROUP BY work HAVING count(*) > 1)) AS shared_works, (SELECT string_agg(family::VARCHAR, ',' ORDER BY works DESC, family) FROM (SELECT * FROM k ORDER BY works DESC, family LIMIT 10)) AS largest")
 def coupling_report(spark, d):
-    edges, families = _families(spark, d, True)
+    edges, families = _families(spark, d)
     edges = edges.distinct()
     big = edges.groupBy("family").agg(F.count("*").alias("works")).orderBy(F.desc("works"), "family").limit(10)
     largest = big.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("works")).alias("w"), "family"))), lambda x: x["family"].cast("string")), ",").alias("largest"))
@@ -111,23 +112,24 @@ def knn_lens_projected(spark, d):
 
 @query(f"WITH {_V}, f AS (SELECT id, nb, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, nb) AS r FROM c WHERE la <> lb) SELECT id AS a, nb AS b, score FROM f WHERE r = 1 AND id < nb ORDER BY score DESC, a LIMIT 12")
 def nearest_other_subject(spark, d):
-    items = _items(spark, d)
-    near = vectors.ranked(items.select("id", "vector"))
-    lab = items.select("id", "label")
-    far = near.join(lab, "id").join(lab.select(F.col("id").alias("neighbor"), F.col("label").alias("other")), "neighbor").where("label <> other")
-    first = far.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "neighbor"))).where("r = 1 AND id < neighbor")
-    return first.select(F.col("id").alias("a"), F.col("neighbor").alias("b"), "score").orderBy(F.desc("score"), "a").limit(12)
+    items = _items(spark, d).select("id", "vector", "label")
+    near = vectors.knn(items, 1, apart="label").where("id < neighbor")
+    return near.select(F.col("id").alias("a"), F.col("neighbor").alias("b"), "score").orderBy(F.desc("score"), "a").limit(12)
 
 
-_CONCEPT = "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT id AS concept, v AS q FROM v WHERE id < 36), s AS (SELECT id, concept, list_inner_product(v, q) AS s FROM v, q), m AS (SELECT concept, avg(s) AS mean FROM s GROUP BY concept)"
+
+_CONCEPT = "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label::BIGINT AS label FROM embeddings), l AS (SELECT label, unnest(v) AS x, unnest(range(64)) AS pos FROM v), e AS (SELECT label, pos, avg(x) AS x FROM l GROUP BY ALL), q AS (SELECT label AS concept, list(x ORDER BY pos) AS q FROM e GROUP BY label), s AS (SELECT id, concept, list_inner_product(v, q) / sqrt(list_inner_product(q, q)) AS s FROM v, q), m AS (SELECT concept, avg(s) AS mean FROM s GROUP BY concept)"
 
 
 def _concepts(spark, d) -> DataFrame:
-    items = _items(spark, d).select("id", "vector")
-    # 36 concepts at any input size
-    some = items.where("id < 36").select(F.col("id").alias("concept"), F.col("vector").alias("q"))
-    s = items.crossJoin(F.broadcast(some)).select("id", "concept", vectors.dot(F.col("vector"), F.col("q")).alias("s"))
-    return s.join(F.broadcast(s.groupBy("concept").agg(F.avg("s").alias("mean"))), "concept")
+    """A concept is the mean direction of a label; all of them are one row, an array with an entry per label."""
+    items = _items(spark, d)
+    means = items.select("label", F.posexplode("vector").alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("x"))
+    means = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("q"))
+    every = means.agg(F.collect_list(F.struct(F.col("label").alias("concept"), "q")).alias("concepts"))
+    s = items.crossJoin(F.broadcast(every)).select("id", "vector", F.explode("concepts").alias("c"))
+    s = s.select(F.col("c.concept").alias("concept"), "id", (vectors.dot(F.col("vector"), F.col("c.q")) / vectors.norm(F.col("c.q"))).alias("s"))
+    return s.join(s.groupBy("concept").agg(F.avg("s").alias("mean")), "concept")
 
 
 @query(f"{_CONCEPT} SELECT concept, id, round(s, 6) AS score, round(s - mean, 6) AS delta FROM s JOIN m USING (concept)")
@@ -140,6 +142,14 @@ def concept_extent(spark, d):
     return analysis.empirical_quantile(_concepts(spark, d).select(F.round(F.abs(F.col("s") - F.col("mean")), 6).alias("x")), "x", 98, 100)
 
 
+@query(f"{_CONCEPT}, r AS (SELECT concept AS label, id, round(s, 6) AS score, row_number() OVER (PARTITION BY concept ORDER BY round(s, 6) DESC, id) AS rank FROM s JOIN v USING (id) WHERE label = concept) SELECT label, id, score, rank FROM r WHERE rank <= 4")
+def representatives(spark, d):
+    """The four items of each label nearest to its mean direction."""
+    own = _concepts(spark, d).join(_items(spark, d).select("id", "label"), "id").where("label = concept").select("label", "id", F.round("s", 6).alias("score"))
+    order = Window.partitionBy("label").orderBy(F.desc("score"), "id")
+    return own.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 4")
+
+
 @query("WITH l AS (SELECT label::BIGINT AS label, unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS pos FROM embeddings), m AS (SELECT label, pos, avg(x) AS x FROM l GROUP BY ALL), s AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY label) SELECT label, pos, round(x / n, 6) AS value FROM m JOIN s USING (label)")
 def module_mean_vectors(spark, d):
     return vectors.mean_vectors(_items(spark, d), "label")
@@ -150,17 +160,17 @@ _TWO = "u AS (SELECT id, v[1:{n}] AS v FROM v), c2 AS (SELECT a.id, b.id AS nb,
 
 @query(f"WITH {_V}, {_TWO.format(n=32)} SELECT k.id, k.nb AS neighbor, k2.rank AS rank_a FROM k JOIN k2 ON k.id = k2.id AND k.nb = k2.nb WHERE k.rank = 1")
 def rank_audit(spark, d):
-    a = vectors.ranked(_items(spark, d, 32).select("id", "vector")).select("id", "neighbor", F.col("rank").alias("rank_a"))
-    return vectors.knn(_items(spark, d).select("id", "vector"), 1).select("id", "neighbor").join(a, ["id", "neighbor"])
+    first = vectors.knn(_items(spark, d).select("id", "vector"), 1)
+    return vectors.ranks(_items(spark, d, 32), first).withColumnRenamed("rank", "rank_a")
 
 
 @query(f"WITH {_V}, {_TWO.format(n=2)}, n AS (SELECT count(*) AS n FROM v) SELECT round(1 - 2.0::DOUBLE * sum(greatest(k.rank - 10, 0))::DOUBLE / (max(n) * 10 * (2 * max(n) - 31)), 6) AS trustworthiness, round(count(*) FILTER (k.rank <= 10) / (max(n) * 10)::DOUBLE, 6) AS recall FROM k2 JOIN k ON k.id = k2.id AND k.nb = k2.nb, n WHERE k2.rank <= 10")
 def trustworthiness(spark, d):
     items = _items(spark, d)
-    high = vectors.ranked(items.select("id", "vector")).select("id", "neighbor", F.col("rank").alias("high"))
-    low = vectors.knn(_items(spark, d, 2).select("id", "vector"), 10).select("id", "neighbor")
+    low = vectors.knn(_items(spark, d, 2).select("id", "vector"), 10)
+    high = vectors.ranks(items, low).withColumnRenamed("rank", "high")
     n = items.agg(F.count("*").alias("n"))
-    x = low.join(high, ["id", "neighbor"]).agg(F.sum(F.greatest(F.col("high") - 10, F.lit(0))).alias("p"), F.count_if(F.col("high") <= 10).alias("same")).crossJoin(n)
+    x = high.agg(F.sum(F.greatest(F.col("high") - 10, F.lit(0))).alias("p"), F.count_if(F.col("high") <= 10).alias("same")).crossJoin(n)
     return x.select(F.round(1 - 2.0 * F.col("p") / (F.col("n") * 10 * (2 * F.col("n") - 31)), 6).alias("trustworthiness"), F.round(F.col("same") / (F.col("n") * 10), 6).alias("recall"))
 
 
@@ -211,11 +221,11 @@ def faceted_search(spark, d):
     return search.lexical_search(_catalogue(spark, d), search.parse_query("subject:src1 lean:yes tion"))
 
 
-@query("WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT v AS q FROM v WHERE id = 0), l AS (SELECT doc_id AS id, 0::BIGINT AS part, 0.0::DOUBLE AS score FROM documents WHERE source = 'src1' AND doc_id < 40), s AS (SELECT id, 1::BIGINT AS part, round(list_inner_product(v, q), 6) AS score FROM v, q ORDER BY score DESC, id LIMIT 20) SELECT * FROM l UNION ALL SELECT * FROM s WHERE id NOT IN (SELECT id FROM l)")
+@query("WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT v AS q FROM v WHERE id = 0), l AS (SELECT doc_id AS id, 0::BIGINT AS part, 0.0::DOUBLE AS score FROM documents WHERE source = 'src1'), s AS (SELECT id, 1::BIGINT AS part, round(list_inner_product(v, q), 6) AS score FROM v, q ORDER BY score DESC, id LIMIT 20) SELECT * FROM l UNION ALL SELECT * FROM s WHERE id NOT IN (SELECT id FROM l)")
 def combined_search(spark, d):
     items = _items(spark, d).select("id", "vector", F.lit("").alias("title"))
     vector = items.where("id = 0").first()["vector"]
-    lexical = table(spark, d, "documents").where("source = 'src1' AND doc_id < 40").select(F.col("doc_id").alias("id"), F.lit(0).alias("score"))
+    lexical = table(spark, d, "documents").where("source = 'src1'").select(F.col("doc_id").alias("id"), F.lit(0).alias("score"))
     return search.combine(lexical, search.semantic_search(items, vector, []))
 
 
@@ -339,9 +349,9 @@ def _records(spark, d) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("record"), blank.alias("title"), blank.alias("authors"), blank.alias("year"), F.col("text").alias("citation"), blank.alias("raw"), blank.alias("doi"), blank.alias("arxiv"), blank.alias("url"), F.array("source").alias("families"))
 
 
-@query("WITH k AS (SELECT array_to_string(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+'), ' ') AS k, doc_id, source FROM documents WHERE lang = 'en') SELECT min(doc_id) AS first_record, count(*) AS records, count(DISTINCT source) AS families FROM k GROUP BY k")
+@query("WITH k AS (SELECT array_to_string(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+'), ' ') AS k, doc_id, source FROM documents) SELECT min(doc_id) AS first_record, count(*) AS records, count(DISTINCT source) AS families FROM k GROUP BY k")
 def resolve_entities(spark, d):
-    w = resolve.resolve(_records(spark, d).join(table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("record")), "record", "left_semi"))
+    w = resolve.resolve(_records(spark, d))
     return w.select(F.array_min("records").alias("first_record"), F.size("records").cast("long").alias("records"), F.size("families").cast("long").alias("families"))
 
 
@@ -357,14 +367,14 @@ def _tree(spark, d) -> DataFrame:
     return table(spark, d, "part").where("p_partkey > 1").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).cast("long").alias("dst"))
 
 
-@query(f"WITH RECURSIVE {_TREE}, c AS (SELECT p_partkey AS root, p_partkey AS node, 0::BIGINT AS depth FROM part WHERE p_partkey % 50 = 0 UNION SELECT root, dst, depth + 1 FROM c JOIN e ON src = node) SELECT root, node, min(depth) AS depth FROM c GROUP BY root, node")
+@query(f"WITH RECURSIVE {_TREE}, c AS (SELECT p_partkey AS root, p_partkey AS node, 0::BIGINT AS depth FROM part UNION SELECT root, dst, depth + 1 FROM c JOIN e ON src = node) SELECT root, node, min(depth) AS depth FROM c GROUP BY root, node")
 def closure(spark, d):
-    return graph.closure(_tree(spark, d), table(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("root")))
+    return graph.closure(_tree(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("root")))
 
 
-@query(f"WITH {_TREE}, s AS (SELECT DISTINCT l_partkey AS node FROM lineitem WHERE l_orderkey % 7 = 0), a AS (SELECT node, 0::BIGINT AS depth FROM s UNION ALL SELECT dst, 1 FROM s JOIN e ON src = node UNION ALL SELECT f.dst, 2 FROM s JOIN e ON e.src = node JOIN e f ON f.src = e.dst) SELECT node, min(depth) AS depth FROM a GROUP BY node")
+@query(f"WITH {_TREE}, s AS (SELECT DISTINCT l_partkey AS node FROM lineitem WHERE l_returnflag = 'R'), a AS (SELECT node, 0::BIGINT AS depth FROM s UNION ALL SELECT dst, 1 FROM s JOIN e ON src = node UNION ALL SELECT f.dst, 2 FROM s JOIN e ON e.src = node JOIN e f ON f.src = e.dst) SELECT node, min(depth) AS depth FROM a GROUP BY node")
 def two_hop_expand(spark, d):
-    return graph.two_hops(_tree(spark, d), table(spark, d, "lineitem").where("l_orderkey % 7 = 0").select(F.col("l_partkey").alias("node")).distinct())
+    return graph.two_hops(_tree(spark, d), table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("node")).distinct())
 
 
 @query("WITH dcl AS (SELECT p_type || '.' || p_brand || '.' || p_name AS name, replace(p_type, ' ', '.') AS m FROM part), n AS (SELECT DISTINCT replace(replace(replace(name, ' ', '_'), '#', ''), '-', '_') AS name, replace(m, '.', '_') AS m FROM dcl), x AS (SELECT name, m, array_to_string((string_split(name, '.'))[i:], '.') AS tok FROM n, range(1, 10) r(i) WHERE i <= len(string_split(name, '.'))), t AS (SELECT DISTINCT m, (string_split(name, '.'))[-1] AS token FROM n) SELECT t.m AS module, t.token, CASE WHEN count(*) = 1 THEN min(x.name) END AS name, count(*) AS candidates FROM t JOIN x ON x.tok = t.token AND x.m = t.m GROUP BY ALL")
@@ -411,12 +421,13 @@ def patch_upsert(spark, d):
     return table(spark, d, "part").join(patch, "p_partkey", "left").select("p_partkey", F.coalesce("new_name", "p_name").alias("name"), "p_size")
 
 
-@query("WITH t AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]{5,}')), lambda x: x <> 'ening') AS w FROM benchmark), s AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.w, b.w)) AS n FROM t a JOIN t b ON a.item_id <> b.item_id WHERE a.item_id < 10) SELECT a, b, n AS overlap, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS rank FROM s")
+@query("WITH t AS (SELECT conv_id, turn, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]{5,}')), lambda x: x <> 'ening') AS w FROM conversations), h AS (SELECT conv_id, min(turn) AS turn FROM t GROUP BY conv_id), f AS (SELECT t.conv_id, t.w AS wf FROM t JOIN h USING (conv_id, turn)), s AS (SELECT t.conv_id, t.turn, len(list_intersect(wf, w)) AS overlap FROM t JOIN f USING (conv_id)) SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY overlap DESC, turn) AS rank FROM s")
 def reference_reorder(spark, d):
-    t = table(spark, d, "benchmark").select("item_id", tx.title_terms(F.col("text"), ("ening",)).alias("w"))
-    ten = F.broadcast(t.where("item_id < 10").select(F.col("item_id").alias("a"), F.col("w").alias("wa")))  # ten items
-    s = t.join(ten, F.col("a") != F.col("item_id")).select("a", F.col("item_id").alias("b"), F.size(F.array_intersect("wa", "w")).cast("long").alias("overlap"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("overlap"), "b")).cast("long"))
+    """A conversation's turns by the terms they share with its first one."""
+    t = table(spark, d, "conversations").select("conv_id", "turn", tx.title_terms(F.col("text"), ("ening",)).alias("w"))
+    first = t.groupBy("conv_id").agg(F.min_by("w", "turn").alias("wf"))
+    s = t.join(first, "conv_id").select("conv_id", "turn", F.size(F.array_intersect("wf", "w")).cast("long").alias("overlap"))
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("overlap"), "turn")).cast("long"))
 
 
 # --- requests --------------------------------------------------------------------------------------------------------
