@@ -74,7 +74,8 @@ def _against(rows: DataFrame, items: DataFrame, work, out: str) -> DataFrame:
     tiles = -(-n // TILE)
     block, every = F.pmod(F.xxhash64("id"), F.lit(tiles)), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
     left = rows.select(block.cast("int").alias("__a"), every.alias("__b"), "*").groupBy("__a", "__b")
-    right = items.select(every.alias("__a"), block.cast("int").alias("__b"), "*").groupBy("__a", "__b")
+    # Aliases tell the two sides apart where both come from one table.
+    right = items.select(every.alias("__a"), block.cast("int").alias("__b"), *(F.col(c).alias(c) for c in items.columns)).groupBy("__a", "__b")
     return left.cogroup(right).applyInArrow(work, out)
 
 

@@ -27,7 +27,7 @@ def rows(df):
     return sorted(map(repr, df[c].astype(object).where(df[c].notna(), None).values.tolist()))
 
 
-@pytest.mark.parametrize("name", ["coupling_topk", "coupling_isolates", "shared_works_evidence", "knn_cosine_top8", "knn_lens_projected", "trustworthiness", "procrustes_align", "lexical_search",
+@pytest.mark.parametrize("name", ["coupling_topk", "coupling_isolates", "shared_works_evidence", "knn_cosine_top8", "knn_lens_projected", "trustworthiness", "rank_audit", "nearest_other_subject", "representatives", "reference_reorder", "procrustes_align", "lexical_search",
                                   "combined_search", "token_chunks", "tfidf_keywords", "resolve_entities", "closure", "owner_reuse", "glossary_tags", "visits_report", "streaming_page_counts"])
 def test_query_matches_sql(spark, duck, name):
     ours, theirs = QUERIES[name](spark, DATA).toPandas(), duck.sql(SQL[name]).df()
@@ -48,6 +48,23 @@ def test_coupling_prefers_rare_works_and_ignores_duplicates(spark):
     assert [r.score for r in one] == [round(1 / 3, 6)]
 
 
+def test_neighbours_and_ranks_are_the_same_in_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(90, 6))
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).round(2)
+    items = spark.createDataFrame([(i, x.tolist(), i % 4) for i, x in enumerate(v)] + [(200, None, 0)], "id long, vector array<double>, label int")
+    score = np.round(v @ v.T, 6)
+    order = {i: sorted((j for j in range(90) if j != i), key=lambda j: (-score[i, j], j)) for i in range(90)}
+    for limit, tile in ((vectors.BROADCAST_BYTES, vectors.TILE), (0, 32)):
+        monkeypatch.setattr(vectors, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(vectors, "TILE", tile)
+        near = vectors.knn(items, 5)
+        assert {(r.id, r["rank"]): r.neighbor for r in near.collect()} == {(i, n + 1): j for i, o in order.items() for n, j in enumerate(o[:5])}
+        assert {r.id: r.neighbor for r in vectors.knn(items, 1, apart="label").collect()} == {i: next(j for j in o if j % 4 != i % 4) for i, o in order.items()}
+        asked = spark.createDataFrame([(i, (i * 7 + 1) % 90) for i in range(90) if (i * 7 + 1) % 90 != i], "id long, neighbor long")
+        assert all(order[r.id].index(r.neighbor) + 1 == r["rank"] for r in vectors.ranks(items, asked).collect())
+
+
 def test_lens_basis():
     rng = np.random.default_rng(0)
     basis, share = vectors.lens_basis(rng.normal(size=(6, 10)).tolist())
