@@ -91,22 +91,30 @@ def test_sketch_buckets_keep_order_and_precision(spark):
     assert (v.b <= v.id).all() and ((v.id - v.b) <= v.id / 500).all() and v.b.is_monotonic_increasing
 
 
+def brute_hits(text, items):
+    """Word count, hit words and items with an occurring window."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    words, hit, ids = split(text), set(), set()
+    for i, t in items:
+        w = split(t)
+        n = min(13, len(w))
+        windows = {tuple(w[j:j + n]) for j in range(len(w) - n + 1)} if w else set()
+        for j in range(len(words) - n + 1):
+            if tuple(words[j:j + n]) in windows:
+                hit |= set(range(j, j + n))
+                ids.add(str(i))
+    return len(words), len(hit), ids
+
+
 def test_decontamination(spark, docs, empty):
     text = [r.text for r in docs.orderBy("doc_id").collect() if r.text and len(r.text) > 300]
     items = [(1, " ".join(re.findall(r"\w+", text[4])[5:25])), (2, "no such words " * 9), (3, None), (4, "..."), (5, "12 34"), (6, text[7].upper()), (6, text[9][:150])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.find_contamination(docs, bench).collect()
-    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
-    windows = [(str(i), w[j:j + n]) for i, t in items if (w := split(t)) for n in [min(13, len(w))] for j in range(len(w) - n + 1)]
     by_id = {r.doc_id: r.text for r in docs.collect()}
     for r in got:
-        w, hit, ids = split(by_id[r.doc_id]), set(), set()
-        for i, win in windows:
-            for j in range(len(w) - len(win) + 1):
-                if w[j:j + len(win)] == win:
-                    hit |= set(range(j, j + len(win)))
-                    ids.add(i)
-        want = (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+        words, hit, ids = brute_hits(by_id[r.doc_id], items)
+        want = (words, hit, len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), hit > 0 and 20 * hit >= words)
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == want
     assert decontaminate.clean_documents(docs, bench).count() == sum(not r.contaminated for r in got)
     assert decontaminate.clean_documents(docs, bench).columns == docs.columns
@@ -164,22 +172,25 @@ def test_simple8b():
         assert (simple8b.from_image(simple8b.to_image(np.array([7]), np.array([n]), v))[2] == v).all()
 
 
-def test_mix(docs, empty):
-    got = mixing.mix_counts(docs).toPandas()
-    assert len(got) == docs.count() and mixing.mix_counts(empty).count() == 0 and got.copies.max() <= 2
-    sizes = Counter()
-    for r in docs.collect():
-        sizes[r.source] += len(spaced(r.text))
+def fair_targets(sizes):
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
     target, open_, left = {}, set(sizes), 1.5 * sum(sizes.values())
     while True:
         part = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
         over = {s for s in open_ if part[s] > 2 * sizes[s]}
         if not over:
-            target |= part
-            break
+            return target | part
         target |= {s: 2.0 * sizes[s] for s in over}
         left, open_ = left - sum(2 * sizes[s] for s in over), open_ - over
+
+
+def test_mix(docs, empty):
+    got = mixing.mix_counts(docs).toPandas()
+    assert len(got) == docs.count() and mixing.mix_counts(empty).count() == 0 and got.copies.max() <= 2
+    sizes = Counter()
+    for r in docs.collect():
+        sizes[r.source] += len(spaced(r.text))
+    target = fair_targets(sizes)
     for r in got.itertuples():
         assert abs(r.target - target[r.source]) < 1e-6 and r.source_size == sizes[r.source]
     again = mixing.mix_counts(docs.repartition(7)).toPandas()
@@ -292,14 +303,57 @@ def test_stored_tables_use_the_session_folder(spark):
     assert store.materialize(spark.range(3), "t").count() == 3
 
 
-def test_pipeline_keeps_columns(spark, tmp_path, docs):
+def test_pipeline_stages_match_brute_force(spark, tmp_path, docs):
+    """Each stage is judged on its own input; the language model's verdicts are taken as given."""
     import corpus_pipeline
 
-    docs.where("doc_id IS NOT NULL").distinct().drop("size", "key").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, "no such benchmark words at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = corpus_pipeline.run(spark, str(tmp_path))
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "virtual_slot"] and got.count() > 20
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontaminate", "mix", "shard"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontaminate", "mix", "shard"] and corpus_pipeline.ORACLE_SQL is None
+    table = docs.where("doc_id IS NOT NULL").distinct().drop("size", "key")
+    text = {r.doc_id: r.text for r in table.collect()}
+    planted = " ".join(re.findall(r"\w+", text[10])[8:38])
+    bench = [(1, "no such benchmark words at all"), (2, planted)]
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    outs = {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        outs[name] = now.collect()
+        assert now.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and all(r.text == text[r.doc_id] for r in outs[name])
+    ids = {name: sorted(r.doc_id for r in x) for name, x in outs.items()}
+
+    verdict = {r.doc_id: r.rejected for r in language_id.identify(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    assert ids["language_id"] == sorted(i for i, gone in verdict.items() if not gone)
+    assert not any(not any(c.isalpha() for c in text[i] or "") for i in ids["language_id"])
+
+    left = ids["language_id"]
+    _, root = brute_groups([(i, text[i]) for i in left], 5, 80)
+    groups = {}
+    for i, r in zip(left, root, strict=True):
+        groups.setdefault(r, []).append(i)
+    assert ids["near_dedup"] == sorted(map(min, groups.values())) and len(groups) < len(left)
+
+    judged = {i: brute_hits(text[i], bench) for i in ids["near_dedup"]}
+    assert ids["decontaminate"] == [i for i, (n, hit, _) in judged.items() if not (hit and 20 * hit >= n)] and 10 not in ids["decontaminate"]
+
+    source = {r.doc_id: r.source for r in outs["decontaminate"]}
+    size, copies = {i: len(spaced(text[i])) for i in source}, Counter(ids["mix"])
+    assert set(copies) <= set(source) and max(copies.values()) <= 2
+    totals, taken = Counter(), Counter()
+    for i, s in source.items():
+        totals[s] += size[i]
+        taken[s] += copies[i] * size[i]
+    for s, goal in fair_targets(totals).items():
+        assert goal - max(size[i] for i in source if source[i] == s) <= taken[s] <= goal + 1e-6
+
+    assert ids["shard"] == ids["mix"] and all(0 <= r.shard < 24 for r in outs["shard"])
+    place = {}
+    for r in outs["shard"]:
+        assert place.setdefault(r.virtual_slot, r.shard) == r.shard
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert whole.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "virtual_slot"]
+    assert Counter((r.doc_id, r.shard) for r in whole.collect()) == Counter((r.doc_id, r.shard) for r in outs["shard"])
 
 
 def test_words_of_long_spans():
