@@ -119,3 +119,27 @@ def ramp(delta: Column, extent: float, low: tuple[int, int, int], mid: tuple[int
     t = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), delta / extent))
     part = lambda m, lo, hi: F.lpad(F.hex(F.floor(m + (F.when(t < 0, F.lit(lo)).otherwise(F.lit(hi)) - m) * F.abs(t) + 0.5)), 2, "0")
     return F.lower(F.concat(F.lit("#"), *(part(m, lo, hi) for m, lo, hi in zip(mid, low, high, strict=True))))
+
+
+def escape_markup(c: Column) -> Column:
+    """The five characters that markup reserves, as entities."""
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        c = F.replace(c, F.lit(raw), F.lit(entity))
+    return c
+
+
+def encode_path(c: Column) -> Column:
+    """Each segment of a path percent-encoded, slashes kept (F16)."""
+    return F.array_join(F.transform(F.split(c, "/"), lambda x: F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))), "/")
+
+
+def normal_path(c: Column) -> Column:
+    """A relative path without empty and ``.`` segments, each ``..`` taking the segment before it; ``.`` for nothing."""
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, x: Column) -> Column:
+        up = (F.size(done) > 0) & (F.element_at(done, -1) != "..")
+        return F.when(x.isin("", "."), done).when((x == "..") & up, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.array_append(done, x))
+
+    path = F.array_join(F.aggregate(F.split(c, "/"), none, step), "/")
+    return F.when(path == "", ".").otherwise(path)

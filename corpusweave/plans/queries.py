@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 from ..functions import text as tx
-from ..operators import analysis, coupling, graph, resolve, search, vectors
+from ..operators import analysis, catalog, coupling, graph, resolve, search, vectors
 from ..streaming import counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -430,6 +430,76 @@ def reference_reorder(spark, d):
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("overlap"), "turn")).cast("long"))
 
 
+# --- catalogue upkeep and display data --------------------------------------------------------------------------------
+
+@query("WITH e AS (SELECT event_id AS id, user_id AS client, event_type AS name, props[1:100] AS value, lag(event_type) OVER w AS pn, lag(props[1:100]) OVER w AS pv FROM events WHERE event_type IN ('view', 'click', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT id, client, name, value FROM e WHERE pn IS NULL OR pn <> name OR pv IS DISTINCT FROM value")
+def changed_views(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("client"), "ts", F.col("event_type").alias("name"), F.col("props").alias("value"))
+    return catalog.changed_views(e, ("view", "click", "purchase"))
+
+
+def _points(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+
+
+_PTS = "p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
+
+
+@query(f"WITH {_PTS}, b AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM p) SELECT id, round(500 + (x - (hx + lx) / 2) * least(935 / (hx - lx), 490 / (hy - ly)), 6) AS x, round(315 + (y - (hy + ly) / 2) * least(935 / (hx - lx), 490 / (hy - ly)), 6) AS y FROM p, b")
+def viewport_fit(spark, d):
+    return catalog.viewport(_points(spark, d), 1000.0, 600.0)
+
+
+@query(f"WITH {_PTS}, c AS (SELECT q.id, p.id AS hit, round(sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2), 6) AS distance FROM p q JOIN p ON q.id <> p.id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, hit) AS n FROM c WHERE distance < 0.02::DOUBLE) SELECT id, hit, distance FROM r WHERE n = 1")
+def nearest_point(spark, d):
+    return catalog.nearest_within(_points(spark, d), _points(spark, d), 0.02)
+
+
+@query(f"{_CONCEPT}, r AS (SELECT concept, id, round(s, 6) AS score FROM s), o AS (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY score DESC, id) AS t, row_number() OVER (PARTITION BY concept ORDER BY score, id) AS b FROM r) SELECT concept, id, score, 'top' AS side, t AS rank FROM o WHERE t <= 8 UNION ALL SELECT concept, id, score, 'bottom', b FROM o WHERE b <= 8")
+def concept_matches(spark, d):
+    return catalog.extremes(_concepts(spark, d).select("concept", "id", F.round("s", 6).alias("score")), "concept")
+
+
+@query("WITH e AS (SELECT doc_id, source AS directory, source || CASE WHEN n_chars > 1000 THEN '.bib' ELSE '.tex' END AS file, doc_id::VARCHAR AS key FROM documents), c AS (SELECT DISTINCT d.source AS directory, l.doc_id::VARCHAR AS key FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.quality = 1) SELECT doc_id, directory, file, key FROM e WHERE NOT coalesce(file LIKE '%.bib' AND directory IN (SELECT directory FROM c) AND NOT EXISTS (SELECT 1 FROM c WHERE c.directory = e.directory AND c.key = e.key), false)")
+def unused_entries(spark, d):
+    docs = table(spark, d, "documents")
+    key = F.col("doc_id").cast("string").alias("key")
+    entries = docs.select("doc_id", F.col("source").alias("directory"), F.concat("source", F.when(F.col("n_chars") > 1000, ".bib").otherwise(".tex")).alias("file"), key)
+    cites = table(spark, d, "labels").where("quality = 1").join(docs.select("doc_id", F.col("source").alias("directory")), "doc_id").select("directory", key)
+    return catalog.cited_entries(entries, cites)
+
+
+@query("SELECT o_custkey, count(*) AS total, count(*) FILTER (o_orderstatus <> 'P') AS complete, count(DISTINCT o_orderstatus) AS identities, (count(*) = count(*) FILTER (o_orderstatus <> 'P') AND count(DISTINCT o_orderstatus) = 1 AND count(*) FILTER (o_orderstatus <> 'P' AND NOT o_totalprice > 0) = 0) AS released FROM orders GROUP BY o_custkey")
+def release_gate(spark, d):
+    entries = table(spark, d, "orders").select("o_custkey", (F.col("o_orderstatus") != "P").alias("complete"), F.col("o_orderstatus").alias("identity"), (F.col("o_totalprice") > 0).alias("sound"))
+    return catalog.release_gate(entries, "o_custkey")
+
+
+@query("SELECT o_custkey, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS o_orderstatus, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS o_orderpriority FROM orders GROUP BY o_custkey")
+def coverage_union(spark, d):
+    return catalog.coverage(table(spark, d, "orders"), "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+@query("WITH n AS (SELECT DISTINCT p_name AS name FROM part), a AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS prefix FROM part UNION SELECT DISTINCT p_name FROM part) SELECT prefix, CASE WHEN bool_or(name = prefix) THEN prefix WHEN count(name) = 1 THEN min(name) END AS name, count(name) AS matches FROM a LEFT JOIN n ON starts_with(name, prefix) GROUP BY prefix")
+def unique_prefix(spark, d):
+    part = table(spark, d, "part")
+    return catalog.unique_prefix(part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("prefix")).union(part.select("p_name")), part.select(F.col("p_name").alias("name")))
+
+
+@query(f"WITH {_CHUNK}, h AS (SELECT doc_id, sha256(coalesce(chunk, ''))[1:16] AS key FROM k) SELECT DISTINCT key FROM h WHERE key NOT IN (SELECT key FROM h WHERE doc_id IN (SELECT doc_id FROM labels))")
+def chunk_cache_fill(spark, d):
+    """Chunks that no labelled document has."""
+    chunks = _chunks(spark, d).select("doc_id", tx.short_hash(F.col("chunk")).alias("key"))
+    return catalog.missing_keys(chunks, chunks.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi"))
+
+
+@query(f"WITH {_CHUNK} SELECT k.doc_id, nth, sha256(split_part(text, '.', 1) || chr(10) || chr(10) || coalesce(chunk, ''))[1:16] AS key FROM k JOIN documents d ON k.doc_id = d.doc_id")
+def titled_chunks(spark, d):
+    """The title before every chunk of its text (V8)."""
+    docs = table(spark, d, "documents").select("doc_id", F.split_part("text", F.lit("."), F.lit(1)).alias("title"), F.posexplode(tx.token_windows(F.col("text"), 64, 8)).alias("nth", "chunk"))
+    return docs.select("doc_id", F.col("nth").cast("long").alias("nth"), tx.short_hash(F.concat("title", F.lit("\n\n"), "chunk")).alias("key"))
+
+
 # --- requests --------------------------------------------------------------------------------------------------------
 
 def _requests(events: DataFrame) -> DataFrame:
@@ -482,3 +552,8 @@ def request_validation(spark, d):
 @query("SELECT event_id AS id, row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) <= 20 AS allowed FROM events")
 def token_bucket(spark, d):
     return counts.admitted(table(spark, d, "events").select(F.col("user_id").alias("client"), "ts", F.col("event_id").alias("id")))
+
+
+@query()
+def token_bucket_strict(spark, d):
+    return counts.bucket_admitted(table(spark, d, "events").select(F.col("user_id").alias("client"), "ts", F.col("event_id").alias("id")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +50,28 @@ def admitted(requests: DataFrame, per_minute: int = 20) -> DataFrame:
     minute = F.date_trunc("minute", "ts")
     order = Window.partitionBy("client", "minute").orderBy("ts", "id")
     return requests.withColumn("minute", minute).withColumn("nth", F.row_number().over(order)).select("id", (F.col("nth") <= per_minute).alias("allowed"))
+
+
+def bucket_admitted(requests: DataFrame, capacity: int = 8, per_second: int = 1) -> DataFrame:
+    """requests(client, ts, id) -> id, allowed: a token bucket per client, full at first (ST6).
+
+    A refusal depends on every request before it, so a client's requests are read in order, with one number kept
+    between them: partitions are sorted and streamed, never held. Tokens are counted in millionths, so nothing is rounded.
+    """
+    one = 1_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client, left, last = object(), 0, 0
+        for batch in batches:
+            allowed = []
+            for who, at in zip(batch.column("client").to_pylist(), batch.column("at").to_pylist(), strict=True):
+                if who != client:
+                    client, left, last = who, capacity * one, at
+                left = min(capacity * one, left + (at - last) * per_second)
+                last = at
+                allowed.append(left >= one)
+                left -= one if left >= one else 0
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(allowed, pa.bool_())], names=["id", "allowed"])
+
+    rows = requests.select("client", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("id").cast("long").alias("id"))
+    return rows.repartition("client").sortWithinPartitions("client", "at", "id").mapInArrow(run, "id long, allowed boolean")

@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusweave.functions import text as tx
-from corpusweave.operators import coupling, graph, resolve, search, vectors
+from corpusweave.operators import catalog, coupling, graph, resolve, search, vectors
 from corpusweave.plans.queries import QUERIES, SQL
 from corpusweave.sources import parsers
+from corpusweave.streaming import counts
 
 DATA = "/root/testdata/sf0.001"
 
@@ -28,7 +29,7 @@ def rows(df):
 
 
 @pytest.mark.parametrize("name", ["coupling_topk", "coupling_isolates", "shared_works_evidence", "knn_cosine_top8", "knn_lens_projected", "trustworthiness", "rank_audit", "nearest_other_subject", "representatives", "reference_reorder", "procrustes_align", "lexical_search",
-                                  "combined_search", "token_chunks", "tfidf_keywords", "resolve_entities", "closure", "owner_reuse", "glossary_tags", "visits_report", "streaming_page_counts"])
+                                  "combined_search", "token_chunks", "tfidf_keywords", "resolve_entities", "closure", "owner_reuse", "glossary_tags", "changed_views", "viewport_fit", "nearest_point", "concept_matches", "unused_entries", "release_gate", "coverage_union", "unique_prefix", "chunk_cache_fill", "titled_chunks", "visits_report", "streaming_page_counts"])
 def test_query_matches_sql(spark, duck, name):
     ours, theirs = QUERIES[name](spark, DATA).toPandas(), duck.sql(SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
@@ -148,3 +149,40 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("https://doi.org/10.1/A+B.", "arXiv:1234.56789v2", "Noether, Emmy and X", "7")], "a string, b string, c string, d string")
     got = df.select(tx.canonical_doi(F.col("a")), tx.arxiv_id(F.col("b")), tx.surname(F.col("c")), tx.padded_id(F.col("d")), tx.ramp(F.lit(2.0), 1.0, (0, 0, 0), (255, 255, 255), (16, 32, 255))).first()
     assert tuple(got) == ("10.1/a+b", "1234.56789", "noether", "007", "#1020ff")
+
+
+def test_token_bucket_matches_a_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    at = {c: np.cumsum(rng.integers(0, 900_000, 80)) for c in ("a", "b", None)}
+    asked = [(c, int(t), i * 100 + n) for i, (c, ts) in enumerate(at.items()) for n, t in enumerate(ts)]
+    want = {}
+    for i, ts in enumerate(at.values()):
+        tokens, last = 8_000_000, int(ts[0])
+        for n, t in enumerate(map(int, ts)):
+            tokens, last = min(8_000_000, tokens + t - last), t
+            want[i * 100 + n] = tokens >= 1_000_000
+            tokens -= 1_000_000 * want[i * 100 + n]
+    rows = spark.createDataFrame(asked, "client string, us long, id long").repartition(3).select("client", F.timestamp_micros("us").alias("ts"), "id")
+    assert {r.id: r.allowed for r in counts.bucket_admitted(rows).collect()} == want and set(want.values()) == {True, False}
+    assert counts.bucket_admitted(rows.limit(0)).count() == 0
+
+
+def test_paths_and_escapes(spark):
+    cases = {"a/./b//c": "a/b/c", "a/../b": "b", "../a/..": "..", "../../x": "../../x", "": ".", "./": ".", "a/..": "."}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "p string")
+    assert {r.p: r.n for r in df.select("p", tx.normal_path(F.col("p")).alias("n")).where("p IS NOT NULL").collect()} == cases
+    one = spark.createDataFrame([("<a b=\"c\">'&amp;", "a b/c+d/é")], "h string, p string").select(tx.escape_markup(F.col("h")).alias("h"), tx.encode_path(F.col("p")).alias("p")).first()
+    assert one.h == "&lt;a b=&quot;c&quot;&gt;&#39;&amp;amp;" and one.p == "a%20b/c%2Bd/%C3%A9"
+
+
+def test_catalogue_edge_cases(spark):
+    entries = spark.createDataFrame([("d", "a.bib", "k1"), ("d", "a.bib", "k2"), ("d", "a.tex", "k3"), ("e", "b.bib", "k4"), ("f", "c.bib", "k5"), ("d", None, "k6")], "directory string, file string, key string")
+    cites = spark.createDataFrame([("d", "k1"), ("d", "k1"), ("e", "*"), ("e", "z")], "directory string, key string")
+    assert sorted(r.key for r in catalog.cited_entries(entries, cites).collect()) == ["k1", "k3", "k4", "k5", "k6"]
+    gate = spark.createDataFrame([("x", True, "i", True), ("x", True, "i", True), ("y", True, "i", True), ("y", True, "j", True), ("z", None, "i", True), ("w", True, "i", None)], "g string, complete boolean, identity string, sound boolean")
+    assert {r.g: r.released for r in catalog.release_gate(gate, "g").collect()} == {"x": True, "y": False, "z": False, "w": False}
+    asked = spark.createDataFrame([("ab",), ("abc",), ("q",), ("abx",)], "prefix string")
+    found = catalog.unique_prefix(asked, spark.createDataFrame([("abc",), ("abcd",), ("abxy",)], "name string"))
+    assert {r.prefix: r.name for r in found.collect()} == {"ab": None, "abc": "abc", "q": None, "abx": "abxy"}
+    views = spark.createDataFrame([(1, "u", 1, "v", None), (2, "u", 2, "v", None), (3, "u", 3, "hidden", "p"), (4, "u", 4, "v", "p"), (5, "t", 1, "v", "p")], "id long, client string, ts long, name string, value string")
+    assert sorted(r.id for r in catalog.changed_views(views, ("v",)).collect()) == [1, 4, 5]
