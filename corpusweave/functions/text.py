@@ -97,11 +97,20 @@ def whole_word(c: Column, word: str) -> Column:
     return c.rlike(f"(?<![A-Za-z0-9_]){re.escape(word)}(?![A-Za-z0-9_])")
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)``; the value is made once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def token_windows(c: Column, size: int = 1024, overlap: int = 96) -> Column:
     """Windows of words; empty text has one empty window, and the last may lie within the one before (V7)."""
     words = F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != "")
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words), F.lit(1)) - 1, F.lit(size - overlap))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "))
+
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w), F.lit(1)) - 1, F.lit(size - overlap))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " "))
+
+    return once(words, cut)
 
 
 def title_terms(c: Column, stop: tuple[str, ...]) -> Column:

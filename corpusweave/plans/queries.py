@@ -496,7 +496,8 @@ def chunk_cache_fill(spark, d):
 @query(f"WITH {_CHUNK} SELECT k.doc_id, nth, sha256(split_part(text, '.', 1) || chr(10) || chr(10) || coalesce(chunk, ''))[1:16] AS key FROM k JOIN documents d ON k.doc_id = d.doc_id")
 def titled_chunks(spark, d):
     """The title before every chunk of its text (V8)."""
-    docs = table(spark, d, "documents").select("doc_id", F.split_part("text", F.lit("."), F.lit(1)).alias("title"), F.posexplode(tx.token_windows(F.col("text"), 64, 8)).alias("nth", "chunk"))
+    docs = table(spark, d, "documents").select("doc_id", F.split_part("text", F.lit("."), F.lit(1)).alias("title"), tx.token_windows(F.col("text"), 64, 8).alias("chunks"))
+    docs = docs.select("doc_id", "title", F.posexplode("chunks").alias("nth", "chunk"))  # a second step, or each chunk would carry the whole text
     return docs.select("doc_id", F.col("nth").cast("long").alias("nth"), tx.short_hash(F.concat("title", F.lit("\n\n"), "chunk")).alias("key"))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusweave.functions import text as tx
-from corpusweave.operators import catalog, coupling, graph, resolve, search, vectors
+from corpusweave.operators import analysis, catalog, coupling, graph, resolve, search, vectors
 from corpusweave.plans.queries import QUERIES, SQL
 from corpusweave.sources import parsers
 from corpusweave.streaming import counts
@@ -186,3 +186,11 @@ def test_catalogue_edge_cases(spark):
     assert {r.prefix: r.name for r in found.collect()} == {"ab": None, "abc": "abc", "q": None, "abx": "abxy"}
     views = spark.createDataFrame([(1, "u", 1, "v", None), (2, "u", 2, "v", None), (3, "u", 3, "hidden", "p"), (4, "u", 4, "v", "p"), (5, "t", 1, "v", "p")], "id long, client string, ts long, name string, value string")
     assert sorted(r.id for r in catalog.changed_views(views, ("v",)).collect()) == [1, 4, 5]
+
+
+def test_terms_and_medians(spark):
+    df = spark.createDataFrame([("Alpha the beta gamma",), ("one",), ("",), (None,)], "t string")
+    got = [r.x for r in df.select(analysis.terms(F.col("t")).alias("x")).collect()]
+    assert got == [["alpha", "beta", "gamma", "alpha beta", "beta gamma"], ["one"], [], []]
+    g = spark.createDataFrame([("a", v) for v in (5, 1, 1, 9)] + [("b", 3), ("b", None), ("c", None), (None, 2)], "g string, v long")
+    assert {r.g: r["median"] for r in analysis.upper_median(g, ["g"], "v").collect()} == {"a": 5, "b": 3, None: 2}
