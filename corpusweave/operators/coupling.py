@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import in_ranges
+
 
 def weights(edges: DataFrame, families: DataFrame) -> DataFrame:
     """edges(family, work), families(family) -> work, df, idf; families without works count too."""
@@ -41,11 +43,10 @@ def isolates(edges: DataFrame, families: DataFrame, scored: DataFrame, gap: floa
     linked = scored.select(F.col("fa").alias("family")).union(scored.select(F.col("fb").alias("family"))).distinct()
     alone = families.join(linked, "family", "left_anti")
     # Their number can be large: places come from a range sort with per-range offsets rather than from one window.
-    by = alone.repartitionByRange("family").withColumn("part", F.spark_partition_id())
-    size = by.groupBy("part").agg(F.count("*").alias("n"))
-    before = size.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    total = alone.agg(F.count("*").alias("m"))
-    at = by.join(before, "part").withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("family")) - 1 + F.col("first"))
+    by, ranges = in_ranges(alone, "family")
+    total = ranges.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("m"))
+    first = ranges.select("part", F.col("before").alias("first"))
+    at = by.join(first, "part").withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("family")) - 1 + F.col("first"))
     return at.crossJoin(F.broadcast(total)).select("family", F.col("nth").alias("place"), F.round((F.col("nth") - (F.col("m") - 1) / 2) * gap, 6).alias("x"))
 
 

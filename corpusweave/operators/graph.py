@@ -5,29 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusweave-"))
-    return df.checkpoint()
+from .tables import cut
 
 
 def closure(edges: DataFrame, roots: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """edges(src, dst), roots(root) -> root, node, depth of everything reachable, cycles closed once.
 
-    Each round expands the last frontier of all roots together and is checkpointed; rounds are as many as the longest path.
+    Each round expands the last frontier of all roots together and is written; rounds are as many as the longest path.
     """
-    seen = frontier = _cut(roots.select("root", F.col("root").alias("node"), F.lit(0).cast("long").alias("depth")).distinct())
+    seen = frontier = cut(roots.select("root", F.col("root").alias("node"), F.lit(0).cast("long").alias("depth")).distinct())
     links = edges.select(F.col("src").alias("node"), "dst").distinct()
     for depth in range(1, most_rounds + 1):
         step = frontier.select("root", "node").join(links, "node").select("root", F.col("dst").alias("node")).distinct()
-        frontier = _cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        frontier = cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         if frontier.isEmpty():
             break
-        seen = _cut(seen.unionByName(frontier))
+        seen = cut(seen.unionByName(frontier))
     return seen
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterator
 from urllib.parse import quote
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import arxiv, doi, search_text
-from .graph import _cut
+from .tables import cut
 
 
 def norm(value: str) -> str:
@@ -50,7 +51,8 @@ def keys(record: dict) -> dict:
 class Groups:
     """Union-find whose merges, unless by identifier, are refused between groups of disjoint DOIs or disjoint arXiv ids."""
 
-    def __init__(self, ids: list[set[str]]):
+    def __init__(self, ids: list[set[str]], found: list[dict]):
+        self.found = found
         self.parent, self.ids, self.reasons, self.refused = list(range(len(ids))), [set(x) for x in ids], Counter(), 0
 
     def find(self, x: int) -> int:
@@ -78,7 +80,7 @@ def replay(records: list[dict]) -> Groups:
     """Merge records, given in order: by identifier, by equal citation, by title and surname with years at most 3 apart; then
     untitled records into the one group whose title and author their citation contains (E3-E6)."""
     found = [keys(r) for r in records]
-    groups = Groups([set(k["ids"]) for k in found])
+    groups = Groups([set(k["ids"]) for k in found], found)
     by_id: dict[str, int] = {}
     by_text: dict[str, int] = {}
     by_title: dict[tuple, list[int]] = {}
@@ -122,7 +124,7 @@ def canonical(records: list[dict]) -> list[dict]:
     made = []
     for root, members in out.items():
         ids = sorted(groups.ids[root])
-        best = records[max(members, key=lambda i: (bool(records[i]["title"]), bool(keys(records[i])["ids"]), bool(records[i]["authors"]), len(records[i]["citation"] or ""), -i))]
+        best = records[max(members, key=lambda i: (bool(records[i]["title"]), bool(groups.found[i]["ids"]), bool(records[i]["authors"]), len(records[i]["citation"] or ""), -i))]
         key = next((x for x in ids if x.startswith("doi:")), ids[0] if ids else f"text:{norm(best['citation'])}")
         made.append({"work": hashlib.sha256(key.encode()).hexdigest()[:16], "title": best["title"], "authors": best["authors"], "year": best["year"], "url": link(ids, best["title"], best["url"]), "identifiers": ids,
                      "families": sorted({f for i in members for f in records[i]["families"]}), "records": [records[i]["record"] for i in members], "refused": groups.refused})
@@ -142,35 +144,51 @@ def resolve(records: DataFrame) -> DataFrame:
 
         return pd.Series([one(*x) for x in zip(title, authors, year, citation, raw, d, a, strict=True)])
 
-    keyed = _cut(records.withColumn("keys", match_keys("title", "authors", "year", "citation", "raw", "doi", "arxiv")))
-    stars = keyed.select("record", F.explode("keys").alias("key"))
+    keyed = cut(records.withColumn("keys", match_keys("title", "authors", "year", "citation", "raw", "doi", "arxiv")))
+    named = keyed.select("record", F.explode("keys").alias("key"))
+    stars = named.select("record", F.sha2("key", 256).alias("key"))  # keys hold whole citations, which need not be shuffled
     least = stars.groupBy("key").agg(F.min("record").alias("v"))
     edges = stars.join(least, "key").select(F.col("record").alias("u"), "v").where("u <> v").distinct()
     # Untitled citations that may contain a known title: joined on the title's rarest word, then checked as a phrase.
-    titled = stars.where("key LIKE 'title:%'").select("record", F.split(F.substring("key", 7, 1 << 20), r"\|").alias("t")).select("record", F.col("t")[0].alias("title"), F.col("t")[1].alias("surname"))
-    titled = titled.where((F.size(F.split("title", " ")) >= 4) & (F.length("title") >= 28))
-    untitled = keyed.where(F.coalesce("title", F.lit("")) == "").select("record", F.explode("keys").alias("key")).where("key LIKE 'text:%'").select("record", F.substring("key", 6, 1 << 20).alias("text"))
-    words = untitled.select(F.col("record").alias("u"), "text", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).where(F.length("word") > 3)
+    titled = named.where("key LIKE 'title:%'").select("record", F.split(F.expr("substring(key, 7)"), r"\|").alias("t")).select("record", F.col("t")[0].alias("title"), F.col("t")[1].alias("surname"))
+    untitled = keyed.where(F.coalesce("title", F.lit("")) == "").select("record", F.explode("keys").alias("key")).where("key LIKE 'text:%'").select("record", F.expr("substring(key, 6)").alias("text"))
+    known = cut(titled.where((F.size(F.split("title", " ")) >= 4) & (F.length("title") >= 28)).select(F.col("record").alias("v"), "title", "surname", F.explode(F.array_distinct(F.split("title", " "))).alias("word")).where(F.length("word") > 3))
+    # Only words of titles matter, and texts are joined back to the candidates: no text is repeated for each of its words.
+    words = untitled.select(F.col("record").alias("u"), F.explode(F.array_distinct(F.split("text", " "))).alias("word")).where(F.length("word") > 3)
+    words = cut(words.join(known.select("word").distinct(), "word", "left_semi"))
     count = words.groupBy("word").agg(F.count("*").alias("n"))
-    rare = titled.select(F.col("record").alias("v"), "title", "surname", F.explode(F.array_distinct(F.split("title", " "))).alias("word")).where(F.length("word") > 3).join(count, "word", "left")
-    rare = rare.groupBy("v", "title", "surname").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
-    inside = words.join(rare, "word").where(F.concat(F.lit(" "), "text", F.lit(" ")).contains(F.concat(F.lit(" "), "title", F.lit(" "))) & F.array_contains(F.split("text", " "), F.col("surname"))).select("u", "v")
-    edges = edges.unionAll(inside).distinct()
-    label = _cut(keyed.select("record", F.col("record").alias("root")))
-    both = _cut(edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    rare = known.join(count, "word", "left").groupBy("v", "title", "surname").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    inside = words.join(rare, "word").join(untitled.withColumnRenamed("record", "u"), "u")
+    inside = inside.where(F.concat(F.lit(" "), "text", F.lit(" ")).contains(F.concat(F.lit(" "), "title", F.lit(" "))) & F.array_contains(F.split("text", " "), F.col("surname"))).select("u", "v")
+    edges = cut(edges.unionAll(inside).distinct())
+    label = cut(keyed.select("record", F.col("record").alias("root")))
+    both = cut(edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     while True:  # the least label of the neighbourhood, then the label's own label
         near = both.join(label, both["v"] == label["record"]).groupBy("u").agg(F.min("root").alias("m"))
         step = label.join(near, label["record"] == near["u"], "left").select("record", F.least("root", F.coalesce("m", "root")).alias("r"))
         jump = step.alias("a").join(step.alias("b"), F.col("a.r") == F.col("b.record")).select("a.record", F.col("b.r").alias("root"))
-        new = _cut(jump)
+        new = cut(jump)
         moved = new.alias("a").join(label.alias("b"), "record").where("a.root <> b.root").isEmpty()
         label = new
         if moved:
             break
-    parted = keyed.drop("keys").join(label, "record")
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("record").drop(columns="root").to_dict("records")
-        return pd.DataFrame(canonical([{k: (v if v is not None else "") for k, v in r.items()} for r in rows]))
-
-    return parted.groupBy("root").applyInPandas(merge, WORK)
+    # Components lie side by side in sorted partitions; a task holds one at a time.
+    parted = keyed.drop("keys").join(label, "record").repartition("root").sortWithinPartitions("root", "record")
+
+    def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, at = [], None
+        for pdf in parts:
+            made = []
+            for row in pdf.to_dict("records"):
+                root = row.pop("root")
+                if held and root != at:
+                    made += canonical(held)
+                    held = []
+                at = root
+                held.append({k: v if v is not None else "" for k, v in row.items()})
+            if made:
+                yield pd.DataFrame(made)
+        if held:
+            yield pd.DataFrame(canonical(held))
+
+    return parted.mapInPandas(merge, WORK)

@@ -97,6 +97,9 @@ def record(i, **x):
     return {"record": i, "title": "", "authors": "", "year": "", "citation": "", "raw": "", "doi": "", "arxiv": "", "url": "", "families": [f"f{i}"], **x}
 
 
+RECORDS = "record long, title string, authors string, year string, citation string, raw string, doi string, arxiv string, url string, families array<string>"
+
+
 def test_resolution_rules():
     title = "A long enough title about groups"
     merged = resolve.replay([record(0, title=title, authors="Ada Byron", year="1999", citation="c0"), record(1, title=title, authors="Byron, A.", year="2001", citation="c1"), record(2, title=title, authors="A. Byron", year="1990", citation="c2")])
@@ -117,8 +120,7 @@ def test_resolution_by_component_equals_whole_replay(spark):
     want = {}
     for i in range(40):
         want.setdefault(whole.find(i), []).append(i)
-    columns = "record long, title string, authors string, year string, citation string, raw string, doi string, arxiv string, url string, families array<string>"
-    got = resolve.resolve(spark.createDataFrame([tuple(r.values()) for r in recs], columns)).collect()
+    got = resolve.resolve(spark.createDataFrame([tuple(r.values()) for r in recs], RECORDS)).collect()
     assert sorted(map(sorted, want.values())) == sorted(sorted(r.records) for r in got)
 
 
@@ -194,3 +196,20 @@ def test_terms_and_medians(spark):
     assert got == [["alpha", "beta", "gamma", "alpha beta", "beta gamma"], ["one"], [], []]
     g = spark.createDataFrame([("a", v) for v in (5, 1, 1, 9)] + [("b", 3), ("b", None), ("c", None), (None, 2)], "g string, v long")
     assert {r.g: r["median"] for r in analysis.upper_median(g, ["g"], "v").collect()} == {"a": 5, "b": 3, None: 2}
+
+
+def test_long_citations_are_matched_whole(spark):
+    title = "On the spectral gap of random regular graphs"
+    long = "filler " * 170_000
+    recs = [record(0, title=title, authors="Ada Byron", citation="c0"), record(1, citation=f"{long} Byron {title}"), record(2, citation=f"{long} x"), record(3, citation=f"{long} y")]
+    done = resolve.resolve(spark.createDataFrame([tuple(r.values()) for r in recs], RECORDS))
+    assert sorted(r.records for r in done.collect()) == [[0, 1], [2], [3]]
+
+
+def test_quantile_is_the_sorted_place(spark):
+    for values in ([0.5], [0.25] * 90 + [0.75] * 10, [((i * 37) % 1000) / 1000 for i in range(1000)], [1.0, None, 2.0]):
+        df = spark.createDataFrame([(v,) for v in values], "x double").repartition(4)
+        own = sorted(v for v in values if v is not None)
+        want = math.ceil(round(own[len(own) * 98 // 100] / 0.01, 6)) * 0.01
+        assert analysis.empirical_quantile(df, "x", 98, 100).first().extent == pytest.approx(want)
+    assert analysis.empirical_quantile(spark.createDataFrame([], "x double"), "x", 98, 100).first().extent is None
