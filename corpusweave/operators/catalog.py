@@ -1,10 +1,12 @@
-"""Catalogue upkeep and display data: filters, gates, prefixes, places on a map."""
+"""Catalogue upkeep and display data: filters, gates, prefixes, places on a map."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import whole_word
+
 
 def changed_views(events: DataFrame, names: tuple[str, ...], most: int = 100) -> DataFrame:
     """events(id, client, ts, name, value) of the listed names, without those equal to the client's one before.
@@ -86,3 +88,36 @@ def unique_prefix(asked: DataFrame, directories: DataFrame) -> DataFrame:
 def missing_keys(wanted: DataFrame, stored: DataFrame, key: str = "key") -> DataFrame:
     """Distinct wanted keys that are not stored yet: what a content-addressed cache still has to make."""
     return wanted.select(key).distinct().join(stored.select(key).distinct(), key, "left_anti")
+
+
+def annotate(pairs: DataFrame, notes: DataFrame) -> DataFrame:
+    """pairs(a, b, ...), notes(a, b, note) -> the pairs with the note of their unordered key, null where there is none."""
+    low, high = F.least("a", "b").alias("__low"), F.greatest("a", "b").alias("__high")
+    return pairs.select("*", low, high).join(notes.select(low, high, "note"), ["__low", "__high"], "left").drop("__low", "__high")
+
+
+def first_existing(asked: DataFrame, existing: DataFrame) -> DataFrame:
+    """asked(id, candidates), existing(path) -> id, path: the first candidate that exists, null for none."""
+    each = asked.select("id", F.posexplode_outer("candidates").alias("pos", "path"))
+    found = each.join(existing.select("path").distinct().withColumn("there", F.lit(True)), "path", "left")
+    return found.groupBy("id").agg(F.min_by("path", F.when(F.col("there"), F.col("pos"))).alias("path"))
+
+
+def without_self_references(entries: DataFrame, word: str, address: str, head: int = 100) -> DataFrame:
+    """entries(authors, citation, raw, ...) without those whose authors or citation's first ``head`` characters name ``word``, or that hold ``address``."""
+    own = whole_word(F.lower("authors"), word) | whole_word(F.lower(F.substring("citation", 1, head)), word) | F.contains("raw", F.lit(address))
+    return entries.where(~F.coalesce(own, F.lit(False)))
+
+
+def build_states(entries: DataFrame) -> DataFrame:
+    """entries(id, hash, stored_hash, stored_state, built, extracted, used, permitted) -> id, state, unexpected.
+
+    An entry resolved before with the same hash is cached; a failed build, a failed extraction and axioms that are not
+    permitted (sorted in ``unexpected``) follow in this order; what is left is resolved.
+    """
+    none = F.array().cast("array<string>")
+    extra = F.array_sort(F.array_except(F.coalesce("used", none), F.coalesce("permitted", none)))
+    cached = (F.col("hash") == F.col("stored_hash")) & (F.col("stored_state") == "resolved")
+    state = (F.when(cached, "cached").when(~F.coalesce("built", F.lit(False)), "build-failed").when(~F.coalesce("extracted", F.lit(False)), "extraction-failed")
+             .when(F.size(extra) > 0, "rejected").otherwise("resolved"))
+    return entries.select("id", state.alias("state"), F.when(state == "rejected", extra).otherwise(none).alias("unexpected"))

@@ -135,6 +135,15 @@ def mean_vectors(rows: DataFrame, key: str) -> DataFrame:
     return long.join(length, key).where(F.col("length") > TINY).select(key, F.col("pos").cast("long").alias("pos"), F.round(F.col("x") / F.col("length"), 6).alias("value"))
 
 
+def numeric_audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """ours(id, vector), theirs(id, vector) -> compared, missing (on either side), uneven (lengths differ), worst: the largest difference of two components."""
+    both = ours.select("id", F.col("vector").alias("a")).join(theirs.select("id", F.col("vector").alias("b")), "id", "full")
+    even, uneven = F.size("a") == F.size("b"), F.size("a") != F.size("b")
+    gap = F.when(even, F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x - y))))
+    present = F.col("a").isNotNull() & F.col("b").isNotNull()
+    return both.agg(F.count_if(present).alias("compared"), F.count_if(~present).alias("missing"), F.count_if(present & uneven).alias("uneven"), F.max(gap).alias("worst"))
+
+
 def procrustes(points: DataFrame) -> DataFrame:
     """points(id, x, y, rx, ry) -> id, x, y: centred, scaled to unit RMS, turned and where better mirrored on the reference.
 

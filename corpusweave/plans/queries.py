@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import analysis, catalog, coupling, graph, resolve, search, vectors
+from ..operators.tables import new_path
+from ..sources import files
 from ..streaming import counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -501,6 +503,99 @@ def titled_chunks(spark, d):
     return docs.select("doc_id", F.col("nth").cast("long").alias("nth"), tx.short_hash(F.concat("title", F.lit("\n\n"), "chunk")).alias("key"))
 
 
+_RAMP = "printf('%02x', floor({m} + (CASE WHEN t < 0 THEN {lo} ELSE {hi} END - {m}) * abs(t) + 0.5::DOUBLE)::INT)"
+
+
+@query("WITH t AS (SELECT vec_id AS id, greatest(-1::DOUBLE, least(1::DOUBLE, embedding[1]::DOUBLE / 0.3::DOUBLE)) AS t FROM embeddings) SELECT id, '#' || "
+       + " || ".join(_RAMP.format(m=m, lo=lo, hi=hi) for m, lo, hi in ((240, 20, 200), (240, 90, 60), (240, 160, 20))) + " AS color FROM t")
+def color_ramp(spark, d):
+    return _points(spark, d).select("id", tx.ramp(F.col("x"), 0.3, (20, 90, 160), (240, 240, 240), (200, 60, 20)).alias("color"))
+
+
+@query("SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')) AS escaped FROM pages")
+def markup_escape(spark, d):
+    return table(spark, d, "pages").select("page_id", F.sha2(tx.escape_markup(F.col("html")), 256).alias("escaped"))
+
+
+@query("SELECT p_partkey, url_encode(p_brand) || '/' || url_encode(p_name) AS encoded FROM part")
+def path_encode(spark, d):
+    return table(spark, d, "part").select("p_partkey", tx.encode_path(F.concat_ws("/", "p_brand", "p_name")).alias("encoded"))
+
+
+@query("SELECT p_partkey, p_brand || '/' || p_type AS path FROM part")
+def path_normalize(spark, d):
+    made = F.concat(F.lit("./"), "p_brand", F.lit("//"), "p_name", F.lit("/.././"), "p_type", F.lit("/"))
+    return table(spark, d, "part").select("p_partkey", tx.normal_path(made).alias("path"))
+
+
+@query("WITH r AS (SELECT vec_id AS id, label::BIGINT AS label, row_number() OVER (PARTITION BY label ORDER BY vec_id)::VARCHAR AS n FROM embeddings) SELECT id, label, CASE WHEN length(n) < 2 THEN lpad(n, 2, '0') ELSE n END AS place FROM r")
+def sequence_labels(spark, d):
+    """Two-digit places in each group, longer ones whole."""
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("id")).cast("string")
+    return _items(spark, d).select("id", "label", nth.alias("n")).select("id", "label", tx.padded_id(F.col("n"), 2).alias("place"))
+
+
+@query("SELECT l_returnflag AS a, l_linestatus AS b, CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'closed' WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'open' END AS note, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus")
+def pair_notes(spark, d):
+    notes = spark.createDataFrame([("F", "A", "closed"), ("N", "O", "open")], "a string, b string, note string")
+    pairs = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("b")).agg(F.count("*").alias("n"))
+    return catalog.annotate(pairs, notes).select("a", "b", "note", "n")
+
+
+@query("WITH x AS (SELECT DISTINCT source || '/' || lang AS path FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 UNION SELECT DISTINCT source FROM documents JOIN labels USING (doc_id) WHERE quality = 1) SELECT doc_id, CASE WHEN source || '/' || lang IN (SELECT path FROM x) THEN source || '/' || lang WHEN source IN (SELECT path FROM x) THEN source END AS path FROM documents")
+def first_candidate(spark, d):
+    docs = table(spark, d, "documents")
+    both = docs.join(table(spark, d, "labels"), "doc_id")
+    narrow = F.concat("source", F.lit("/"), "lang")
+    existing = both.where("toxic = 1").select(narrow.alias("path")).union(both.where("quality = 1").select("source"))
+    return catalog.first_existing(docs.select(F.col("doc_id").alias("id"), F.array(narrow, "source").alias("candidates")), existing).withColumnRenamed("id", "doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE NOT coalesce(regexp_matches(lower(text[1:100]), '\\bthe\\b') OR contains(text, 'http://'), false)")
+def self_reference_exclusion(spark, d):
+    """The word and the head's length are the feature's; the address is sought in the whole text."""
+    docs = table(spark, d, "documents").select("doc_id", F.lit("").alias("authors"), F.col("text").alias("citation"), F.col("text").alias("raw"))
+    return catalog.without_self_references(docs, "the", "http://").select("doc_id")
+
+
+@query("WITH v AS (SELECT embedding::DOUBLE[] AS a FROM embeddings WHERE embedding IS NOT NULL), n AS (SELECT a, sqrt(list_inner_product(a, a)) AS n FROM v), g AS (SELECT list_max(list_transform(a, lambda x: abs(x - x / n))) AS g FROM n) SELECT count(*) AS compared, 0::BIGINT AS missing, 0::BIGINT AS uneven, round(max(g), 9) AS worst FROM g")
+def numeric_audit(spark, d):
+    """Stored vectors against their recomputed unit vectors."""
+    stored = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    done = vectors.numeric_audit(stored, stored.select("id", vectors.normalize(F.col("vector")).alias("vector")))
+    return done.withColumn("worst", F.round("worst", 9))
+
+
+@query("WITH s AS (SELECT o_orderkey AS id, o_orderpriority, CASE WHEN o_custkey % 5 = 0 AND o_orderstatus = 'O' THEN 'cached' WHEN o_orderstatus = 'P' THEN 'build-failed' WHEN o_totalprice < 50000 THEN 'extraction-failed' WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'rejected' ELSE 'resolved' END AS state FROM orders) SELECT id, state, CASE WHEN state = 'rejected' THEN o_orderpriority ELSE '' END AS unexpected FROM s")
+def build_states(spark, d):
+    e = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 5).alias("hash"), F.lit(0).alias("stored_hash"), F.when(F.col("o_orderstatus") == "O", "resolved").otherwise("rejected").alias("stored_state"),
+        (F.col("o_orderstatus") != "P").alias("built"), (F.col("o_totalprice") >= 50000).alias("extracted"), F.array("o_orderpriority", F.lit("choice")).alias("used"),
+        F.array(*map(F.lit, ("choice", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))).alias("permitted"))
+    return catalog.build_states(e).withColumn("unexpected", F.array_join("unexpected", ","))
+
+
+@query("SELECT p_partkey, p_name, p_retailprice FROM part")
+def tsv_checked(spark, d):
+    """Parts written as tab-separated values and read back; the key must be unique and the rows complete."""
+    path, part = new_path(spark, "tsv"), table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice")
+    files.write_tsv(part, path)
+    return files.read_tsv(spark, path, "p_partkey long, p_name string, p_retailprice double", "p_partkey", part.count())
+
+
+@query("SELECT doc_id, source, sha256(text) AS text_sha256 FROM documents")
+def json_by_key(spark, d):
+    """Documents written as compressed lines of JSON, a folder for each source, and read back."""
+    path = new_path(spark, "json")
+    files.write_json(table(spark, d, "documents").select("doc_id", "source", "text"), path, "source", compressed=True)
+    return spark.read.schema("doc_id long, text string, source string").json(path).select("doc_id", "source", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("SELECT page_id, page_id::VARCHAR || '.' || sha256(coalesce(html, ''))[1:12] || '.html' AS file FROM pages")
+def hashed_names(spark, d):
+    return table(spark, d, "pages").select("page_id", files.hashed_name(F.col("page_id").cast("string"), F.col("html"), "html").alias("file"))
+
+
 # --- requests --------------------------------------------------------------------------------------------------------
 
 def _requests(events: DataFrame) -> DataFrame:

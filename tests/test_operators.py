@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusweave.functions import text as tx
 from corpusweave.operators import analysis, catalog, coupling, graph, resolve, search, vectors
 from corpusweave.plans.queries import QUERIES, SQL
-from corpusweave.sources import parsers
+from corpusweave.sources import files, parsers
 from corpusweave.streaming import counts
 
 DATA = "/root/testdata/sf0.001"
@@ -28,7 +28,7 @@ def rows(df):
     return sorted(map(repr, df[c].astype(object).where(df[c].notna(), None).values.tolist()))
 
 
-@pytest.mark.parametrize("name", ["coupling_topk", "coupling_isolates", "shared_works_evidence", "knn_cosine_top8", "knn_lens_projected", "trustworthiness", "rank_audit", "nearest_other_subject", "representatives", "reference_reorder", "procrustes_align", "lexical_search",
+@pytest.mark.parametrize("name", ["coupling_topk", "color_ramp", "markup_escape", "path_encode", "path_normalize", "first_candidate", "self_reference_exclusion", "numeric_audit", "build_states", "json_by_key", "coupling_isolates", "shared_works_evidence", "knn_cosine_top8", "knn_lens_projected", "trustworthiness", "rank_audit", "nearest_other_subject", "representatives", "reference_reorder", "procrustes_align", "lexical_search",
                                   "combined_search", "token_chunks", "tfidf_keywords", "resolve_entities", "closure", "owner_reuse", "glossary_tags", "changed_views", "viewport_fit", "nearest_point", "concept_matches", "unused_entries", "release_gate", "coverage_union", "unique_prefix", "chunk_cache_fill", "titled_chunks", "visits_report", "streaming_page_counts"])
 def test_query_matches_sql(spark, duck, name):
     ours, theirs = QUERIES[name](spark, DATA).toPandas(), duck.sql(SQL[name]).df()
@@ -213,3 +213,46 @@ def test_quantile_is_the_sorted_place(spark):
         want = math.ceil(round(own[len(own) * 98 // 100] / 0.01, 6)) * 0.01
         assert analysis.empirical_quantile(df, "x", 98, 100).first().extent == pytest.approx(want)
     assert analysis.empirical_quantile(spark.createDataFrame([], "x double"), "x", 98, 100).first().extent is None
+
+
+def test_notes_and_candidates(spark):
+    pairs = spark.createDataFrame([("b", "a", 1), ("a", "b", 2), ("a", "c", 3), (None, "a", 4)], "a string, b string, n int")
+    notes = spark.createDataFrame([("a", "b", "both")], "a string, b string, note string")
+    assert {r.n: r.note for r in catalog.annotate(pairs, notes).collect()} == {1: "both", 2: "both", 3: None, 4: None}
+    asked = spark.createDataFrame([(1, ["x", "y", "z"]), (2, ["q"]), (3, []), (4, None), (5, [None, "z"])], "id int, candidates array<string>")
+    got = catalog.first_existing(asked, spark.createDataFrame([("y",), ("z",), ("z",)], "path string"))
+    assert {r.id: r.path for r in got.collect()} == {1: "y", 2: None, 3: None, 4: None, 5: "z"}
+
+
+def test_self_references_and_build_states(spark):
+    e = [(1, "Acme Labs", "", ""), (2, "", "by acme, 1999", ""), (3, "", "x" * 120 + " acme", ""), (4, "acmes", "", ""), (5, None, None, "see acme.test/repo"), (6, None, None, None)]
+    kept = catalog.without_self_references(spark.createDataFrame(e, "id int, authors string, citation string, raw string"), "acme", "acme.test/repo")
+    assert sorted(r.id for r in kept.collect()) == [3, 4, 6]
+    b = [(1, "h", "h", "resolved", False, False, ["z"], []), (2, "h", "g", "resolved", None, True, [], []), (3, "h", None, None, True, False, [], []),
+         (4, "h", "h", "rejected", True, True, ["q", "p", "a"], ["a"]), (5, "h", None, None, True, True, None, None)]
+    schema = "id int, hash string, stored_hash string, stored_state string, built boolean, extracted boolean, used array<string>, permitted array<string>"
+    got = {r.id: (r.state, r.unexpected) for r in catalog.build_states(spark.createDataFrame(b, schema)).collect()}
+    assert got == {1: ("cached", []), 2: ("build-failed", []), 3: ("extraction-failed", []), 4: ("rejected", ["p", "q"]), 5: ("resolved", [])}
+
+
+def test_numeric_audit_counts_what_it_cannot_compare(spark):
+    schema = "id int, vector array<double>"
+    ours = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0]), (3, [1.0]), (4, None)], schema)
+    theirs = spark.createDataFrame([(1, [1.0, 2.5]), (2, [0.0, 1.0]), (4, [1.0])], schema)
+    assert tuple(vectors.numeric_audit(ours, theirs).first()) == (2, 2, 1, 0.5)
+
+
+def test_files_are_checked(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a b", None), (2, 'q "x"', 0.5)], "id int, name string, x double")
+    files.write_tsv(rows, f"{tmp_path}/t")
+    read = lambda path, n: files.read_tsv(spark, path, "id int, name string, x double", "id", n)
+    assert sorted(map(tuple, read(f"{tmp_path}/t", 2).collect())) == [(1, "a b", None), (2, 'q "x"', 0.5)]
+    with pytest.raises(ValueError):
+        read(f"{tmp_path}/t", 3)
+    files.write_tsv(rows.union(rows), f"{tmp_path}/twice")
+    with pytest.raises(ValueError):
+        read(f"{tmp_path}/twice", None)
+    with pytest.raises(Exception, match="separator"):
+        files.write_tsv(spark.createDataFrame([(1, "a\tb")], "id int, name string"), f"{tmp_path}/bad")
+    files.write_json(rows, f"{tmp_path}/j", "name", compressed=True)
+    assert sorted(r.id for r in spark.read.schema("id int, name string").json(f"{tmp_path}/j").collect()) == [1, 2]
