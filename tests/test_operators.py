@@ -256,3 +256,10 @@ def test_files_are_checked(spark, tmp_path):
         files.write_tsv(spark.createDataFrame([(1, "a\tb")], "id int, name string"), f"{tmp_path}/bad")
     files.write_json(rows, f"{tmp_path}/j", "name", compressed=True)
     assert sorted(r.id for r in spark.read.schema("id int, name string").json(f"{tmp_path}/j").collect()) == [1, 2]
+
+
+def test_upper_median_of_large_small_and_null_groups(spark):
+    groups = {"big": [(i * 37) % 501 for i in range(500)], "tied": [7] * 60 + [9] * 40, "one": [3], None: [4, 1, 2, 3]}
+    data = [(k, v) for k, values in groups.items() for v in values] + [("big", None), ("none", None)]
+    got = {r.k: r.median for r in analysis.upper_median(spark.createDataFrame(data, "k string, v int"), ["k"], "v").collect()}
+    assert got == {k: sorted(v)[len(v) // 2] for k, v in groups.items()}
