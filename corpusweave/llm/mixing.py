@@ -23,6 +23,7 @@ SHARE = 1.5
 MOST = 2
 BLOCKS = 256
 SHARDS = 16
+PIECE_WORDS = 1 << 22
 FILL_ROUNDS = 4
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -99,11 +100,11 @@ def split_tree(quota: DataFrame, n_shards: int, seed: int) -> DataFrame:
 
         return F.least(low + let(logs, lambda v: let(F.transform(v, lambda x: F.exp(x - F.array_max(v))), invert)), high)
 
-    def draw(left_seats: Column, node: Column, tag: int) -> Column:
+    def draw(left_seats: Column, node: Column, tag: Column) -> Column:
         """Left half's blocks by source, drawn source after source from the blocks left."""
 
         def step(acc: Column, x: Column) -> Column:
-            coin = uniform(F.lit(seed), F.lit(tag), x["rank"]) / float(2 ** 32)
+            coin = uniform(F.lit(seed), tag, x["rank"]) / float(2 ** 32)
             drawn = seats_taken(x["blocks"], acc["seats"], acc["pool"], coin)
             return let(drawn, lambda d: F.struct((acc["seats"] - d).alias("seats"), (acc["pool"] - x["blocks"]).alias("pool"),
                                                  F.array_append(acc["out"], F.struct(x["rank"].alias("rank"), d.alias("blocks"))).alias("out")))
@@ -112,18 +113,18 @@ def split_tree(quota: DataFrame, n_shards: int, seed: int) -> DataFrame:
         start = F.struct(left_seats.alias("seats"), pool.alias("pool"), F.array().cast("array<struct<rank:int,blocks:bigint>>").alias("out"))
         return F.aggregate(node, start, step, lambda acc: acc["out"])
 
-    nodes, level, tag = one.select(F.array("q").alias("nodes")), 1, 0
+    def halves(node: Column, tag: Column) -> Column:
+        seats = F.floor(F.aggregate(node, F.lit(0).cast("long"), lambda a, x: a + x["blocks"]) / 2).cast("long")
+        rest = lambda left: F.zip_with(node, left, lambda x, y: F.struct(x["rank"].alias("rank"), (x["blocks"] - y["blocks"]).alias("blocks")))
+        return let(draw(seats, node, tag), lambda left: F.array(left, rest(left)))
+
+    def deeper(nodes: Column, first: int) -> Column:
+        return F.flatten(F.transform(nodes, lambda node, i: halves(node, i + first)))
+
+    nodes, level = F.array("q"), 1
     while level < n_shards:
-        halves = []
-        for i in range(level):
-            node = F.get("nodes", F.lit(i))
-            seats = F.floor(F.aggregate(node, F.lit(0).cast("long"), lambda a, x: a + x["blocks"]) / 2).cast("long")
-            halves.append(draw(seats, node, tag + i).alias(f"l{i}"))
-        tag += level
-        nodes = nodes.select("nodes", *halves)
-        rest = lambda i: F.zip_with(F.get("nodes", F.lit(i)), F.col(f"l{i}"), lambda x, y: F.struct(x["rank"].alias("rank"), (x["blocks"] - y["blocks"]).alias("blocks")))
-        nodes = nodes.select(F.array(*(h for i in range(level) for h in (F.col(f"l{i}"), rest(i)))).alias("nodes"))
-        level *= 2
+        nodes, level = deeper(nodes, level - 1), 2 * level
+    nodes = one.select(nodes.alias("nodes"))
     flat = nodes.select(F.posexplode("nodes").alias("shard", "n")).select("shard", F.explode("n").alias("x")).select("x.rank", "shard", "x.blocks")
     before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return flat.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0)))
@@ -160,13 +161,6 @@ def fill_cut(tagged: DataFrame, rounds: int = FILL_ROUNDS) -> DataFrame:
     return cut.withColumn("copies", F.col("copies") + F.col("extra")).drop("owed", "extra")
 
 
-def mix_counts(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (0 to 2) and taken for every row of ``docs``."""
-    tagged, _ = plan(docs, seed)
-    return fill(tagged).select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies",
-                               (F.col("copies") * F.col("size")).cast("long").alias("taken"), "key", "block")
-
-
 def shard_plan(blocks: DataFrame, n_shards: int = SHARDS, seed: int = 7) -> DataFrame:
     """source, block, copy, out_shard: where each drawn block of each pass goes. A row per block and pass."""
     drawn = blocks.withColumn("n", F.col("copies") + (F.col("owed") > 0).cast("int")).where("n > 0")
@@ -180,23 +174,49 @@ def shard_plan(blocks: DataFrame, n_shards: int = SHARDS, seed: int = 7) -> Data
     return each.join(t, at).select("source", "block", "copy", F.col("shard").alias("out_shard"))
 
 
+def block_seats(blocks: DataFrame, n_shards: int = SHARDS, seed: int = 7) -> DataFrame:
+    """source, block, shards: the shard of each drawn pass of a block, in the order of passes. A row per drawn block."""
+    each = F.sort_array(F.collect_list(F.struct("copy", "out_shard")))
+    return shard_plan(blocks, n_shards, seed).groupBy("source", "block").agg(F.transform(each, lambda x: x["out_shard"]).alias("shards"))
+
+
+def dealt(docs: DataFrame, n_shards: int = SHARDS, seed: int = 7) -> DataFrame:
+    """Every row of ``docs`` as in ``plan``, with the shards that its copies are dealt to; a row that is not taken has none."""
+    tagged, blocks = plan(docs, seed)
+    rows = fill(tagged)
+    seats = materialize(block_seats(blocks, n_shards, seed), "mix-seats").withColumnsRenamed({"source": "s_source", "block": "s_block"})
+    rows = rows.join(seats, rows["source"].eqNullSafe(seats["s_source"]) & (rows["block"] == seats["s_block"]), "left").drop("s_source", "s_block")
+    return rows.withColumn("shards", F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), F.col("copies"))).drop("copies")
+
+
+def mix_counts(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (0 to 2) and taken for every row of ``docs``, from the shards it is dealt to."""
+    rows = dealt(docs, seed=seed).withColumn("copies", F.size("shards"))
+    return rows.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies",
+                       (F.col("copies") * F.col("size")).cast("long").alias("taken"), "key", "block")
+
+
+def order_key(seed: int, doc_id: Column, copy: Column) -> Column:
+    return uniform(F.lit(seed + 3), doc_id, copy)
+
+
 def mix(docs: DataFrame, n_shards: int = SHARDS, seed: int = 7) -> DataFrame:
     """doc_id, copy, out_shard, order_key: the mix itself, one row per document and copy taken."""
-    tagged, blocks = plan(docs, seed)
-    taken = fill(tagged).where("copies > 0").select("doc_id", "source", "block", "size", "key", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    seats = shard_plan(blocks, n_shards, seed).withColumnsRenamed({"source": "s_source", "block": "s_block", "copy": "s_copy"})
-    at = taken["source"].eqNullSafe(seats["s_source"]) & (taken["block"] == seats["s_block"]) & (taken["copy"] == seats["s_copy"])
-    return taken.join(seats, at).select("doc_id", "source", "size", "copy", "out_shard", uniform(F.lit(seed + 3), F.col("doc_id"), F.col("copy")).alias("order_key"))
+    each = dealt(docs, n_shards, seed).select("doc_id", "source", "size", F.posexplode("shards").alias("at", "out_shard")).withColumn("copy", F.col("at") + 1)
+    return each.select("doc_id", "source", "size", "copy", "out_shard", order_key(seed, F.col("doc_id"), F.col("copy")).alias("order_key"))
 
 
-def mixed_documents(docs: DataFrame, seed: int = 7, n_blocks: int = BLOCKS) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it.
+def mixed_documents(docs: DataFrame, seed: int = 7, n_blocks: int = BLOCKS, n_shards: int = SHARDS) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, shard after shard, each shard shuffled.
 
-    A document's block says how often it is taken, and the table of blocks has a row per source and block, so texts stay
-    where they are read. Only documents of the cut blocks, one block a source, are joined by id.
+    A document's block says how often it is taken and where to, and the table of blocks has a row per source and block. Only
+    documents of the cut blocks, one block a source, are joined by id. Texts are moved once, to their shard: partitions
+    are equal pieces of a shard, in its order.
     """
     tagged, blocks = plan(docs.select("doc_id", "source", "text"), seed, n_blocks)
-    b = blocks.select(F.col("source").alias("__mix_source"), F.col("block").alias("__mix_block"), F.col("copies").alias("__mix_copies"), (F.col("owed") > 0).alias("__mix_cut"))
+    seats = block_seats(blocks, n_shards, seed).withColumnsRenamed({"source": "s_source", "block": "s_block"})
+    b = blocks.join(seats, blocks["source"].eqNullSafe(seats["s_source"]) & (blocks["block"] == seats["s_block"]))
+    b = materialize(b.select(F.col("source").alias("__mix_source"), F.col("block").alias("__mix_block"), F.col("copies").alias("__mix_copies"), (F.col("owed") > 0).alias("__mix_cut"), F.col("shards").alias("__mix_shards")), "mix-seats")
     placed = docs.withColumn("__mix_at", (uniform(F.lit(seed), F.col("doc_id")) % n_blocks).cast("int"))
     placed = placed.join(b, placed["source"].eqNullSafe(b["__mix_source"]) & (placed["__mix_at"] == b["__mix_block"]))
     counts = fill_cut(tagged).groupBy(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_from"), F.col("size").alias("__mix_size")).agg(F.max("copies").alias("__mix_taken"))
@@ -204,5 +224,14 @@ def mixed_documents(docs: DataFrame, seed: int = 7, n_blocks: int = BLOCKS) -> D
     cut = placed.where("__mix_cut").withColumn("__mix_words", word_count(F.col("text")))
     cut = cut.join(counts, cut["doc_id"].eqNullSafe(counts["__mix_id"]) & cut["source"].eqNullSafe(counts["__mix_from"]) & (cut["__mix_words"] == counts["__mix_size"]))
     whole = placed.where("NOT __mix_cut AND __mix_copies > 0").withColumn("__mix_taken", F.col("__mix_copies"))
-    each = F.explode(F.sequence(F.lit(1), F.col("__mix_taken"))).alias("__mix_copy")
-    return whole.select(*docs.columns, each).unionByName(cut.select(*docs.columns, each)).drop("__mix_copy")
+    each = F.posexplode(F.slice("__mix_shards", F.lit(1), F.col("__mix_taken"))).alias("__mix_copy", "__mix_shard")
+    return in_shards(whole.select(*docs.columns, each).unionByName(cut.select(*docs.columns, each)), blocks, n_shards, seed).select(*docs.columns)
+
+
+def in_shards(mixed: DataFrame, blocks: DataFrame, n_shards: int, seed: int) -> DataFrame:
+    """Rows with __mix_shard and __mix_copy (from 0), dealt to the pieces of their shard by the order key and put in its order."""
+    words = blocks.agg(F.sum(F.col("copies") * F.col("words") + F.col("owed"))).first()[0] or 0
+    pieces = 1 + int(words // (n_shards * PIECE_WORDS))
+    mixed = mixed.withColumn("__mix_key", order_key(seed, F.col("doc_id"), F.col("__mix_copy") + 1))
+    piece = (F.col("__mix_shard") * pieces + F.floor(F.col("__mix_key") * pieces / float(2 ** 32))).cast("int")
+    return mixed.repartitionById(n_shards * pieces, piece).sortWithinPartitions("__mix_key", "doc_id", "__mix_copy")

@@ -200,6 +200,29 @@ def test_mix(docs, empty):
     assert mixing.mixed_documents(docs.where("doc_id IS NOT NULL").distinct()).columns == docs.columns
 
 
+def test_mix_counts_come_from_the_tree(docs, monkeypatch):
+    seen = []
+    tree = mixing.split_tree
+    monkeypatch.setattr(mixing, "split_tree", lambda *a: seen.append(a) or tree(*a).where("shard <> 0"))
+    part = mixing.mix_counts(docs).toPandas().copies.sum()
+    monkeypatch.undo()
+    assert seen and 0 < part < mixing.mix_counts(docs).toPandas().copies.sum()
+
+
+def test_mixed_documents_lie_in_their_shards(docs, monkeypatch):
+    table = docs.where("doc_id IS NOT NULL").distinct()
+    seen = []
+    plan = mixing.shard_plan
+    monkeypatch.setattr(mixing, "shard_plan", lambda *a: seen.append(plan(*a)) or seen[-1])
+    mixed = mixing.mixed_documents(table, n_shards=4)
+    seats = {(r.source, r.block, r.out_shard) for r in seen[0].collect()}
+    got = mixed.select("doc_id", "source", (mixing.uniform(F.lit(7), F.col("doc_id")) % 256).alias("block"), F.spark_partition_id().alias("shard")).collect()
+    assert {r.shard for r in got} == {0, 1, 2, 3} and all((r.source, r.block, r.shard) in seats for r in got)
+    for shard in range(4):
+        ids = [r.doc_id for r in got if r.shard == shard]
+        assert len(ids) < 3 or ids != sorted(ids)
+
+
 def test_split_tree_is_exact(spark):
     quota = spark.createDataFrame([(0, 37), (1, 5), (2, 0), (3, 64)], "rank int, blocks long")
     tree = mixing.split_tree(quota, 8, 3).toPandas()
