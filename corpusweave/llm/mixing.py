@@ -1,7 +1,8 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree (native).
 
 Documents fall into blocks of their source. A source's target in words fixes its exact quota of blocks, whole
-passes first; the words still missing come from one further block, cut at a document. A tree then splits the
+passes first; the words still missing come from one further block, cut at a document, and in ``mixed_documents`` from
+the blocks after it as well, until no document left fits. A tree then splits the
 quotas of all sources among the output shards: at each node the left half's seats are drawn from the node's
 blocks without replacement, so every shard's quotas are exact and sum to the sources' quotas. Each shard draws
 the next blocks of each source's permutation, disjoint from other shards', and is shuffled locally.
@@ -138,7 +139,7 @@ def plan(docs: DataFrame, seed: int = 7, n_blocks: int = BLOCKS) -> tuple[DataFr
     totals = rows.groupBy("source", "block").agg(F.sum("size").alias("words"))
     goals = targets(totals.groupBy("source").agg(F.sum("words").alias("source_size")))
     blocks = materialize(quotas(totals, goals, seed), "mix-blocks")
-    b = blocks.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "source_size", "target", "copies", "owed")
+    b = blocks.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "source_size", "target", "copies", "owed", "place")
     tagged = rows.join(b, rows["source"].eqNullSafe(b["b_source"]) & (rows["block"] == b["b_block"])).drop("b_source", "b_block")
     return tagged, blocks
 
@@ -150,6 +151,12 @@ def fill(tagged: DataFrame, rounds: int = FILL_ROUNDS) -> DataFrame:
 
 def fill_cut(tagged: DataFrame, rounds: int = FILL_ROUNDS) -> DataFrame:
     """The rows of cut blocks, one block a source, with their copies."""
+    cut = fill_rounds(tagged, rounds)
+    return cut.withColumn("copies", F.col("copies") + F.col("extra")).drop("owed", "extra")
+
+
+def fill_rounds(tagged: DataFrame, rounds: int) -> DataFrame:
+    """The rows of cut blocks with ``extra``, 1 if taken once more, and what is ``owed`` after it."""
     cut = tagged.where(F.col("owed") > 0).withColumn("extra", F.lit(0))
     part = Window.partitionBy("source", "block")
     for _ in range(rounds):
@@ -158,7 +165,30 @@ def fill_cut(tagged: DataFrame, rounds: int = FILL_ROUNDS) -> DataFrame:
         upto = F.sum(F.when(can, F.col("size")).otherwise(F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
         cut = cut.withColumn("now", F.when(can & (upto <= F.col("owed")), F.lit(1)).otherwise(F.lit(0)))
         cut = cut.withColumn("owed", F.col("owed") - F.sum(F.col("now") * F.col("size")).over(part)).withColumn("extra", F.col("extra") + F.col("now")).drop("now")
-    return cut.withColumn("copies", F.col("copies") + F.col("extra")).drop("owed", "extra")
+    return cut
+
+
+def fill_on(tagged: DataFrame) -> DataFrame:
+    """doc_id, source, size, block of each row taken once more, until no row left fits what its source is owed.
+
+    Rows of the cut block are tried in key order, then those of the next blocks of the source's permutation. After the
+    first row that does not fit, less is owed than that row's words, and of each size s only the first owed / s rows can
+    be taken: one fold per source over that many rows, at most its longest document's words times their logarithm.
+    """
+    first = materialize(fill_rounds(tagged, 1), "mix-first")
+    start = first.groupBy(F.col("source").alias("s_source")).agg(F.max("owed").alias("left"), F.max("place").alias("cut_place"))
+    pool = first.where("extra = 0").drop("extra").unionByName(tagged.where(F.col("owed") <= 0))
+    pool = pool.join(start, pool["source"].eqNullSafe(start["s_source"])).where("place >= cut_place AND size BETWEEN 1 AND left")
+    for part in (("source", "size", "block"), ("source", "size")):
+        nth = F.row_number().over(Window.partitionBy(*part).orderBy("place", "key", "doc_id"))
+        pool = pool.withColumn("nth", nth).where(F.col("nth") <= F.col("left") / F.col("size"))
+    row = F.struct("place", "key", "doc_id", "size", "block")
+    tried = pool.groupBy("source").agg(F.max("left").alias("left"), F.sort_array(F.collect_list(row)).alias("rows"))
+    none = F.slice("rows", 1, 0)
+    taken = F.aggregate("rows", F.struct(F.col("left").alias("left"), none.alias("out")), lambda acc, x: F.when(
+        x["size"] <= acc["left"], F.struct((acc["left"] - x["size"]).alias("left"), F.array_append(acc["out"], x).alias("out"))).otherwise(acc), lambda acc: acc["out"])
+    taken = tried.select("source", F.explode(taken).alias("x")).select("x.doc_id", "source", "x.size", "x.block")
+    return first.where("extra = 1 OR size = 0").select("doc_id", "source", "size", "block").unionByName(taken)
 
 
 def shard_plan(blocks: DataFrame, n_shards: int = SHARDS, seed: int = 7) -> DataFrame:
@@ -210,22 +240,30 @@ def mixed_documents(docs: DataFrame, seed: int = 7, n_blocks: int = BLOCKS, n_sh
     """The rows of ``docs``, each as often as the mix takes it, shard after shard, each shard shuffled.
 
     A document's block says how often it is taken and where to, and the table of blocks has a row per source and block. Only
-    documents of the cut blocks, one block a source, are joined by id. Texts are moved once, to their shard: partitions
-    are equal pieces of a shard, in its order.
+    documents of blocks with rows that fill up a source's target are joined by id; such a row goes where the source's cut
+    block goes. Texts are moved once, to their shard: partitions are equal pieces of a shard, in its order.
     """
     tagged, blocks = plan(docs.select("doc_id", "source", "text"), seed, n_blocks)
     seats = block_seats(blocks, n_shards, seed).withColumnsRenamed({"source": "s_source", "block": "s_block"})
-    b = blocks.join(seats, blocks["source"].eqNullSafe(seats["s_source"]) & (blocks["block"] == seats["s_block"]))
-    b = materialize(b.select(F.col("source").alias("__mix_source"), F.col("block").alias("__mix_block"), F.col("copies").alias("__mix_copies"), (F.col("owed") > 0).alias("__mix_cut"), F.col("shards").alias("__mix_shards")), "mix-seats")
+    extra = materialize(fill_on(tagged), "mix-extra")
+    marks = extra.select(F.col("source").alias("x_source"), F.col("block").alias("x_block"), F.lit(True).alias("filled")).distinct()
+    b = blocks.join(seats, blocks["source"].eqNullSafe(seats["s_source"]) & (blocks["block"] == seats["s_block"]), "left")
+    b = b.join(marks, b["source"].eqNullSafe(marks["x_source"]) & (b["block"] == marks["x_block"]), "left")
+    b = materialize(b.select(F.col("source").alias("__mix_source"), F.col("block").alias("__mix_block"), F.col("copies").alias("__mix_copies"), F.coalesce("filled", F.lit(False)).alias("__mix_filled"),
+                             F.when(F.col("owed") > 0, F.get("shards", F.col("copies"))).alias("__mix_last"), F.slice("shards", F.lit(1), F.col("copies")).alias("__mix_shards")), "mix-seats")
     placed = docs.withColumn("__mix_at", (uniform(F.lit(seed), F.col("doc_id")) % n_blocks).cast("int"))
-    placed = placed.join(b, placed["source"].eqNullSafe(b["__mix_source"]) & (placed["__mix_at"] == b["__mix_block"]))
-    counts = fill_cut(tagged).groupBy(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_from"), F.col("size").alias("__mix_size")).agg(F.max("copies").alias("__mix_taken"))
-    counts = materialize(counts.where("__mix_taken > 0"), "mix-counts")
-    cut = placed.where("__mix_cut").withColumn("__mix_words", word_count(F.col("text")))
-    cut = cut.join(counts, cut["doc_id"].eqNullSafe(counts["__mix_id"]) & cut["source"].eqNullSafe(counts["__mix_from"]) & (cut["__mix_words"] == counts["__mix_size"]))
-    whole = placed.where("NOT __mix_cut AND __mix_copies > 0").withColumn("__mix_taken", F.col("__mix_copies"))
-    each = F.posexplode(F.slice("__mix_shards", F.lit(1), F.col("__mix_taken"))).alias("__mix_copy", "__mix_shard")
-    return in_shards(whole.select(*docs.columns, each).unionByName(cut.select(*docs.columns, each)), blocks, n_shards, seed).select(*docs.columns)
+    at = b.drop("__mix_last")
+    placed = placed.join(at, placed["source"].eqNullSafe(at["__mix_source"]) & (placed["__mix_at"] == at["__mix_block"]))
+    last = b.where("__mix_last IS NOT NULL").select(F.col("__mix_source").alias("l_source"), F.col("__mix_last").alias("__mix_shard"))
+    more = extra.groupBy(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_from"), F.col("size").alias("__mix_size")).agg(F.count("*").alias("__mix_n"))
+    more = materialize(more.join(last, more["__mix_from"].eqNullSafe(last["l_source"])).drop("l_source"), "mix-more")
+    filled = placed.where("__mix_filled").withColumn("__mix_words", word_count(F.col("text")))
+    filled = filled.join(more, filled["doc_id"].eqNullSafe(more["__mix_id"]) & filled["source"].eqNullSafe(more["__mix_from"]) & (filled["__mix_words"] == more["__mix_size"]))
+    same = Window.partitionBy("__mix_id", "__mix_from", "__mix_size").orderBy(F.md5("text"))
+    filled = filled.withColumn("__mix_nth", F.row_number().over(same)).where("__mix_nth <= __mix_n")
+    whole = placed.where("__mix_copies > 0").select(*docs.columns, F.posexplode("__mix_shards").alias("__mix_copy", "__mix_shard"))
+    filled = filled.select(*docs.columns, F.col("__mix_copies").alias("__mix_copy"), "__mix_shard")
+    return in_shards(whole.unionByName(filled), blocks, n_shards, seed).select(*docs.columns)
 
 
 def in_shards(mixed: DataFrame, blocks: DataFrame, n_shards: int, seed: int) -> DataFrame:

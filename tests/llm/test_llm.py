@@ -214,15 +214,27 @@ def test_mixed_documents_lie_in_their_shards(docs, monkeypatch):
     seen = []
     plan = mixing.shard_plan
     monkeypatch.setattr(mixing, "shard_plan", lambda *a: seen.append(plan(*a)) or seen[-1])
+    extra, fill_on = [], mixing.fill_on
+    monkeypatch.setattr(mixing, "fill_on", lambda *a: extra.append(fill_on(*a)) or extra[-1])
     mixed = mixing.mixed_documents(table, n_shards=4)
+    filled = {r.doc_id for r in extra[0].collect()}
     seats = {(r.source, r.block, r.out_shard) for r in seen[0].collect()}
     got = mixed.select("doc_id", "source", (mixing.uniform(F.lit(7), F.col("doc_id")) % 256).alias("block"), F.spark_partition_id().alias("shard")).collect()
-    assert {r.shard for r in got} == {0, 1, 2, 3} and all((r.source, r.block, r.shard) in seats for r in got)
+    assert {r.shard for r in got} == {0, 1, 2, 3} and all((r.source, r.block, r.shard) in seats or r.doc_id in filled for r in got)
     for shard in range(4):
         ids = [r.doc_id for r in got if r.shard == shard]
         assert len(ids) < 3 or ids != sorted(ids)
 
 
+def test_a_long_document_in_the_cut_block_leaves_no_target_unmet(spark):
+    size = {i: 10 for i in range(60)} | {60: 400}
+    table = spark.createDataFrame([(i, " ".join(["w"] * n), "en", "s", 0) for i, n in size.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    tagged, _ = mixing.plan(table, 4)
+    assert tagged.where("owed > 0 AND doc_id = 60").count() == 1
+    copies = Counter(r.doc_id for r in mixing.mixed_documents(table, 4).collect())
+    assert sum(size[i] * n for i, n in copies.items()) == 1500 and max(copies.values()) == 2
+
+
 def test_split_tree_is_exact(spark):
     quota = spark.createDataFrame([(0, 37), (1, 5), (2, 0), (3, 64)], "rank int, blocks long")
     tree = mixing.split_tree(quota, 8, 3).toPandas()
