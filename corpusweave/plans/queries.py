@@ -294,7 +294,7 @@ def tfidf_keywords(spark, d):
 
 @query()
 def kmeans_sweep(spark, d):
-    return analysis.kmeans_sweep(_items(spark, d).select("id", "vector"), ks=(6, 8, 10))
+    return analysis.kmeans_sweep(_items(spark, d).select("id", "vector"))
 
 
 @query("WITH c AS (SELECT label AS a, (vec_id % 10)::INT AS b, count(*) AS n FROM embeddings GROUP BY ALL), x AS (SELECT sum(n * (n - 1) / 2.0::DOUBLE) AS ij, sum(n)::DOUBLE AS n FROM c), a AS (SELECT sum(n * (n - 1) / 2.0::DOUBLE) AS s FROM (SELECT sum(n)::DOUBLE AS n FROM c GROUP BY a)), b AS (SELECT sum(n * (n - 1) / 2.0::DOUBLE) AS s FROM (SELECT sum(n)::DOUBLE AS n FROM c GROUP BY b)) SELECT round((ij - a.s * b.s / (n * (n - 1) / 2)) / ((a.s + b.s) / 2 - a.s * b.s / (n * (n - 1) / 2)), 6) AS ari FROM x, a, b")

@@ -263,3 +263,20 @@ def test_upper_median_of_large_small_and_null_groups(spark):
     data = [(k, v) for k, values in groups.items() for v in values] + [("big", None), ("none", None)]
     got = {r.k: r.median for r in analysis.upper_median(spark.createDataFrame(data, "k string, v int"), ["k"], "v").collect()}
     assert got == {k: sorted(v)[len(v) // 2] for k, v in groups.items()}
+
+
+def test_kmeans_sweep_query_tries_every_k_from_twenty_starts(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    tried, real = [], analysis.KMeans
+    never = SimpleNamespace(fit=lambda rows: SimpleNamespace(summary=SimpleNamespace(trainingCost=math.inf)))
+
+    def start(k, seed, maxIter):
+        tried.append((k, seed))
+        return real(k=k, seed=seed, maxIter=2) if seed == 42 else never
+
+    monkeypatch.setattr(analysis, "KMeans", start)
+    got = QUERIES["kmeans_sweep"](spark, DATA).collect()
+    ks = [6, 8, 10, 12, 14, 17, 20]
+    assert [r.k for r in got] == ks and sum(r.best for r in got) == 1
+    assert len(set(tried)) == len(tried) == 20 * len(ks) and {k for k, _ in tried} == set(ks)
