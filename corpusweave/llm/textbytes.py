@@ -111,8 +111,45 @@ def span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool
     return out
 
 
+def stretches(raw: np.ndarray, inside: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Borders of stretches of about ``PIECE`` bytes that cut no word; a longer word is in one."""
+    a, n = 0, len(raw)
+    while a < n:
+        z, step = min(a + PIECE, n), 256
+        while z < n:
+            gap = np.flatnonzero(~inside[raw[z:z + step]])
+            if len(gap):
+                z += int(gap[0])
+                break
+            z, step = min(z + step, n), 2 * step
+        yield a, z
+        a = z
+
+
 def words(column: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all lower-cased words of a column, and where each row's words start (one more entry at the end)."""
+    """Hashes of all lower-cased words of a column, and where each row's words start (one more entry at the end).
+
+    A long text is read stretch by stretch, so what is held beside the result doesn't grow with it.
+    """
     raw, starts = text_bytes(column)
-    begin, end, row = word_spans(raw, starts, inside)
-    return span_hashes(raw, begin, end), np.searchsorted(row, np.arange(len(column) + 1))
+    n, out = np.zeros(len(column), np.int64), [np.zeros(0, np.uint64)]
+    for a, z in stretches(raw, inside):
+        part = raw[a:z]
+        begin, end, _ = word_spans(part, np.concatenate([[0], starts[(starts > a) & (starts < z)] - a, [z - a]]), inside)
+        out.append(span_hashes(part, begin, end))
+        n += np.bincount(np.searchsorted(starts, begin + a, side="right") - 1, minlength=len(n))
+    return np.concatenate(out), np.concatenate([[0], np.cumsum(n)])
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... (``n`` numbers) for each entry, one after another."""
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+def runs(n: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of consecutive entries whose ``n`` add up to at most ``most``, or one larger entry."""
+    upto, a = np.concatenate([[0], np.cumsum(n)]), 0
+    while a < len(n):
+        z = max(a + 1, int(np.searchsorted(upto, upto[a] + most, side="right")) - 1)
+        yield slice(a, z)
+        a = z
