@@ -10,11 +10,11 @@
 
 No pair inside a component found so far is made, so large groups of copies cost their size. A set is identified by
 64 bits: under one chance collision is expected below some billion distinct texts. The banding misses a link at the
-threshold with a chance below 1e-6.
+threshold with a chance below 1e-6. A task holds a slice of a text's elements, a tile, and one text's set at most.
 
 Edge cases: null and blank texts have no set and are linked with nothing; texts shorter than a shingle are one
-shingle; repeated rows are copies of each other; a null doc_id is never the id of a component that has another; rows
-that share a doc_id are kept or dropped together; an empty table gives an empty result.
+shingle; repeated rows are copies of each other; a null doc_id is never the id of a component that has another; an
+empty table gives an empty result; columns of any name pass through ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -24,16 +24,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components
-from .store import materialize
+from .store import materialize, unused
 
 SIGNATURE = 120
 #: Similarity in hundredths -> words of the signature in a band.
 BAND_ROWS = ((85, 5), (70, 4), (0, 3))
+#: Elements of sets worked on at once.
+SLICE = 1 << 17
+#: Bytes of texts unpacked at once, and nodes and shingles of a block of a bucket.
+RAW = 2 << 20
+TILE = 2048
+TILE_SHINGLES = 1 << 19
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,21 +54,29 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
                 h = tb.mixed(h * np.uint64(5) + hashes[at + j])
             return h
 
-        made, rows = [], []
-        long = n >= k
-        if long.any():
-            count = np.where(long, n - k + 1, 0)
-            row = np.repeat(np.arange(len(n)), count)
-            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + starts[row]
-            made.append(joined(at, k))
-            rows.append(row)
+        count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+        edge = np.concatenate([[0], np.cumsum(count)])
+        h = np.empty(edge[-1], np.uint64)
+        for part in tb.runs(np.where(n >= k, count, 0), SLICE):
+            own = part.start + np.flatnonzero(n[part] >= k)
+            if len(own) == 1:  # perhaps a very long text
+                i = own[0]
+                for a in range(0, int(count[i]), SLICE):
+                    z = min(a + SLICE, int(count[i]))
+                    h[edge[i] + a:edge[i] + z] = joined(starts[i] + np.arange(a, z), k)
+            elif len(own):
+                h[tb.spread(edge[own], count[own])] = joined(tb.spread(starts[own], count[own]), k)
         for width in range(1, k):
             if len(row := np.flatnonzero(n == width)):
-                made.append(joined(starts[row], width))
-                rows.append(row)
-    if not made:
-        return np.zeros(0, np.uint64), np.zeros(len(n) + 1, np.int64)
-    h, row = np.concatenate(made), np.concatenate(rows)
+                h[edge[row]] = joined(starts[row], width)
+    del hashes
+    if len(n) == 1:
+        h.sort()
+        new = np.ones(len(h), bool)
+        np.not_equal(h[1:], h[:-1], out=new[1:])
+        h = h[new]
+        return h, np.array([0, len(h)])
+    row = np.repeat(np.arange(len(n)), count)
     by = np.argsort(h)
     by = by[np.argsort(row[by].astype(np.uint16) if len(n) < 65536 else row[by], kind="stable")]
     h, row = h[by], row[by]
@@ -75,12 +89,20 @@ def super_min_hash(elements: np.ndarray, starts: np.ndarray, m: int = SIGNATURE)
     """A row of ``m`` components per set, 2^64-1 throughout for an empty one.
 
     Element e gives component p_e(j) the value j + r_e(j), p_e being a random permutation made step by step. A set is
-    done after step j once its largest component is below j + 1. Steps run over all elements of all open sets at once.
+    done after step j once its largest component is below j + 1. Steps run over all elements of a slice at once; as a
+    union's components are the least of its parts', slices of a set go on lowering the same components.
     """
-    n = np.diff(starts)
-    out = np.full((len(n), m), np.iinfo(np.uint64).max, np.uint64)
-    row, x = np.repeat(np.arange(len(n)), n), elements.copy()
+    out = np.full((len(starts) - 1, m), np.iinfo(np.uint64).max, np.uint64)
+    rows = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    for a in range(0, len(elements), SLICE):
+        row = rows[a:a + SLICE]
+        _lower(out[row[0]:row[-1] + 1], row - row[0], elements[a:a + SLICE].copy(), m)
+    return out
+
+
+def _lower(out: np.ndarray, row: np.ndarray, x: np.ndarray, m: int) -> None:
     swapped = None
+    flat = out.reshape(-1)
     with np.errstate(over="ignore"):
         for j in range(m):
             x = tb.mixed(x + _GOLD)
@@ -93,7 +115,7 @@ def super_min_hash(elements: np.ndarray, starts: np.ndarray, m: int = SIGNATURE)
                 slot = swapped[each, pick].astype(np.int64)
                 swapped[each, pick] = swapped[:, j]
                 swapped[:, j] = slot
-            np.minimum.at(out.reshape(-1), row * m + slot, value)
+            np.minimum.at(flat, row * m + slot, value)
             if j + 1 == m:
                 break
             stay = (out.max(axis=1) >= np.uint64(j + 1) << np.uint64(32))[row]
@@ -107,7 +129,6 @@ def super_min_hash(elements: np.ndarray, starts: np.ndarray, m: int = SIGNATURE)
                 swapped[:, 0] = pick
             elif not stay.all():
                 swapped = swapped[stay]
-    return out
 
 
 def band_rows(similarity: int) -> int:
@@ -124,20 +145,21 @@ def bands(signature: np.ndarray, rows: int) -> np.ndarray:
     return keys
 
 
-SIGNED = "doc_id long, n_shingles long, node long, bands array<long>, brief binary, packed binary"
+SIGNED = "doc_id long, digest long, n_shingles long, node long, bands array<long>, brief binary, packed binary"
 
 
 def signed(docs: DataFrame, k: int, similarity: int) -> DataFrame:
-    """doc_id, set size, node (the set's identity; null for no words), band keys, a byte per component, and the compressed text."""
+    """doc_id, the text's digest, set size, node (the set's identity; null for no words), band keys, a byte per component, and the compressed text."""
     per_band = band_rows(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3, write_content_size=True)
-        for batch in tb.pieces(batches):
+        for batch in tb.pieces(batches, limit=RAW):
             sets, starts = shingle_sets(batch.column("text"), k)
             n = np.diff(starts)
             sig = super_min_hash(sets, starts)
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb.mixed(sets ^ _GOLD), dtype=np.uint64)])
+            del sets
             with np.errstate(over="ignore"):
                 node = tb.mixed(total[starts[1:]] - total[starts[:-1]] + n.astype(np.uint64)).view(np.int64)
             keys = bands(sig, per_band)
@@ -147,49 +169,82 @@ def signed(docs: DataFrame, k: int, similarity: int) -> DataFrame:
             raw, at = tb.text_bytes(batch.column("text"))
             packed = [pack.compress(raw[a:z].tobytes()) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64(), mask=n == 0),
+                batch.column("doc_id").cast(pa.int64()), batch.column("digest"), pa.array(n, pa.int64()), pa.array(node, pa.int64(), mask=n == 0),
                 pa.ListArray.from_arrays(pa.array(keys_at, pa.int32()), pa.array(keys[n > 0].reshape(-1).view(np.int64))),
                 pa.array([x.tobytes() for x in brief], pa.binary()), pa.array(packed, pa.binary())],
-                names=["doc_id", "n_shingles", "node", "bands", "brief", "packed"])
+                names=["doc_id", "digest", "n_shingles", "node", "bands", "brief", "packed"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, SIGNED)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
-    """pairs(u, v) whose full sets reach the similarity. Sorted by u, so a hub's set is made once per batch."""
-    both = (pairs.join(texts.select(F.col("node").alias("v"), F.col("packed").alias("pv")), "v")
-            .join(texts.select(F.col("node").alias("u"), F.col("packed").alias("pu")), "u"))
+def unpacked_sets(packed: list[bytes], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, sets, starts) of packed texts, unpacked a bounded number of bytes at a time."""
+    unpack = zstandard.ZstdDecompressor()
+    size = np.array([zstandard.frame_content_size(x) for x in packed], np.int64)
+    for part in tb.runs(size, RAW):
+        yield part.start, *shingle_sets(pa.array([unpack.decompress(x) for x in packed[part]], pa.large_binary()), k)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in tb.pieces(batches, "pv", 1 << 18):
-            u, v = (batch.column(c).to_numpy() for c in "uv")
-            nodes, first = np.unique(np.concatenate([u, v]), return_index=True)
-            pu, pv = batch.column("pu"), batch.column("pv")
-            texts = pa.array([unpack.decompress((pu[i] if i < len(u) else pv[i - len(u)]).as_py()) for i in first.tolist()], pa.large_binary())
-            sets, at = shingle_sets(texts, k)
-            a, b = np.searchsorted(nodes, u), np.searchsorted(nodes, v)
-            na, nb = at[a + 1] - at[a], at[b + 1] - at[b]
-            fine = 100 * np.minimum(na, nb) >= similarity * np.maximum(na, nb)
-            for i in np.flatnonzero(fine).tolist():
-                x, y = sets[at[a[i]]:at[a[i] + 1]], sets[at[b[i]]:at[b[i] + 1]]
-                found = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                common = int((x[found] == y).sum())
-                fine[i] = 100 * common >= similarity * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([pa.array(u[fine]), pa.array(v[fine])], names=["u", "v"])
-
-    return both.select("u", "v", "pu", "pv").mapInArrow(run, "u long, v long")
 
+def in_common(x: np.ndarray, y: np.ndarray) -> int:
+    return int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
 
-TILE = 2048
 
+def alike(n: Column, m: Column, similarity: int) -> Column:
+    """Whether sets of these sizes can reach the similarity."""
+    return 100 * F.least(n, m) >= similarity * F.greatest(n, m)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
+    """pairs(u, v) whose full sets reach the similarity. A hub u goes before the texts compared with it, once for each ``TILE`` of them."""
+    hub = materialize(pairs.groupBy("u").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")), "hubs")
+    near = pairs.join(hub, "u").join(texts.select(F.col("node").alias("v"), "packed"), "v")
+    near = near.select("u", F.pmod(F.xxhash64("v"), "parts").cast("int").alias("part"), "v", "packed")
+    hub = hub.join(texts.select(F.col("node").alias("u"), "packed"), "u").select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("v"), "packed")
+    rows = hub.unionByName(near).repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
 
-def tiled(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """rows(key, node, ...), counts(key, n) -> the same with block, low and high: buckets of over ``TILE`` nodes are cut
-    into blocks, and each pair of blocks is a group of its own, so no task holds a whole bucket."""
-    cut = rows.join(counts, "key").withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    return (cut.select("*", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("n", "blocks", "other"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.zeros(0, np.uint64)
+        for batch in batches:
+            u, v = batch.column("u"), batch.column("v")
+            us, vs = [], []
+            for first, sets, at in unpacked_sets(batch.column("packed").to_pylist(), k):
+                for i in range(len(at) - 1):
+                    y, other = sets[at[i]:at[i + 1]], v[first + i].as_py()
+                    if other is None:
+                        x = y.copy()
+                        continue
+                    common = in_common(x, y)
+                    if 100 * common >= similarity * (len(x) + len(y) - common):
+                        us.append(u[first + i].as_py())
+                        vs.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return rows.mapInArrow(run, "u long, v long")
+
+
+def tiled(rows: DataFrame) -> DataFrame:
+    """rows(key, node, root, size) -> the same with block, low and high, for buckets of several roots.
+
+    A bucket is cut into blocks of about ``TILE`` nodes or ``TILE_SHINGLES`` shingles, and each pair of blocks is a group of
+    its own, so no task holds a bucket. A root with more than half a block has blocks of its own, and pairs of these are
+    left out: a large component costs its size, however many small ones are in the bucket.
+    """
+    weight = F.greatest(F.count("*") / TILE, F.sum("size") / TILE_SHINGLES).alias("weight")
+    roots = rows.groupBy("key", "root").agg(weight)
+    open_ = roots.groupBy("key").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("weight") <= 0.5, F.col("weight"))).alias("small")).where("roots > 1")
+    roots = roots.join(open_, "key").withColumn("own", F.col("weight") > 0.5)
+    roots = roots.select("key", "root", "own", F.greatest(F.ceil(F.when(F.col("own"), F.col("weight")).otherwise(F.col("small"))), F.lit(1)).cast("int").alias("parts"))
+    roots = materialize(roots, "roots")
+    name = lambda own, root, nth: F.concat_ws(":", F.when(own, root).otherwise(F.lit("-")), nth)
+    blocks = roots.select("key", "own", F.when(F.col("own"), F.col("root")).alias("whose"), "parts").distinct()
+    blocks = blocks.select("key", "whose", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("nth"))
+    blocks = blocks.select("key", "whose", name(F.col("whose").isNotNull(), F.col("whose"), F.col("nth")).alias("block"))
+    other = blocks.select("key", F.col("whose").alias("other_whose"), F.col("block").alias("other"))
+    pairs = blocks.join(other, "key").where(F.coalesce(F.col("whose") != F.col("other_whose"), F.lit(True)))
+    pairs = pairs.select("key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    nth = F.pmod(F.when(F.col("own"), F.xxhash64("node")).otherwise(F.xxhash64("root")), F.col("parts"))
+    cut = rows.join(roots, ["key", "root"]).withColumn("block", name(F.col("own"), F.col("root"), nth)).drop("own", "parts")
+    return cut.join(pairs, ["key", "block"])
 
 
 def between(tiles: DataFrame, k: int, similarity: int) -> DataFrame:
@@ -202,14 +257,15 @@ def between(tiles: DataFrame, k: int, similarity: int) -> DataFrame:
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
-        block = table.column("block").to_numpy()
-        lone = block[0] == block[-1] and (block == block[0]).all()
+        _, block = np.unique(np.array(table.column("block").to_pylist(), object), return_inverse=True)
+        lone = not block.any()
         brief = np.frombuffer(b"".join(table.column("brief").to_pylist()), np.uint8).reshape(len(node), SIGNATURE)
         band = np.array(table.column("bands").to_pylist(), np.int64)
         here = band == key[0].as_py()
         first = here.argmax(axis=1)
-        unpack = zstandard.ZstdDecompressor()
-        sets, at = shingle_sets(pa.array([unpack.decompress(x) for x in table.column("packed").to_pylist()], pa.large_binary()), k)
+        sets: list[np.ndarray] = []
+        for _, h, at in unpacked_sets(table.column("packed").to_pylist(), k):
+            sets += [h[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
         names, of = np.unique(root, return_inverse=True)
         parent = list(range(len(names)))
 
@@ -220,7 +276,7 @@ def between(tiles: DataFrame, k: int, similarity: int) -> DataFrame:
             return x
 
         us, vs = [], []
-        size = np.diff(at)
+        size = np.array([len(x) for x in sets])
         for i in range(len(node) - 1):
             rest = slice(i + 1, None)
             far = of[rest] != of[i]
@@ -232,14 +288,12 @@ def between(tiles: DataFrame, k: int, similarity: int) -> DataFrame:
                 j = j[(brief[j] == brief[i]).sum(axis=1) >= need]
             if len(j) and first[i]:
                 j = j[~(band[j, :first[i]] == band[i, :first[i]]).any(axis=1)]
-            x = sets[at[i]:at[i + 1]]
             for o in j.tolist():
                 a, b = find(of[i]), find(of[o])
                 if a == b:
                     continue
-                y = sets[at[o]:at[o + 1]]
-                common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-                if 100 * common >= similarity * (len(x) + len(y) - common):
+                common = in_common(sets[i], sets[o])
+                if 100 * common >= similarity * (size[i] + size[o] - common):
                     parent[a] = b
                     us.append(node[i])
                     vs.append(node[o])
@@ -248,33 +302,60 @@ def between(tiles: DataFrame, k: int, similarity: int) -> DataFrame:
     return tiles.groupBy("key", "low", "high").applyInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs``; ``similarity`` in hundredths."""
+def grouped(docs: DataFrame, k: int, similarity: int) -> DataFrame:
+    """doc_id, digest, n_shingles, node and first: of the row's component the least row, as (no doc_id, doc_id, digest).
+
+    Equal sets are one node before bands are made, so a group of exact copies costs one node's bands.
+    """
     rows = materialize(signed(docs, k, similarity), "signed")
-    keyed = rows.where("node IS NOT NULL").select(F.explode("bands").alias("key"), "node")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("most")).where("u < most")
-    bucketed = materialize(keyed.join(shared.select("key", "u"), "key").select("key", "node", "u").distinct(), "buckets")
-    stars = materialize(bucketed.where("node <> u").select("u", F.col("node").alias("v")).distinct(), "stars")
+    some = rows.where("node IS NOT NULL")
+    nodes = materialize(some.groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("bands").alias("bands"),
+                                                 F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "digest")).alias("first")), "nodes")
+    keyed = nodes.select(F.explode("bands").alias("key"), "node", "size")
+    hub = F.struct("node", "size")
+    shared = keyed.groupBy("key").agg(F.min(hub).alias("hub"), F.max("node").alias("most")).where("hub.node < most")
+    bucketed = materialize(keyed.join(shared.select("key", F.col("hub.node").alias("u"), F.col("hub.size").alias("u_size")), "key"), "buckets")
+    stars = bucketed.where(F.col("node") != F.col("u")).where(alike(F.col("size"), F.col("u_size"), similarity))
+    stars = materialize(stars.select("u", F.col("node").alias("v")).distinct(), "stars")
     near = bucketed.select("node").distinct()
-    texts = materialize(rows.where("node IS NOT NULL").select("node", "packed", "brief", "bands").join(near, "node", "left_semi")
+    texts = materialize(some.select("node", "packed", "brief", "bands").join(near, "node", "left_semi")
                         .groupBy("node").agg(F.first("packed").alias("packed"), F.first("brief").alias("brief"), F.first("bands").alias("bands")), "texts")
     links = materialize(verified(stars, texts, k, similarity), "links")
     roots = components(links)
-    named = bucketed.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_ = named.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("most"), F.count("*").alias("n")).where("r < most").select("key", "n")
-    late = materialize(between(tiled(named, open_).join(texts, "node"), k, similarity), "links")
+    named = bucketed.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    late = materialize(between(tiled(named).join(texts, "node"), k, similarity), "links")
     if late.limit(1).count():
         roots = components(links.unionByName(late))
-    ids = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    ids = ids.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(ids.join(least, "root").select("node", "component_id"), "components")
-    done = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return done.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    ids = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    least = ids.groupBy("root").agg(F.min("first").alias("first"))
+    named = materialize(ids.drop("first").join(least, "root").select("node", "first"), "components")
+    return rows.select("doc_id", "digest", "n_shingles", "node").join(named, "node", "left")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs``; ``similarity`` in hundredths."""
+    component = F.coalesce("first.doc_id", "doc_id")
+    return grouped(docs, k, similarity).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    gone = materialize(near_duplicates(docs, k, similarity).where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
+    """One row of ``docs`` for each component, with all its columns, and all rows without words.
+
+    The row of least doc_id stays, null being the largest; of rows that share it the one whose text has the least hash; and
+    of repeated rows, which share both, one. Rows that share a doc_id but are not alike are told apart by their texts.
+    """
+    done = materialize(grouped(docs, k, similarity).where("node IS NOT NULL").select("doc_id", "digest", "first"), "grouped")
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    i, d = (unused(docs, c) for c in ("near_id", "near_digest"))
+    row = lambda t: t.select(F.col("doc_id").alias(i), F.col("digest").alias(d))
+    again = row(done.where(own)).groupBy(i, d).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    gone = materialize(row(done.where(~own)).distinct(), "gone")
+    again = materialize(again, "again")
+    own_digest = unused(docs, "near_own")
+    told = docs.withColumn(own_digest, F.xxhash64("text"))
+    same = told["doc_id"].eqNullSafe(F.col(i)) & (told[own_digest] == F.col(d))
+    single = told.join(gone.unionByName(again), same, "left_anti").select(*docs.columns)
+    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    first = told.join(again, same, "left_semi").groupBy(F.col("doc_id").alias(i), F.col(own_digest).alias(d)).agg(
+        F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("row"))
+    return single.unionByName(first.select(*(F.col("row")[c].alias(c) for c in docs.columns)))

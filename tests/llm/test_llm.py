@@ -300,6 +300,7 @@ def brute_groups(data, k, sim):
 @pytest.mark.parametrize("k,sim,tile", [(3, 85, 2048), (5, 80, 4)])
 def test_near_duplicates(spark, rows, monkeypatch, k, sim, tile):
     monkeypatch.setattr(near_dedup, "TILE", tile)
+    monkeypatch.setattr(near_dedup, "TILE_SHINGLES", 200 * tile)
     data = [(r[0], r[1]) for r in rows]
     words = prose("en", 100).split()
     for n in range(12):  # a chain: neighbours are near, the ends are not
