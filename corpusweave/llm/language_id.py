@@ -5,8 +5,8 @@ table. A text is the mean of its rows, then a linear layer and a softmax. Scores
 texts whose calibrated score is under a threshold, set where nearly all held-out sample texts pass, can be rejected.
 As mean and layer are linear, prediction adds one precomputed row of logits per subword.
 
-The fit uses a sample of at most ``SAMPLE_ROWS`` labelled rows of at most ``SAMPLE_BYTES`` each; predictions use whole
-texts. Edge cases: a null text or one without a letter is ``und`` with score 0 and is rejected; without labelled rows
+The fit uses a sample of at most ``SAMPLE_ROWS`` labelled rows of at most ``SAMPLE_BYTES`` each, and of their lines
+``LINES`` drawn at random; predictions use whole texts. Scores have six digits. Edge cases: a null text or one without a letter is ``und`` with score 0 and is rejected; without labelled rows
 everything is; ties go to the first label in order; repeated rows get equal answers; an empty table gives an empty result.
 """
 
@@ -23,14 +23,17 @@ from pyspark.sql import types as T
 
 from . import textbytes as tb
 from .sampling import held_out, labelled_sample
+from .store import unused
 
 SAMPLE_ROWS = 2000
 SAMPLE_BYTES = 64 << 10
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 DIMENSION = 16
+#: Lines of the sample that the fit goes over.
 LINES = 9000
 EPOCHS = 4
+STRETCH = 1 << 18
 
 _FOLD = np.zeros(256, np.uint8)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
@@ -71,11 +74,17 @@ class Model:
     least: float = 0.0
 
     def raw_scores(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Logits of each text, read in stretches, so what is held doesn't grow with a long text."""
         sums = np.zeros((len(starts) - 1, len(self.labels) + 1), np.float64)
-        some = np.flatnonzero(np.diff(starts) > 0)
-        if len(some):
-            for h in subwords(raw, starts):
-                sums[some] += np.add.reduceat(self.logits[h], starts[some], axis=0)
+        for a in range(0, len(raw), STRETCH):
+            z = min(a + STRETCH, len(raw))
+            low, high = max(a - 1, 0), min(z + max(ORDERS), len(raw))
+            edges = np.concatenate([[0], starts[(starts > low) & (starts < high)] - low, [high - low]])
+            rows = np.arange(np.searchsorted(starts, a, side="right") - 1, np.searchsorted(starts, z))
+            rows = rows[starts[rows + 1] > np.maximum(starts[rows], a)]
+            begin = np.maximum(starts[rows], a) - low
+            for h in subwords(raw[low:high], edges):
+                sums[rows] += np.add.reduceat(self.logits[h[:z - low]], begin, axis=0)
         return sums[:, :-1] / np.maximum(sums[:, -1:], 1) + self.bias
 
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +144,7 @@ def fit(texts: pa.Array, labels: list[str], seed: int = 11) -> Model:
             bias -= rate * 0.01 * p.sum(axis=0).astype(np.float32)
             np.add.at(embed, flat, -rate * 5 * np.repeat(back, size, axis=0))
             steps += 1
-    logits = np.zeros((BUCKETS + 1, len(names) + 1), np.float32)
+    logits = np.zeros((BUCKETS + 1, len(names) + 1))
     logits[:-1, :-1] = np.where(seen[:, None], embed @ weight, 0)
     logits[:-1, -1] = 1
     model = Model(names, logits, bias.astype(np.float64))
@@ -162,7 +171,7 @@ def _judge(batch: pa.RecordBatch, model: Model, letter: str) -> tuple[list[str],
     if not model.labels:
         return ["und"] * len(lettered), np.zeros(len(lettered)), np.ones(len(lettered), bool)
     best, score = model.predict(batch.column("text"))
-    score = np.where(lettered, score, 0.0)
+    score = np.where(lettered, score.round(6), 0.0)
     return [model.labels[i] if a else "und" for i, a in zip(best.tolist(), lettered.tolist(), strict=True)], score, ~lettered | (score < model.least)
 
 
@@ -185,11 +194,11 @@ def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns, in one pass."""
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs))
     plain = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
-    letter = "__letter"
+    letter = unused(docs, "has_letter")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.pieces(batches):
             _, _, gone = _judge(batch, sent.value, letter)
-            yield batch.select([f.name for f in plain]).filter(pa.array(~gone))
+            yield batch.drop_columns([letter]).filter(pa.array(~gone))
 
     return docs.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, plain)

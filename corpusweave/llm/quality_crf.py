@@ -27,6 +27,9 @@ from .sampling import held_out, labelled_sample
 SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 64 << 10
 STEPS = 150
+#: Bytes of text, and lines, looked at together.
+STRETCH = 1 << 20
+LINES = 1 << 15
 
 
 def _class(characters: str) -> np.ndarray:
@@ -60,49 +63,59 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     end[:-1] = begin[1:] - 1
     end[at[1:] - 1] = starts[1:]
     size = end - begin
-    counts = []
-    for table in COUNTS:
-        sums = np.concatenate([[0], np.cumsum(table[raw], dtype=np.int64)])
-        counts.append(sums[end] - sums[begin])
-    w_begin, w_end, _ = tb.word_spans(raw, starts, tb.SPACED)
-    h = tb.span_hashes(raw, w_begin, w_end)
-    first, last = np.searchsorted(w_begin, begin), np.searchsorted(w_begin, end)
-    n = last - first
-    again = np.zeros(len(h) + 1, np.int64)
-    line = np.searchsorted(begin, w_begin, side="right") - 1
-    for back in (1, 2):
-        again[back + 1:] |= (h[back:] == h[:-back]) & (line[back:] == line[:-back])
-    again = np.cumsum(again)
-    some = np.flatnonzero(size > 0)
-    line_hash = np.zeros(len(size), np.uint64)
-    line_hash[some] = tb.span_hashes(raw, begin[some], end[some])
+    counts = np.zeros((len(COUNTS), len(size)), np.int64)
+    n, again, line_hash = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), np.zeros(len(size), np.uint64)
+    for part in tb.runs(size + 1, STRETCH):
+        piece = raw[begin[part.start]:end[part.stop - 1]]
+        b, e = begin[part] - begin[part.start], end[part] - begin[part.start]
+        hashes, first = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for low, high in tb.stretches(piece, tb.SPACED):  # several where one line is long
+            cut, b_in, e_in = piece[low:high], np.clip(b, low, high) - low, np.clip(e, low, high) - low
+            for i, table in enumerate(COUNTS):
+                sums = np.concatenate([[0], np.cumsum(table[cut], dtype=np.int64)])
+                counts[i, part] += sums[e_in] - sums[b_in]
+            w_begin, w_end, _ = tb.word_spans(cut, np.unique(np.concatenate([[0], b_in, [high - low]])), tb.SPACED)
+            hashes.append(tb.span_hashes(cut, w_begin, w_end))
+            first.append(w_begin + low)
+        h, w_begin = np.concatenate(hashes), np.concatenate(first)
+        low, high = np.searchsorted(w_begin, b), np.searchsorted(w_begin, e)
+        n[part] = high - low
+        line = np.searchsorted(b, w_begin, side="right") - 1
+        repeat = np.zeros(len(h) + 1, np.int64)
+        for back in (1, 2):
+            repeat[back + 1:] |= (h[back:] == h[:-back]) & (line[back:] == line[:-back])
+        repeat = np.cumsum(repeat)
+        again[part] = repeat[high] - repeat[low]
+        some = np.flatnonzero(size[part] > 0)
+        line_hash[part.start + some] = tb.span_hashes(piece, b[some], e[some])
     of = np.repeat(np.arange(rows), np.diff(at))
     by = np.lexsort((line_hash, of))
     seen = np.zeros(len(size), bool)
     seen[by[1:]] = (line_hash[by[1:]] == line_hash[by[:-1]]) & (of[by[1:]] == of[by[:-1]]) & (line_hash[by[1:]] > 0)
     per_word, per_byte = np.maximum(n, 1), np.maximum(size, 1)
-    ratio = lambda x, y: np.digitize(x / y, RATIO)
+    ratio = lambda x, y: np.digitize(x / y, RATIO).astype(np.int16)
     symbols, bangs, upper, digits, letters, stops, pipes = counts
     bins = np.stack([ratio(symbols, per_word), ratio(bangs, per_word), ratio(upper, np.maximum(letters, 1)), ratio(digits, per_byte), ratio(letters, per_byte), ratio(stops, per_word),
-                     ratio(pipes, per_word), ratio(again[last] - again[first], per_word), np.digitize(n, LENGTH), np.digitize(letters / per_word, LENGTH * 0.5 + 1.5),
-                     np.where(seen, 1, 0), np.digitize(np.diff(at)[of], LENGTH)], axis=1)
-    out = np.empty((len(size), 3, METRICS), np.int64)
+                     ratio(pipes, per_word), ratio(again, per_word), np.digitize(n, LENGTH).astype(np.int16), np.digitize(letters / per_word, LENGTH * 0.5 + 1.5).astype(np.int16),
+                     seen.astype(np.int16), np.digitize(np.diff(at)[of], LENGTH).astype(np.int16)], axis=1)
+    out = np.empty((len(size), 3, METRICS), np.int16)
     edge_first, edge_last = np.zeros(len(size), bool), np.zeros(len(size), bool)
     edge_first[at[:-1]] = edge_last[at[1:] - 1] = True
     out[:, 0] = bins
     out[1:, 1], out[:-1, 2] = bins[:-1], bins[1:]
     out[edge_first, 1] = out[edge_last, 2] = EACH
-    return out.reshape(len(size), -1) + np.arange(3 * METRICS) * (EACH + 1), size, at
+    return out.reshape(len(size), -1) + np.arange(3 * METRICS, dtype=np.int16) * np.int16(EACH + 1), size, at
 
 
-def forward_backward(score: np.ndarray, at: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals of "good", expected label pairs (2 x 2) and log of the partition sum of each chain.
+def forward_backward(score: np.ndarray, at: np.ndarray, tie: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of "good", expected label pairs (2 x 2, each chain's times its ``weight``) and log of the partition sum of each chain.
 
     ``score``: by line, of good against bad. Chains advance together, longest first, so a step is a slice.
     """
     n = np.diff(at)
+    weight = np.ones(len(n)) if weight is None else weight
     order = np.argsort(-n, kind="stable")
-    first, n = at[:-1][order], n[order]
+    first, n, weight = at[:-1][order], n[order], weight[order]
     most = int(n[0]) if len(n) else 0
     live = np.searchsorted(-n, -np.arange(most), side="left")
     emit = np.stack([np.zeros(len(score)), score], axis=1)
@@ -124,7 +137,7 @@ def forward_backward(score: np.ndarray, at: np.ndarray, tie: np.ndarray) -> tupl
         after = back[i + 1] * local[i + 1]
         b = after @ pot.T
         both = ahead[i][:, :, None] * pot[None] * after[:, None, :]
-        pairs += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        pairs += (both * (weight[:len(i)] / both.sum(axis=(1, 2)))[:, None, None]).sum(axis=0)
         back[i] = b / b.sum(axis=1, keepdims=True)
     both = ahead * back
     return both[:, 1] / both.sum(axis=1), pairs, np.add.reduceat(logs, at[:-1]) if len(at) > 1 else np.zeros(0)
@@ -137,9 +150,14 @@ class Model:
     tie: np.ndarray
     scale: tuple[float, float]
 
+    def lines(self, features: np.ndarray) -> np.ndarray:
+        """Score of each line of being good against bad, by itself and its neighbours' features."""
+        parts = [self.weight[features[a:a + LINES]].sum(axis=1) for a in range(0, len(features), LINES)]
+        return np.concatenate([*parts, np.zeros(0)]) + self.bias
+
     def quality(self, features: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log odds of the length-weighted mean marginal of each document."""
-        good, _, _ = forward_backward(self.weight[features].sum(axis=1) + self.bias, at, self.tie)
+        good, _, _ = forward_backward(self.lines(features), at, self.tie)
         w = size + 1.0
         q = np.add.reduceat(good * w, at[:-1]) / np.add.reduceat(w, at[:-1])
         q = np.clip(q, 1e-6, 1 - 1e-6)
@@ -165,17 +183,17 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     linked[at[1:] - 1] = False
     real = np.zeros((2, 2))
     inner = np.flatnonzero(linked)
-    np.add.at(real, (y[inner].astype(int), y[inner + 1].astype(int)), 1.0)
+    np.add.at(real, (y[inner].astype(int), y[inner + 1].astype(int)), part[inner])
     theta = np.zeros(WIDTH + 1 + 4)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    m, v, flat = np.zeros_like(theta), np.zeros_like(theta), features.ravel().astype(np.int64)
     for step in range(1, STEPS + 1):
         model.weight, model.bias, model.tie = theta[:WIDTH], theta[WIDTH], theta[WIDTH + 1:].reshape(2, 2)
-        good, pairs, _ = forward_backward(model.weight[features].sum(axis=1) + model.bias, at, model.tie)
+        good, pairs, _ = forward_backward(model.lines(features), at, model.tie, doc / n)
         miss = (y - good) * part
         grad = np.zeros_like(theta)
-        grad[:WIDTH] = np.bincount(features.ravel(), np.repeat(miss, features.shape[1]), WIDTH)
+        grad[:WIDTH] = np.bincount(flat, np.repeat(miss, features.shape[1]), WIDTH)
         grad[WIDTH] = miss.sum()
-        grad[WIDTH + 1:] = ((real - pairs) / max(len(inner), 1)).ravel()
+        grad[WIDTH + 1:] = (real - pairs).ravel()
         grad -= 1e-4 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad ** 2
         theta = theta + 0.08 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)

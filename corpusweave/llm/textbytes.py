@@ -100,7 +100,15 @@ def span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool
             upto = max(at + 1, int(np.searchsorted(end, begin[at] + PIECE, side="right")))
             base, stop = begin[at], end[upto - 1]
             n = int(stop - base)
-            up, down = _powers(max(PIECE, 1 << (n - 1).bit_length()))
+            up, down = _powers(PIECE)
+            if n > PIECE:  # one long span
+                total = n
+                for a in range(0, n, PIECE):
+                    part = table[raw[base + a:min(base + a + PIECE, stop)]]
+                    total += int((part * up[:len(part)]).sum(dtype=np.uint64)) * pow(int(_BASE), a, 2**64)
+                out[at] = total % 2**64
+                at = upto
+                continue
             sums = np.zeros(n + 1, np.uint64)
             np.cumsum(table[raw[base:stop]] * up[:n], out=sums[1:])
             b, e = begin[at:upto] - base, end[at:upto] - base
