@@ -235,7 +235,7 @@ def tiled(rows: DataFrame) -> DataFrame:
     roots = roots.join(open_, "key").withColumn("own", F.col("weight") > 0.5)
     roots = roots.select("key", "root", "own", F.greatest(F.ceil(F.when(F.col("own"), F.col("weight")).otherwise(F.col("small"))), F.lit(1)).cast("int").alias("parts"))
     roots = materialize(roots, "roots")
-    name = lambda own, root, nth: F.concat_ws(":", F.when(own, root).otherwise(F.lit("-")), nth)
+    name = lambda own, root, nth: F.concat_ws(":", F.when(own, root.cast("string")).otherwise(F.lit("-")), nth)
     blocks = roots.select("key", "own", F.when(F.col("own"), F.col("root")).alias("whose"), "parts").distinct()
     blocks = blocks.select("key", "whose", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("nth"))
     blocks = blocks.select("key", "whose", name(F.col("whose").isNotNull(), F.col("whose"), F.col("nth")).alias("block"))
