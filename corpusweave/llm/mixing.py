@@ -1,32 +1,34 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree (native).
 
 Documents fall into blocks of their source. A source's target in words fixes its exact quota of blocks, whole
-passes first; the words still missing come from one further block, cut at a document, and in ``mixed_documents`` from
-the blocks after it as well, until no document left fits. A tree then splits the
-quotas of all sources among the output shards: at each node the left half's seats are drawn from the node's
-blocks without replacement, so every shard's quotas are exact and sum to the sources' quotas. Each shard draws
-the next blocks of each source's permutation, disjoint from other shards', and is shuffled locally.
-
-Every draw is a function of the seed, so reruns agree. Edge cases: a null text has no words and is in no
+passes first; the words still missing come from one further block, cut at a document, and what is owed then from the
+largest documents left that fit, size by size, until none does. A tree splits the quotas of all sources among the
+output shards: at each node the left half's seats are drawn from the node's blocks without replacement, so every
+shard's quotas are exact and sum to the sources' quotas. Each shard draws the next blocks of each source's permutation,
+disjoint from other shards', and is shuffled locally. A document's copies are the shards it is dealt to.
+
+Blocks grow with the square root of the rows, so neither a block nor a source's list of blocks is ever a large part of
+the table. Every draw is a function of the seed, so reruns agree. Edge cases: a null text has no words and is in no
 shortage of a target; null sources are one source, the last; a source without words has target 0; repeated rows
-are drawn like any others; an empty table gives an empty result.
+are drawn like any others; an empty table gives an empty result; columns of any name pass through ``mixed_documents``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import let, materialize
+from .store import let, materialize, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
+#: Blocks of a source, for few rows.
 BLOCKS = 256
 SHARDS = 16
 PIECE_WORDS = 1 << 22
-FILL_ROUNDS = 4
-SPACE = r"[\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
@@ -83,23 +85,29 @@ def split_tree(quota: DataFrame, n_shards: int, seed: int) -> DataFrame:
 
     def seats_taken(k: Column, seats: Column, pool: Column, coin: Column) -> Column:
         """Hypergeometric draw by inverting its distribution: ``seats`` drawn from ``pool`` blocks of which ``k`` count.
-        The chances are held as logarithms; their number is at most the quota, so at most 2 x the blocks of a source."""
-        low, high = F.greatest(seats - (pool - k), F.lit(0)), F.least(seats, k)
-        steps = F.when(high > low, F.sequence(low, F.greatest(high - 1, low))).otherwise(F.array().cast("array<bigint>"))
 
-        def onward(acc: Column, j: Column) -> Column:
-            ratio = (k - j) * (seats - j) / ((j + 1) * (pool - k - seats + j + 1))
-            return let(acc["last"] + F.log(ratio), lambda x: F.struct(x.alias("last"), F.array_append(acc["all"], x).alias("all")))
+        The chances are logarithms, relative to the first, within ten standard deviations of the mean; beyond it they are
+        below 1e-20. They are gone over one after another and never stored: for the largest, for the sum, for the place.
+        """
+        mean = seats * k / F.greatest(pool, F.lit(1))
+        spread = 10 * F.sqrt(mean * (1 - k / F.greatest(pool, F.lit(1))) * (pool - seats) / F.greatest(pool - 1, F.lit(1))) + 10
+        low = F.greatest(seats - (pool - k), F.lit(0), F.floor(mean - spread)).cast("long")
+        high = F.least(seats, k, F.ceil(mean + spread)).cast("long")
+        steps = F.when(high > low, F.sequence(low, F.greatest(high - 1, low))).otherwise(F.array().cast("array<bigint>"))
+        onward = lambda last, j: last + F.log((k - j) * (seats - j) / ((j + 1) * (pool - k - seats + j + 1)))
 
-        logs = F.aggregate(steps, F.struct(F.lit(0.0).alias("last"), F.array(F.lit(0.0)).alias("all")), onward, lambda acc: acc["all"])
+        def over(start: Column, step, finish) -> Column:
+            """``step(state, logarithm)`` for each chance after the first."""
+            begin = F.struct(F.lit(0.0).alias("last"), start.alias("x"))
+            return F.aggregate(steps, begin, lambda acc, j: let(onward(acc["last"], j), lambda v: F.struct(v.alias("last"), step(acc["x"], v).alias("x"))), lambda acc: finish(acc["x"]))
 
-        def invert(chances: Column) -> Column:
-            total = F.aggregate(chances, F.lit(0.0), lambda a, x: a + x)
-            return let(coin * total, lambda goal: F.aggregate(
-                chances, F.struct(F.lit(0.0).alias("run"), F.lit(0).cast("long").alias("n")),
-                lambda a, x: F.struct((a["run"] + x).alias("run"), (a["n"] + (a["run"] + x < goal).cast("long")).alias("n")), lambda a: a["n"]))
+        def place(most: Column) -> Column:
+            first = F.exp(-most)
+            total = over(first, lambda x, v: x + F.exp(v - most), lambda x: x)
+            state = lambda run, n: F.struct(run.alias("run"), n.alias("n"))
+            return let(coin * total, lambda goal: over(state(first, (first < goal).cast("long")), lambda x, v: let(x["run"] + F.exp(v - most), lambda r: state(r, x["n"] + (r < goal).cast("long"))), lambda x: x["n"]))
 
-        return F.least(low + let(logs, lambda v: let(F.transform(v, lambda x: F.exp(x - F.array_max(v))), invert)), high)
+        return F.least(low + let(over(F.lit(0.0), F.greatest, lambda x: x), place), high)
 
     def draw(left_seats: Column, node: Column, tag: Column) -> Column:
         """Left half's blocks by source, drawn source after source from the blocks left."""
@@ -122,73 +130,64 @@ def split_tree(quota: DataFrame, n_shards: int, seed: int) -> DataFrame:
     def deeper(nodes: Column, first: int) -> Column:
         return F.flatten(F.transform(nodes, lambda node, i: halves(node, i + first)))
 
-    nodes, level = F.array("q"), 1
-    while level < n_shards:
-        nodes, level = deeper(nodes, level - 1), 2 * level
-    nodes = one.select(nodes.alias("nodes"))
+    nodes, level = one.select(F.array("q").alias("nodes")), 1
+    while level < n_shards:  # a step for each level, as the analyser goes a bounded number of functions deep
+        nodes, level = nodes.select(deeper(F.col("nodes"), level - 1).alias("nodes")), 2 * level
     flat = nodes.select(F.posexplode("nodes").alias("shard", "n")).select("shard", F.explode("n").alias("x")).select("x.rank", "shard", "x.blocks")
     before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return flat.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0)))
 
 
-def plan(docs: DataFrame, seed: int = 7, n_blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """(rows, blocks): rows has doc_id, source, size, key, block, source_size, target and copies for each row of ``docs``."""
-    text = F.col("text")
-    rows = docs.select("doc_id", "source", word_count(text).alias("size"))
-    rows = materialize(rows.withColumn("key", uniform(F.lit(seed), F.col("doc_id"))).withColumn("block", (F.col("key") % n_blocks).cast("int")), "mix-rows")
+def block_count(n_rows: int) -> int:
+    """Blocks of a source: 256, or the power of two at the square root of the rows, whichever is more."""
+    return max(BLOCKS, 1 << math.ceil(math.log2(max(n_rows, 1)) / 2))
+
+
+def plan(docs: DataFrame, seed: int = 7, n_blocks: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(rows, blocks, number of blocks): rows has a number, doc_id, source, size, key, block, source_size, target and copies for each row of ``docs``."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    rows = materialize(rows.withColumn("key", uniform(F.lit(seed), F.col("doc_id"))), "mix-rows")  # written, so that a row keeps its number
+    n_blocks = n_blocks or block_count(rows.count())
+    rows = rows.withColumn("block", (F.col("key") % n_blocks).cast("int"))
     totals = rows.groupBy("source", "block").agg(F.sum("size").alias("words"))
     goals = targets(totals.groupBy("source").agg(F.sum("words").alias("source_size")))
     blocks = materialize(quotas(totals, goals, seed), "mix-blocks")
     b = blocks.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "source_size", "target", "copies", "owed", "place")
     tagged = rows.join(b, rows["source"].eqNullSafe(b["b_source"]) & (rows["block"] == b["b_block"])).drop("b_source", "b_block")
-    return tagged, blocks
-
-
-def fill(tagged: DataFrame, rounds: int = FILL_ROUNDS) -> DataFrame:
-    """Cut blocks: documents in key order as long as they fit what is owed; each round tries those that did not fit before."""
-    return tagged.where(F.col("owed") <= 0).drop("owed").unionByName(fill_cut(tagged, rounds))
+    return tagged, blocks, n_blocks
 
 
-def fill_cut(tagged: DataFrame, rounds: int = FILL_ROUNDS) -> DataFrame:
-    """The rows of cut blocks, one block a source, with their copies."""
-    cut = fill_rounds(tagged, rounds)
-    return cut.withColumn("copies", F.col("copies") + F.col("extra")).drop("owed", "extra")
+def fill(tagged: DataFrame) -> DataFrame:
+    """row, doc_id, source, size, block of each row taken once more than its block is drawn.
 
-
-def fill_rounds(tagged: DataFrame, rounds: int) -> DataFrame:
-    """The rows of cut blocks with ``extra``, 1 if taken once more, and what is ``owed`` after it."""
-    cut = tagged.where(F.col("owed") > 0).withColumn("extra", F.lit(0))
-    part = Window.partitionBy("source", "block")
-    for _ in range(rounds):
-        order = part.orderBy(F.when((F.col("extra") == 0) & (F.col("size") <= F.col("owed")), F.lit(0)).otherwise(F.lit(1)), "key", "doc_id", "size")
-        can = (F.col("extra") == 0) & (F.col("size") <= F.col("owed"))
-        upto = F.sum(F.when(can, F.col("size")).otherwise(F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-        cut = cut.withColumn("now", F.when(can & (upto <= F.col("owed")), F.lit(1)).otherwise(F.lit(0)))
-        cut = cut.withColumn("owed", F.col("owed") - F.sum(F.col("now") * F.col("size")).over(part)).withColumn("extra", F.col("extra") + F.col("now")).drop("now")
-    return cut
-
-
-def fill_on(tagged: DataFrame) -> DataFrame:
-    """doc_id, source, size, block of each row taken once more, until no row left fits what its source is owed.
-
-    Rows of the cut block are tried in key order, then those of the next blocks of the source's permutation. After the
-    first row that does not fit, less is owed than that row's words, and of each size s only the first owed / s rows can
-    be taken: one fold per source over that many rows, at most its longest document's words times their logarithm.
+    First the rows of the cut block, in key order, as long as they fit what its source is owed. What is owed then is less
+    than the words of one document: it is filled from the rows left of that block and of the undrawn blocks after it, the
+    largest first that fit. One fold per source goes over the sizes (not the rows) of at most that many words and says how
+    many rows of each are taken; blocks in their order say which.
     """
-    first = materialize(fill_rounds(tagged, 1), "mix-first")
-    start = first.groupBy(F.col("source").alias("s_source")).agg(F.max("owed").alias("left"), F.max("place").alias("cut_place"))
-    pool = first.where("extra = 0").drop("extra").unionByName(tagged.where(F.col("owed") <= 0))
-    pool = pool.join(start, pool["source"].eqNullSafe(start["s_source"])).where("place >= cut_place AND size BETWEEN 1 AND left")
-    for part in (("source", "size", "block"), ("source", "size")):
-        nth = F.row_number().over(Window.partitionBy(*part).orderBy("place", "key", "doc_id"))
-        pool = pool.withColumn("nth", nth).where(F.col("nth") <= F.col("left") / F.col("size"))
-    row = F.struct("place", "key", "doc_id", "size", "block")
-    tried = pool.groupBy("source").agg(F.max("left").alias("left"), F.sort_array(F.collect_list(row)).alias("rows"))
-    none = F.slice("rows", 1, 0)
-    taken = F.aggregate("rows", F.struct(F.col("left").alias("left"), none.alias("out")), lambda acc, x: F.when(
-        x["size"] <= acc["left"], F.struct((acc["left"] - x["size"]).alias("left"), F.array_append(acc["out"], x).alias("out"))).otherwise(acc), lambda acc: acc["out"])
-    taken = tried.select("source", F.explode(taken).alias("x")).select("x.doc_id", "source", "x.size", "x.block")
-    return first.where("extra = 1 OR size = 0").select("doc_id", "source", "size", "block").unionByName(taken)
+    mine = ["row", "doc_id", "source", "size", "block", "place", "key"]
+    order = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    first = tagged.where("owed > 0").withColumn("upto", F.sum(F.when(F.col("size") <= F.col("owed"), F.col("size")).otherwise(0)).over(order))
+    first = materialize(first.withColumn("fits", (F.col("size") <= F.col("owed")) & (F.col("upto") <= F.col("owed"))), "mix-first")
+    left = first.groupBy(F.col("source").alias("s_source")).agg((F.max("owed") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("left"), F.max("place").alias("cut_place"))
+    pool = first.where("NOT fits").select(*mine).unionByName(tagged.where("owed <= 0").select(*mine))
+    pool = pool.join(left, pool["source"].eqNullSafe(left["s_source"])).where("place >= cut_place AND size BETWEEN 1 AND left").drop("s_source", "cut_place")
+    counts = materialize(pool.groupBy("source", "size", "block", "place").agg(F.count("*").alias("n"), F.max("left").alias("left")), "mix-pool")
+    sizes = counts.groupBy("source", "size").agg(F.sum("n").alias("n"), F.max("left").alias("left"))
+    sizes = sizes.groupBy("source").agg(F.max("left").alias("left"), F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
+    fitting = lambda x, owed: F.least(x["n"], F.floor(owed / x["size"])).cast("long")
+    none = F.array().cast("array<struct<size:bigint,n:bigint>>")
+    taken = F.aggregate("sizes", F.struct(F.col("left").alias("left"), none.alias("out")), lambda acc, x: let(fitting(x, acc["left"]), lambda n: F.when(
+        n > 0, F.struct((acc["left"] - n * x["size"]).alias("left"), F.array_append(acc["out"], F.struct(x["size"].alias("size"), n.alias("n"))).alias("out"))).otherwise(acc)), lambda acc: acc["out"])
+    taken = sizes.select(F.col("source").alias("s_source"), F.explode(taken).alias("x")).select("s_source", F.col("x.size").alias("s_size"), F.col("x.n").alias("wanted"))
+    each = counts.join(taken, counts["source"].eqNullSafe(taken["s_source"]) & (counts["size"] == taken["s_size"]))
+    before = Window.partitionBy("source", "size").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("here", F.least("n", F.col("wanted") - F.coalesce(F.sum("n").over(before), F.lit(0)))).where("here > 0")
+    each = each.select(F.col("source").alias("e_source"), F.col("size").alias("e_size"), F.col("block").alias("e_block"), "here")
+    pool = pool.join(each, pool["source"].eqNullSafe(each["e_source"]) & (pool["size"] == each["e_size"]) & (pool["block"] == each["e_block"]))
+    nth = F.row_number().over(Window.partitionBy("source", "size", "block").orderBy("key", "doc_id", "row"))
+    more = pool.withColumn("nth", nth).where("nth <= here")
+    return first.where("fits").select(*mine[:5]).unionByName(more.select(*mine[:5]))
 
 
 def shard_plan(blocks: DataFrame, n_shards: int = SHARDS, seed: int = 7) -> DataFrame:
@@ -210,13 +209,24 @@ def block_seats(blocks: DataFrame, n_shards: int = SHARDS, seed: int = 7) -> Dat
     return shard_plan(blocks, n_shards, seed).groupBy("source", "block").agg(F.transform(each, lambda x: x["out_shard"]).alias("shards"))
 
 
+def last_seats(blocks: DataFrame, seats: DataFrame) -> DataFrame:
+    """l_source, last: the shard of each source's cut block, where the rows go that fill up its target."""
+    cut = blocks.where("owed > 0").select(F.col("source").alias("l_source"), F.col("block").alias("l_block"), "copies")
+    same = cut["l_source"].eqNullSafe(seats["s_source"]) & (cut["l_block"] == seats["s_block"])
+    return cut.join(seats, same).select("l_source", F.get("shards", F.col("copies")).alias("last"))
+
+
 def dealt(docs: DataFrame, n_shards: int = SHARDS, seed: int = 7) -> DataFrame:
     """Every row of ``docs`` as in ``plan``, with the shards that its copies are dealt to; a row that is not taken has none."""
-    tagged, blocks = plan(docs, seed)
-    rows = fill(tagged)
+    tagged, blocks, _ = plan(docs, seed)
     seats = materialize(block_seats(blocks, n_shards, seed), "mix-seats").withColumnsRenamed({"source": "s_source", "block": "s_block"})
-    rows = rows.join(seats, rows["source"].eqNullSafe(seats["s_source"]) & (rows["block"] == seats["s_block"]), "left").drop("s_source", "s_block")
-    return rows.withColumn("shards", F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), F.col("copies"))).drop("copies")
+    more = fill(tagged)
+    last = last_seats(blocks, seats)
+    more = more.join(last, more["source"].eqNullSafe(last["l_source"])).select(F.col("row").alias("m_row"), "last")
+    rows = tagged.join(seats, tagged["source"].eqNullSafe(seats["s_source"]) & (tagged["block"] == seats["s_block"]), "left").drop("s_source", "s_block")
+    rows = rows.join(more, rows["row"] == more["m_row"], "left")
+    whole = F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), F.col("copies"))
+    return rows.withColumn("shards", F.concat(whole, F.array_compact(F.array("last")))).drop("copies", "m_row", "last")
 
 
 def mix_counts(docs: DataFrame, seed: int = 7) -> DataFrame:
@@ -236,40 +246,41 @@ def mix(docs: DataFrame, n_shards: int = SHARDS, seed: int = 7) -> DataFrame:
     return each.select("doc_id", "source", "size", "copy", "out_shard", order_key(seed, F.col("doc_id"), F.col("copy")).alias("order_key"))
 
 
-def mixed_documents(docs: DataFrame, seed: int = 7, n_blocks: int = BLOCKS, n_shards: int = SHARDS) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 7, n_blocks: int | None = None, n_shards: int = SHARDS) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, shard after shard, each shard shuffled.
 
     A document's block says how often it is taken and where to, and the table of blocks has a row per source and block. Only
-    documents of blocks with rows that fill up a source's target are joined by id; such a row goes where the source's cut
-    block goes. Texts are moved once, to their shard: partitions are equal pieces of a shard, in its order.
+    documents of blocks with rows that fill up a source's target are joined by id; of repeated rows as many are taken as were
+    counted. Texts are moved once, to their shard: partitions are equal pieces of a shard, in its order.
     """
-    tagged, blocks = plan(docs.select("doc_id", "source", "text"), seed, n_blocks)
-    seats = block_seats(blocks, n_shards, seed).withColumnsRenamed({"source": "s_source", "block": "s_block"})
-    extra = materialize(fill_on(tagged), "mix-extra")
+    tagged, blocks, n_blocks = plan(docs.select("doc_id", "source", "text"), seed, n_blocks)
+    seats = materialize(block_seats(blocks, n_shards, seed), "mix-seats").withColumnsRenamed({"source": "s_source", "block": "s_block"})
+    extra = materialize(fill(tagged), "mix-extra")
     marks = extra.select(F.col("source").alias("x_source"), F.col("block").alias("x_block"), F.lit(True).alias("filled")).distinct()
+    name = {c: unused(docs, f"mix_{c}") for c in ("at", "source", "block", "copies", "filled", "shards", "id", "from", "size", "n", "words", "nth", "copy", "shard", "key")}
+    named = lambda c: F.col(name[c])
     b = blocks.join(seats, blocks["source"].eqNullSafe(seats["s_source"]) & (blocks["block"] == seats["s_block"]), "left")
     b = b.join(marks, b["source"].eqNullSafe(marks["x_source"]) & (b["block"] == marks["x_block"]), "left")
-    b = materialize(b.select(F.col("source").alias("__mix_source"), F.col("block").alias("__mix_block"), F.col("copies").alias("__mix_copies"), F.coalesce("filled", F.lit(False)).alias("__mix_filled"),
-                             F.when(F.col("owed") > 0, F.get("shards", F.col("copies"))).alias("__mix_last"), F.slice("shards", F.lit(1), F.col("copies")).alias("__mix_shards")), "mix-seats")
-    placed = docs.withColumn("__mix_at", (uniform(F.lit(seed), F.col("doc_id")) % n_blocks).cast("int"))
-    at = b.drop("__mix_last")
-    placed = placed.join(at, placed["source"].eqNullSafe(at["__mix_source"]) & (placed["__mix_at"] == at["__mix_block"]))
-    last = b.where("__mix_last IS NOT NULL").select(F.col("__mix_source").alias("l_source"), F.col("__mix_last").alias("__mix_shard"))
-    more = extra.groupBy(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_from"), F.col("size").alias("__mix_size")).agg(F.count("*").alias("__mix_n"))
-    more = materialize(more.join(last, more["__mix_from"].eqNullSafe(last["l_source"])).drop("l_source"), "mix-more")
-    filled = placed.where("__mix_filled").withColumn("__mix_words", word_count(F.col("text")))
-    filled = filled.join(more, filled["doc_id"].eqNullSafe(more["__mix_id"]) & filled["source"].eqNullSafe(more["__mix_from"]) & (filled["__mix_words"] == more["__mix_size"]))
-    same = Window.partitionBy("__mix_id", "__mix_from", "__mix_size").orderBy(F.md5("text"))
-    filled = filled.withColumn("__mix_nth", F.row_number().over(same)).where("__mix_nth <= __mix_n")
-    whole = placed.where("__mix_copies > 0").select(*docs.columns, F.posexplode("__mix_shards").alias("__mix_copy", "__mix_shard"))
-    filled = filled.select(*docs.columns, F.col("__mix_copies").alias("__mix_copy"), "__mix_shard")
-    return in_shards(whole.unionByName(filled), blocks, n_shards, seed).select(*docs.columns)
-
-
-def in_shards(mixed: DataFrame, blocks: DataFrame, n_shards: int, seed: int) -> DataFrame:
-    """Rows with __mix_shard and __mix_copy (from 0), dealt to the pieces of their shard by the order key and put in its order."""
+    b = materialize(b.select(F.col("source").alias(name["source"]), F.col("block").alias(name["block"]), F.col("copies").alias(name["copies"]), F.coalesce("filled", F.lit(False)).alias(name["filled"]),
+                             F.slice("shards", F.lit(1), F.col("copies")).alias(name["shards"])), "mix-seats")
+    placed = docs.withColumn(name["at"], (uniform(F.lit(seed), F.col("doc_id")) % n_blocks).cast("int"))
+    placed = placed.join(b, placed["source"].eqNullSafe(b[name["source"]]) & (placed[name["at"]] == b[name["block"]]))
+    last = last_seats(blocks, seats)
+    more = extra.groupBy(F.col("doc_id").alias(name["id"]), F.col("source").alias(name["from"]), F.col("size").alias(name["size"])).agg(F.count("*").alias(name["n"]))
+    more = materialize(more.join(last, more[name["from"]].eqNullSafe(last["l_source"])).drop("l_source").withColumnRenamed("last", name["shard"]), "mix-more")
+    filled = placed.where(named("filled")).withColumn(name["words"], word_count(F.col("text")))
+    filled = filled.join(more, filled["doc_id"].eqNullSafe(more[name["id"]]) & filled["source"].eqNullSafe(more[name["from"]]) & (filled[name["words"]] == more[name["size"]]))
+    same = Window.partitionBy(name["id"], name["from"], name["size"]).orderBy(F.md5("text"))
+    filled = filled.withColumn(name["nth"], F.row_number().over(same)).where(named("nth") <= named("n"))
+    whole = placed.where(named("copies") > 0).select(*docs.columns, F.posexplode(named("shards")).alias(name["copy"], name["shard"]))
+    filled = filled.select(*docs.columns, named("copies").alias(name["copy"]), named("shard"))
+    return in_shards(whole.unionByName(filled), blocks, n_shards, seed, name).select(*docs.columns)
+
+
+def in_shards(mixed: DataFrame, blocks: DataFrame, n_shards: int, seed: int, name: dict[str, str]) -> DataFrame:
+    """Rows with their shard and copy (from 0), dealt to the pieces of their shard by the order key and put in its order."""
     words = blocks.agg(F.sum(F.col("copies") * F.col("words") + F.col("owed"))).first()[0] or 0
     pieces = 1 + int(words // (n_shards * PIECE_WORDS))
-    mixed = mixed.withColumn("__mix_key", order_key(seed, F.col("doc_id"), F.col("__mix_copy") + 1))
-    piece = (F.col("__mix_shard") * pieces + F.floor(F.col("__mix_key") * pieces / float(2 ** 32))).cast("int")
-    return mixed.repartitionById(n_shards * pieces, piece).sortWithinPartitions("__mix_key", "doc_id", "__mix_copy")
+    mixed = mixed.withColumn(name["key"], order_key(seed, F.col("doc_id"), F.col(name["copy"]) + 1))
+    piece = (F.col(name["shard"]) * pieces + F.floor(F.col(name["key"]) * pieces / float(2 ** 32))).cast("int")
+    return mixed.repartitionById(n_shards * pieces, piece).sortWithinPartitions(name["key"], "doc_id", name["copy"])

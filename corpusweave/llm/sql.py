@@ -45,7 +45,8 @@ FROM s
 OP6 = r"""
 WITH RECURSIVE r AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
   ('0x' || substr(md5('7|' || coalesce(doc_id::VARCHAR, '~')), 1, 8))::BIGINT AS key FROM documents),
-d AS (SELECT *, key % 256 AS block, row_number() OVER () AS rid FROM r),
+m AS (SELECT greatest(256, 2 ** ceil(log2(greatest(count(*), 1)) / 2))::BIGINT AS m FROM r),
+d AS (SELECT r.*, key % m AS block, row_number() OVER () AS rid FROM r, m),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 k AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM s),
 w AS (SELECT *, ([5, 2, 1])[(rank % 3 + 1)::INT] AS weight, 2 * source_size AS lim FROM k),
@@ -54,17 +55,19 @@ l AS (SELECT *, lim / weight::DOUBLE AS per, (1.5::DOUBLE * (sum(source_size) OV
 f AS (SELECT lvl AS final FROM l ORDER BY (weight * lvl <= lim) DESC, per, rank LIMIT 1),
 g AS (SELECT source, rank, source_size, least(lim::DOUBLE, weight * final) AS target FROM l, f),
 b AS (SELECT source, block, sum(size)::BIGINT AS words FROM d GROUP BY source, block),
-q AS (SELECT b.source, b.block, b.words, g.source_size, g.target, sum(b.words) OVER (PARTITION BY g.rank ORDER BY md5('7|' || g.rank || '|' || b.block)[1:8], b.block)::BIGINT AS upto,
-  floor(g.target / greatest(g.source_size, 1))::INT AS passes FROM b JOIN g ON b.source IS NOT DISTINCT FROM g.source),
+q AS (SELECT b.source, b.block, b.words, g.source_size, g.target, row_number() OVER p AS place, (sum(b.words) OVER p)::BIGINT AS upto,
+  floor(g.target / greatest(g.source_size, 1))::INT AS passes FROM b JOIN g ON b.source IS NOT DISTINCT FROM g.source WINDOW p AS (PARTITION BY g.rank ORDER BY md5('7|' || g.rank || '|' || b.block)[1:8], b.block)),
 z AS (SELECT *, target - passes * source_size AS rest FROM q),
-c AS (SELECT source, block, source_size, target, passes + (upto <= rest)::INT AS copies, CASE WHEN upto > rest AND upto - words < rest THEN rest - (upto - words) ELSE 0 END AS owed FROM z),
-t AS (SELECT d.*, c.source_size, c.target, c.copies, c.owed FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.block = c.block),
-u AS (SELECT rid, source, block, key, doc_id, size, owed, 0 AS extra, 0 AS round FROM t WHERE owed > 0
-  UNION ALL
-  SELECT rid, source, block, key, doc_id, size, owed - sum(now * size) OVER (PARTITION BY source, block), extra + now, round + 1 FROM (
-    SELECT *, CASE WHEN can AND sum(CASE WHEN can THEN size ELSE 0 END) OVER (PARTITION BY source, block ORDER BY CASE WHEN can THEN 0 ELSE 1 END, key, doc_id, size ROWS UNBOUNDED PRECEDING) <= owed THEN 1 ELSE 0 END AS now
-    FROM (SELECT *, extra = 0 AND size <= owed AS can FROM u WHERE round < 4)))
-SELECT t.doc_id, t.size, t.source_size, t.target, ((t.copies + coalesce(u.extra, 0)) * t.size)::BIGINT AS taken FROM t LEFT JOIN (SELECT * FROM u WHERE round = 4) u ON t.rid = u.rid
+c AS (SELECT source, block, place, source_size, target, passes + (upto <= rest AND passes < 2)::INT AS copies, CASE WHEN (upto > rest OR passes >= 2) AND upto - words < rest THEN rest - (upto - words) ELSE 0 END AS owed FROM z),
+t AS (SELECT d.*, c.place, c.source_size, c.target, c.copies, c.owed FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.block = c.block),
+u AS (SELECT *, coalesce(size <= owed AND sum(CASE WHEN size <= owed THEN size ELSE 0 END) OVER (PARTITION BY source, block ORDER BY key, doc_id, size, rid ROWS UNBOUNDED PRECEDING) <= owed, false) AS fits FROM t WHERE owed > 0),
+o AS (SELECT source, max(owed) - sum(CASE WHEN fits THEN size ELSE 0 END) AS owing, max(place) AS cut_place FROM u GROUP BY source),
+v AS (SELECT t.*, o.owing FROM t JOIN o ON t.source IS NOT DISTINCT FROM o.source LEFT JOIN u ON t.rid = u.rid WHERE t.place >= o.cut_place AND t.size BETWEEN 1 AND o.owing AND NOT coalesce(u.fits, false)),
+h AS (SELECT source, size, count(*) AS n, max(owing) AS owing, row_number() OVER (PARTITION BY source ORDER BY size DESC) AS i FROM v GROUP BY source, size),
+x AS (SELECT source, 1 AS i, max(owing) AS owing, 0::BIGINT AS size, 0::BIGINT AS n FROM h GROUP BY source
+  UNION ALL SELECT h.source, x.i + 1, x.owing - least(h.n, floor(x.owing / h.size)) * h.size, h.size, least(h.n, floor(x.owing / h.size))::BIGINT FROM x JOIN h ON x.source IS NOT DISTINCT FROM h.source AND x.i = h.i),
+y AS (SELECT v.rid, row_number() OVER (PARTITION BY v.source, v.size ORDER BY v.place, v.key, v.doc_id, v.rid) <= x.n AS more FROM v JOIN x ON v.source IS NOT DISTINCT FROM x.source AND v.size = x.size)
+SELECT t.doc_id, t.size, t.source_size, t.target, ((t.copies + coalesce(u.fits, false)::INT + coalesce(y.more, false)::INT) * t.size)::BIGINT AS taken FROM t LEFT JOIN u ON t.rid = u.rid LEFT JOIN y ON t.rid = y.rid
 """
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -191,6 +191,21 @@ def fair_targets(sizes):
         left, open_ = left - sum(2 * sizes[s] for s in over), open_ - over
 
 
+def check_taken(sizes, copies):
+    """sizes: (source, size) of each row; copies: how often each is taken. Whether the targets are met as far as documents allow."""
+    totals, taken = Counter(), Counter()
+    for (s, n), c in zip(sizes, copies, strict=True):
+        totals[s] += n
+        taken[s] += n * c
+    assert max(copies, default=0) <= 2
+    for s, goal in fair_targets(totals).items():
+        left = goal - taken[s]
+        # A row taken less than its source's fullest could be taken once more; none of these fits what is owed.
+        most = int(goal // max(totals[s], 1)) + 1
+        spare = [n for (x, n), c in zip(sizes, copies, strict=True) if x == s and n > 0 and c < most]
+        assert left >= -1e-6 and (left < min(spare) if spare else left < 1 or goal >= 2 * totals[s] - 1e-6)
+
+
 def test_mix(docs, empty):
     got = mixing.mix_counts(docs).toPandas()
     assert len(got) == docs.count() and mixing.mix_counts(empty).count() == 0 and got.copies.max() <= 2
@@ -199,12 +214,26 @@ def test_mix(docs, empty):
         sizes[r.source] += len(spaced(r.text))
     target = fair_targets(sizes)
     for r in got.itertuples():
-        assert abs(r.target - target[r.source]) < 1e-6 and r.source_size == sizes[r.source]
+        assert abs(r.target - target[r.source]) < 1e-6 and r.source_size == sizes[r.source] and r.taken == r.copies * r.size
+    check_taken([(r.source, r.size) for r in got.itertuples()], got.copies.tolist())
     again = mixing.mix_counts(docs.repartition(7)).toPandas()
     assert got.sort_values(["doc_id", "size"])["taken"].tolist() == again.sort_values(["doc_id", "size"])["taken"].tolist()
     mixed = mixing.mix(docs, n_shards=4).toPandas()
     assert len(mixed) == got.copies.sum() and mixed.out_shard.between(0, 3).all()
-    assert mixing.mixed_documents(docs.where("doc_id IS NOT NULL").distinct()).columns == docs.columns
+
+
+def test_mixed_documents_agree_with_the_counts_row_by_row(spark, docs, empty):
+    rows = [(i, " ".join(["w"] * (1 + i % 50)), s, "x", "y") for i in range(40) for s in ("a", None)] * 10 + [(None, "no id " * 4, "a", "x", "y")] * 5 + [(1, "another text " * 9, "a", "x", "y"), (99, None, "a", "x", "y")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_at string, Mix_Shard string")
+    for table in (docs, odd):
+        counts, mixed = mixing.mix_counts(table).collect(), mixing.mixed_documents(table)
+        assert mixed.columns == table.columns
+        want, got = Counter(), Counter((r.doc_id, r.source, len(spaced(r.text))) for r in mixed.collect())
+        for r in counts:
+            want[(r.doc_id, r.source, r.size)] += r.copies
+        assert +want == got
+        check_taken([(r.source, r.size) for r in counts], [r.copies for r in counts])
+    assert mixing.mixed_documents(empty).count() == 0
 
 
 def test_mix_counts_come_from_the_tree(docs, monkeypatch):
@@ -218,11 +247,10 @@ def test_mix_counts_come_from_the_tree(docs, monkeypatch):
 
 def test_mixed_documents_lie_in_their_shards(docs, monkeypatch):
     table = docs.where("doc_id IS NOT NULL").distinct()
-    seen = []
-    plan = mixing.shard_plan
+    seen, extra = [], []
+    plan, fill = mixing.shard_plan, mixing.fill
     monkeypatch.setattr(mixing, "shard_plan", lambda *a: seen.append(plan(*a)) or seen[-1])
-    extra, fill_on = [], mixing.fill_on
-    monkeypatch.setattr(mixing, "fill_on", lambda *a: extra.append(fill_on(*a)) or extra[-1])
+    monkeypatch.setattr(mixing, "fill", lambda *a: extra.append(fill(*a)) or extra[-1])
     mixed = mixing.mixed_documents(table, n_shards=4)
     filled = {r.doc_id for r in extra[0].collect()}
     seats = {(r.source, r.block, r.out_shard) for r in seen[0].collect()}
@@ -233,15 +261,35 @@ def test_mixed_documents_lie_in_their_shards(docs, monkeypatch):
         assert len(ids) < 3 or ids != sorted(ids)
 
 
+def test_shards_draw_disjoint_seats_and_exact_quotas(docs):
+    _, blocks, _ = mixing.plan(docs)
+    drawn = {(r.source, r.block): r.copies + (r.owed > 0) for r in blocks.collect()}
+    seats = mixing.shard_plan(blocks, 8).collect()
+    assert len({(r.source, r.block, r.copy) for r in seats}) == len(seats) == sum(drawn.values())
+    assert Counter((r.source, r.block) for r in seats) == Counter({k: n for k, n in drawn.items() if n})
+    per_shard = Counter(r.out_shard for r in seats)
+    assert max(per_shard.values()) - min(per_shard.values()) <= 1
+
+
 def test_a_long_document_in_the_cut_block_leaves_no_target_unmet(spark):
     size = {i: 10 for i in range(60)} | {60: 400}
     table = spark.createDataFrame([(i, " ".join(["w"] * n), "en", "s", 0) for i, n in size.items()], "doc_id long, text string, lang string, source string, n_chars long")
-    tagged, _ = mixing.plan(table, 4)
+    tagged, _, _ = mixing.plan(table, n_blocks=4)
     assert tagged.where("owed > 0 AND doc_id = 60").count() == 1
-    copies = Counter(r.doc_id for r in mixing.mixed_documents(table, 4).collect())
+    copies = Counter(r.doc_id for r in mixing.mixed_documents(table, n_blocks=4).collect())
     assert sum(size[i] * n for i, n in copies.items()) == 1500 and max(copies.values()) == 2
 
 
+def test_blocks_grow_with_the_root_of_the_rows():
+    assert [mixing.block_count(n) for n in (0, 1, 65536, 65537, 10**6, 10**10)] == [256, 256, 256, 512, 1024, 1 << 17]
+
+
+def test_draws_have_the_hypergeometric_mean_and_spread(spark):
+    quota = spark.createDataFrame([(0, 3000), (1, 1000)], "rank int, blocks long")
+    left = [mixing.split_tree(quota, 2, seed).where("rank = 1 AND shard = 0").first().blocks for seed in range(12)]
+    assert len(set(left)) > 6 and abs(np.mean(left) - 500) < 15 and 3 < np.std(left) < 40
+
+
 def test_split_tree_is_exact(spark):
     quota = spark.createDataFrame([(0, 37), (1, 5), (2, 0), (3, 64)], "rank int, blocks long")
     tree = mixing.split_tree(quota, 8, 3).toPandas()
@@ -387,12 +435,7 @@ def test_pipeline_stages_match_brute_force(spark, tmp_path, docs):
     source = {r.doc_id: r.source for r in outs["decontaminate"]}
     size, copies = {i: len(spaced(text[i])) for i in source}, Counter(ids["mix"])
     assert set(copies) <= set(source) and max(copies.values()) <= 2
-    totals, taken = Counter(), Counter()
-    for i, s in source.items():
-        totals[s] += size[i]
-        taken[s] += copies[i] * size[i]
-    for s, goal in fair_targets(totals).items():
-        assert goal - max(size[i] for i in source if source[i] == s) <= taken[s] <= goal + 1e-6
+    check_taken([(source[i], size[i]) for i in source], [copies[i] for i in source])
 
     assert ids["shard"] == ids["mix"] and all(0 <= r.shard < 24 for r in outs["shard"])
     place = {}
