@@ -3,16 +3,17 @@
 A byte goes if it lies in a 50-byte string that also starts in a document with a smaller doc_id. That needs the order
 of suffixes to depth 50 only: which suffixes share a bucket at that depth, and the least doc_id of the bucket.
 
-* Initial buckets are 24-byte grams. Only one gram stands for a window of 50 bytes: the one of least hash among its 27,
-  a choice that the window's bytes alone decide, so equal windows meet in the same bucket at the same offset.
-* Buckets with one chunk's suffixes only are singletons and never move: chunks send the buckets' names (5 bytes), and
-  get back a bit for each.
-* Within a bucket, suffixes are refined by sorting on the identifiers of the buckets at later offsets, 8 bytes each;
-  the identifiers that one refinement assigns are the pointers of the next, and suffixes alone in a bucket drop out.
-  Suffixes of equal context are refined once, for the least doc_id among them: first in the chunk, then in the bucket.
-
-Texts are stored once, in compressed chunks of whole documents; results go back to chunks by their number. A gram's
-name has 64 bits. Edge cases: null and short texts lose nothing; equal doc_ids don't remove each other's text; null
+* Only one 24-byte gram stands for a window of 50 bytes: the one of least hash among its 27, a choice that the window's
+  bytes alone decide, so equal windows meet at the same gram and offset. Grams go to tasks by their hash.
+* Grams of one chunk only are singletons and never move: chunks send the grams' names (5 bytes), and get back a bit for each.
+* In a task, the texts around its shared grams get initial buckets of 8-byte grams, one for every suffix. Each bucket's
+  suffixes are then sorted on the identifiers of the buckets that their pointers, ``depth`` bytes on, lead to. The new
+  identifiers are what the next round's pointers lead to, so 8 bytes become 16, 32 and 50 with three sorts; a suffix alone in
+  its bucket is in no further one. Equal texts around a gram are refined once, for the least doc_id among them.
+
+Texts are stored once, in compressed chunks of whole documents; a text longer than ``PART`` bytes is cut into parts that
+overlap by 49 bytes on either side and joined again at the end, part by part. Results go back to chunks by their number.
+A gram's name has 64 bits. Edge cases: null and short texts lose nothing; equal doc_ids don't remove each other's text; null
 doc_ids are larger than all others; an empty table gives an empty result; other columns are never read.
 """
 
@@ -36,21 +37,35 @@ GRAM = 24
 SIDE = LENGTH - GRAM
 NO_ID = 2**63 - 1
 BUCKET_BYTES = 1 << 20
+#: Bytes of a long text in a chunk, and texts around grams that are refined together.
+PART = 2 << 20
+TOGETHER = 1 << 15
 _MIX = np.random.default_rng(50).integers(1, 2**63, 2 * SIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+STORED = "chunk long, n_bytes long, ids binary, sizes binary, packed binary, text long, part int, skip int, own int"
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """chunk, n_bytes, ids, sizes, packed: whole documents in chunks of bounded size, in the shared folder."""
+    """Whole documents in chunks of bounded size, in the shared folder; ``text`` numbers a long text, of whose part ``own`` bytes from ``skip`` on are its own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, part, nth = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
+        pack, task, nth = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
+        names = [x.split()[0] for x in STORED.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         for batch in tb.pieces(batches):
             raw, starts = tb.text_bytes(batch.column("text"))
             ids = batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy()
-            row = ((part << 32) | nth, len(raw), ids.astype("<i8").tobytes(), np.diff(starts).astype("<i8").tobytes(), pack.compress(raw.tobytes()))
-            nth += 1
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["chunk", "n_bytes", "ids", "sizes", "packed"])
+            first = (task << 32) | nth
+            for part in range(0, max(len(raw), 1), PART if len(ids) == 1 else max(len(raw), 1)):
+                low, high = (max(part - LENGTH + 1, 0), min(part + PART + LENGTH - 1, len(raw))) if len(ids) == 1 else (0, len(raw))
+                long = len(ids) == 1 and len(raw) > PART
+                size = np.diff(starts) if not long else np.array([high - low])
+                row = ((task << 32) | nth, high - low, ids.astype("<i8").tobytes(), size.astype("<i8").tobytes(), pack.compress(raw[low:high].tobytes()),
+                       *((first, part // PART, part - low, min(PART, len(raw) - part)) if long else (None,) * 4))
+                nth += 1
+                yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names=names)
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, "chunk long, n_bytes long, ids binary, sizes binary, packed binary"), "chunks", "uncompressed")
+    return materialize(docs.select("doc_id", "text").mapInArrow(run, STORED), "chunks", "uncompressed")
 
 
 class Chunk:
@@ -157,38 +172,54 @@ def unpacked_records(data: bytes) -> np.ndarray:
     return rec
 
 
-def refine(bucket: np.ndarray, pointer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sort each bucket's suffixes by the bucket identifiers at a later offset. Returns new identifiers and whether a suffix is alone."""
-    order = np.lexsort((pointer, bucket))
-    b, p = bucket[order], pointer[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (b[1:] != b[:-1]) | (p[1:] != p[:-1])
-    out, alone = np.empty(len(order), np.int64), np.empty(len(order), bool)
-    out[order] = np.cumsum(new) - 1
-    alone[order] = new & np.append(new[1:], True)
-    return out, alone
+def refine(bucket: np.ndarray, pointer: np.ndarray) -> np.ndarray:
+    """Sort each bucket's suffixes on the identifiers of the buckets that their pointers lead to: the identifiers of the
+    parts. A suffix alone in its bucket is not sorted again."""
+    several = np.bincount(bucket)[bucket] > 1
+    live, alone = np.flatnonzero(several), np.flatnonzero(~several)
+    out = np.empty(len(bucket), np.int64)
+    parts, out[live] = np.unique(bucket[live] * (int(pointer.max(initial=0)) + 1) + pointer[live], return_inverse=True)
+    out[alone] = len(parts) + np.arange(len(alone))
+    return out
+
+
+def window_buckets(text: np.ndarray) -> np.ndarray:
+    """The bucket at depth 50 of each suffix of each row (76 bytes) that is as long."""
+    width = text.shape[1] - 7
+    word = np.zeros((len(text), width), np.uint64)
+    for j in range(8):
+        word |= text[:, j:j + width].astype(np.uint64) << np.uint64(8 * j)
+    _, bucket = np.unique(word.ravel(), return_inverse=True)
+    bucket = bucket.reshape(len(text), width)
+    for pointer in (8, 16, LENGTH - 32):  # the buckets reached have 8, 16 and 32 bytes
+        width = bucket.shape[1] - pointer
+        bucket = refine(bucket[:, :width].ravel(), bucket[:, pointer:].ravel()).reshape(len(text), width)
+    return bucket
 
 
 def window_minima(gram: np.ndarray, low: np.ndarray, n: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Least doc_id with the same 50 bytes, for each window of each context (``n`` windows from offset ``low`` on)."""
+    """Least doc_id with the same 50 bytes, for each window of each context (``n`` windows from offset ``low`` on).
+
+    The gram's own bytes are the same in all its contexts, and its name, spread over them, stands for them.
+    """
+    names = np.ascontiguousarray(np.stack([tb.mixed(gram + np.uint64(j)) for j in range(GRAM // 8)], axis=1)).view(np.uint8)
+    text = np.concatenate([context[:, :SIDE], names.reshape(len(gram), GRAM), context[:, SIDE:]], axis=1)
     row = np.repeat(np.arange(len(n)), n)
-    offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
-    least = doc[row].copy()
-    # The other 26 bytes of the window at this offset, as four words: the identifiers of 8-byte buckets at later offsets.
-    other = np.zeros((len(row), 32), np.uint8)
-    other[:, :SIDE] = context.reshape(-1)[(row * 2 * SIDE + SIDE - offset)[:, None] + np.arange(SIDE)]
-    words = other.view("<u8")
-    live = np.arange(len(row))
-    bucket, alone = refine(gram[row].view(np.int64), offset)
-    for j in range(words.shape[1]):
-        live, bucket = live[~alone], bucket[~alone]
-        if not len(live):
-            return least
-        bucket, alone = refine(bucket, words[live, j])
-    lowest = np.full(int(bucket.max()) + 1 if len(bucket) else 0, NO_ID)
-    np.minimum.at(lowest, bucket, doc[row[live]])
-    least[live] = lowest[bucket]
-    return least
+    bucket = window_buckets(text)[row, SIDE - tb.spread(low, n)]
+    least = np.full(int(bucket.max(initial=0)) + 1, NO_ID)
+    np.minimum.at(least, bucket, doc[row])
+    return least[bucket]
+
+
+def all_minima(gram: np.ndarray, low: np.ndarray, n: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """``window_minima``, gram by gram (they are in order), a bounded number of contexts at a time or those of one gram."""
+    edge = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
+    size = np.diff(np.append(edge, len(gram)))
+    out = [np.zeros(0, np.int64)]
+    for part in tb.runs(size, TOGETHER):
+        own = slice(edge[part.start], edge[part.stop - 1] + size[part.stop - 1])
+        out.append(window_minima(gram[own], low[own], n[own], context[own], doc[own]))
+    return np.concatenate(out)
 
 
 def judged(rec: np.ndarray) -> np.ndarray:
@@ -212,7 +243,7 @@ def judged(rec: np.ndarray) -> np.ndarray:
     c = one[several]
     if len(c):
         n = high[c] - low[c] + 1
-        minima = window_minima(rec["gram"][c], low[c], n, rec["context"][c], rec["doc"][c])
+        minima = all_minima(rec["gram"][c], low[c], n, rec["context"][c], rec["doc"][c])
         at = np.zeros(len(one), np.int64)
         at[several] = np.cumsum(n) - n
         mine = np.flatnonzero(several[of])
@@ -236,8 +267,8 @@ def removed_passages(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs``."""
     stored = chunks(docs)
     total = stored.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = min(max((total // BUCKET_BYTES).bit_length(), 5), 22)
-    shift = np.uint64(64 - bits - 40)
+    bits = min(max((total // BUCKET_BYTES).bit_length(), 5), 31)  # 31 are for 2 PB
+    shift = np.uint64(max(64 - bits - 40, 0))
     masks = "chunk long, bucket int, mask binary"
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,15 +302,17 @@ def removed_passages(docs: DataFrame) -> DataFrame:
         out = np.split(judged(np.concatenate(recs)), np.cumsum([len(r) for r in recs])[:-1])
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "mask": pa.array([x.astype("<u4").tobytes() for x in out], pa.binary())})
 
+    done_schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text long, part int, kept binary, first boolean, last boolean"
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = (batch.column(c).to_pylist() for c in ("ids", "sizes", "packed"))
-            for ids, sizes, packed, told, verdicts in zip(*cols, _told(batch.column("shared")), _told(batch.column("verdicts")), strict=True):
+            cols = (batch.column(c).to_pylist() for c in ("ids", "sizes", "packed", "text", "part", "skip", "own"))
+            for ids, sizes, packed, text, part, skip, own, told, verdicts in zip(*cols, _told(batch.column("shared")), _told(batch.column("verdicts")), strict=True):
                 c = Chunk(ids, sizes, packed)
                 c.shared(bits, told)
-                yield cut(c, verdicts)
+                yield cut(c, gone_bytes(c, verdicts), (text, part, skip, own))
 
-    def cut(c: Chunk, verdicts: list) -> pa.RecordBatch:
+    def gone_bytes(c: Chunk, verdicts: list) -> np.ndarray:
         mask = np.zeros(len(c.first), np.int64)
         bucket = (c.gram[c.first] >> np.uint64(64 - bits)).astype(np.int64)
         for b, data in verdicts:
@@ -293,23 +326,59 @@ def removed_passages(docs: DataFrame) -> DataFrame:
             at = c.place[(bits_of >> o) & 1 > 0] - o
             np.add.at(edge, at, 1)
             np.add.at(edge, at + LENGTH, -1)
-        gone = np.cumsum(edge[:len(c.raw)]) > 0
+        return np.cumsum(edge[:len(c.raw)]) > 0
+
+    def cut(c: Chunk, gone: np.ndarray, place: tuple) -> pa.RecordBatch:
+        text, part, skip, own = place
+        raw, starts = c.raw, c.starts
+        if text is not None:
+            raw, gone, starts = raw[skip:skip + own], gone[skip:skip + own], np.array([0, own])
         count = np.concatenate([[0], np.cumsum(gone)])
         first = gone.copy()
         first[1:] &= ~gone[:-1]
-        inner = c.starts[:-1][np.diff(c.starts) > 0]
+        inner = starts[:-1][np.diff(starts) > 0]
         first[inner] = gone[inner]
         spans = np.concatenate([[0], np.cumsum(first)])
-        n_removed = count[c.starts[1:]] - count[c.starts[:-1]]
-        digest = []
-        for a, z, n in zip(c.starts[:-1].tolist(), c.starts[1:].tolist(), n_removed.tolist(), strict=True):
-            part = c.raw[a:z]
-            digest.append(hashlib.sha256(part[~gone[a:z]].tobytes() if n else part).hexdigest())
-        return pa.RecordBatch.from_arrays([pa.array(c.ids, pa.int64(), mask=c.ids == NO_ID), pa.array(np.diff(c.starts)), pa.array(n_removed), pa.array(spans[c.starts[1:]] - spans[c.starts[:-1]]), pa.array(digest)],
-                                          names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        n_removed = count[starts[1:]] - count[starts[:-1]]
+        digest, kept = [], [None] * len(n_removed)
+        if text is None:
+            for a, z, n in zip(starts[:-1].tolist(), starts[1:].tolist(), n_removed.tolist(), strict=True):
+                digest.append(hashlib.sha256(raw[a:z][~gone[a:z]].tobytes() if n else raw[a:z]).hexdigest())
+        else:
+            digest, kept = [None], [zstandard.ZstdCompressor(level=1).compress(raw[~gone].tobytes())]
+        side = lambda i: pa.array([bool(gone[i])] if text is not None else [None] * len(kept), pa.bool_())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c.ids, pa.int64(), mask=c.ids == NO_ID), pa.array(np.diff(starts)), pa.array(n_removed), pa.array(spans[starts[1:]] - spans[starts[:-1]]), pa.array(digest, pa.string()),
+             pa.array([text] * len(kept), pa.int64()), pa.array([part] * len(kept), pa.int32()), pa.array(kept, pa.binary()), side(0), side(-1)], names=[x.split()[0] for x in done_schema.split(", ")])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Long texts from their parts, which come in order; one part is held."""
+        held, digest = None, None
+
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{k: held[k] for k in ("doc_id", "n_bytes", "n_removed", "n_spans")} | {"kept_sha256": digest.hexdigest()}], schema=result)
+
+        result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+        for batch in batches:
+            for at in range(batch.num_rows):
+                (x,) = batch.slice(at, 1).to_pylist()
+                if held and held["text"] != x["text"]:
+                    yield closed()
+                    held = None
+                if held:
+                    x |= {k: held[k] + x[k] for k in ("n_bytes", "n_removed")} | {"n_spans": held["n_spans"] + x["n_spans"] - (held["last"] and x["first"])}
+                else:
+                    digest = hashlib.sha256()
+                digest.update(zstandard.ZstdDecompressor().decompress(x.pop("kept")))
+                held = x
+        if held:
+            yield closed()
 
     told = materialize(stored.mapInArrow(names, masks).groupBy("bucket").applyInArrow(meet, masks), "shared-grams")
     known = stored.join(_by_chunk(told, "shared"), F.col("chunk") == F.col("shared_chunk"), "left")
     verdicts = materialize(known.mapInArrow(records, masks).groupBy("bucket").applyInArrow(judge, masks), "verdicts")
     done = known.join(_by_chunk(verdicts, "verdicts"), F.col("chunk") == F.col("verdicts_chunk"), "left")
-    return done.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    done = materialize(done.mapInArrow(finish, done_schema), "done")
+    plain = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    parts = done.where("text IS NOT NULL").repartition("text").sortWithinPartitions("text", "part")
+    return done.where("text IS NULL").select(*plain).unionByName(parts.mapInArrow(joined, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
