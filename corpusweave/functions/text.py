@@ -13,12 +13,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+#: Fixed value: a name in source code.
+TOKEN = r"[A-Za-z_][A-Za-z0-9_'.]*"
+
+
 def search_text(value: str) -> str:
     """Compatibility decomposition without accents, in lower case, pi spelled out (F1)."""
     flat = "".join(c for c in unicodedata.normalize("NFKD", value or "") if not "̀" <= c <= "ͯ")
     return flat.lower().replace("π", "pi")
 
 
+def ascii_words(value: str) -> str:
+    """Lower-case ASCII letters and digits after decomposition, one blank between words (F2)."""
+    flat = unicodedata.normalize("NFKD", value or "").encode("ascii", "ignore").decode().lower()
+    return " ".join(re.findall("[a-z0-9]+", flat))
+
+
 @F.pandas_udf(StringType())
 def search_normalize(s: pd.Series) -> pd.Series:
     return s.map(search_text, na_action="ignore")
@@ -30,8 +40,14 @@ def unescape(s: pd.Series) -> pd.Series:
 
 
 def clean_markup(c: Column) -> Column:
-    """Tags out, white space joined, trimmed; entities need ``unescape`` besides."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), r"\s+", " "))
+    """Tags out, backquotes around mathematics out, white space joined, trimmed; entities need ``unescape`` besides."""
+    x = F.replace(F.replace(F.regexp_replace(c, "<[^>]+>", ""), F.lit("$`"), F.lit("$")), F.lit("`$"), F.lit("$"))
+    return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+
+def markup_text(c: Column) -> Column:
+    """The whole clean: tags out, entities as characters, then as ``clean_markup``."""
+    return clean_markup(unescape(F.regexp_replace(c, "<[^>]+>", "")))
 
 
 def citation_key(c: Column) -> Column:
@@ -49,15 +65,15 @@ def canonical_doi(c: Column) -> Column:
     x = F.lower(F.trim(F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)))
     x = F.regexp_replace(x, r"[.,;\"}’]+$", "")
     for prefix in ("https://doi.org/", "http://dx.doi.org/", "doi:"):
-        x = F.when(F.startswith(x, F.lit(prefix)), F.substring(x, len(prefix) + 1, 1 << 20)).otherwise(x)
-    return x
+        x = F.when(F.startswith(x, F.lit(prefix)), F.substring(x, F.lit(len(prefix) + 1), F.length(x))).otherwise(x)
+    return F.trim(x)
 
 
 def doi(value: str) -> str:
     x = unquote(value or "").strip().lower().rstrip(".,;\"}’")
     for prefix in ("https://doi.org/", "http://dx.doi.org/", "doi:"):
         x = x.removeprefix(prefix)
-    return x
+    return x.strip()
 
 
 _ARXIV = r"(?i)(\d{4}\.\d{4,5}|[a-z-]+(?:\.[a-z]{2})?/\d{7})(?:v\d+)?"
@@ -74,10 +90,10 @@ def arxiv(value: str) -> str:
 
 
 def surname(c: Column) -> Column:
-    """Of the first author: what stands before a comma, else the last word of two letters or more."""
-    first = F.element_at(F.split(c, " and |;"), 1)
-    names = F.filter(F.split(first, r"\s+"), lambda w: F.length(w) > 1)
-    return F.lower(F.trim(F.when(F.contains(first, F.lit(",")), F.element_at(F.split(first, ","), 1)).otherwise(F.coalesce(F.try_element_at(names, F.lit(-1)), F.lit("")))))
+    """Of the first author the last word of two letters or more, before a comma if there is one (F6 on ASCII text)."""
+    first = F.element_at(F.split(F.element_at(F.split(F.coalesce(c, F.lit("")), r"\s+and\s+|;"), 1), ","), 1)
+    words = F.filter(F.regexp_extract_all(F.lower(first), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) > 1)
+    return F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit(""))
 
 
 def year(c: Column) -> Column:

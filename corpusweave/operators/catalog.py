@@ -85,6 +85,28 @@ def unique_prefix(asked: DataFrame, directories: DataFrame) -> DataFrame:
     return asked.select("prefix").distinct().join(found, "prefix", "left").select("prefix", name.alias("name"), F.coalesce("matches", F.lit(0)).cast("long").alias("matches"))
 
 
+#: Files of references, and main files.
+REFERENCES = r"\.bib$|(?i:referenc|bibliograph|refs)[^/]*(?i:\.tex)$"
+MAIN = r"/(main|paper|manuscript)\.tex$"
+
+
+def manuscript_files(files: DataFrame, papers: DataFrame) -> DataFrame:
+    """files(path), papers(family, directory) -> family, directory, path of the files to read for references.
+
+    A directory that isn't there stands for the one that it begins; null where that isn't one. Its files of references are
+    taken, and the shortest main file; without either its shortest file, the least path of equals.
+    """
+    every = files.select("path", F.split_part("path", F.lit("/"), F.lit(1)).alias("directory")).distinct()
+    place = unique_prefix(papers.select(F.col("directory").alias("prefix")), every.select(F.col("directory").alias("name"))).select("prefix", F.col("name").alias("directory"))
+    is_reference = F.when(F.col("path").rlike(REFERENCES), F.col("path"))
+    short = F.struct(F.length("path").alias("n"), "path")
+    best = every.groupBy("directory").agg(F.collect_set(is_reference).alias("references"), F.min(F.when(F.col("path").rlike(MAIN), short)).alias("main"), F.min(short).alias("least"))
+    one = F.when(F.col("main").isNotNull(), F.array("main.path")).when(F.size("references") == 0, F.array("least.path")).otherwise(F.array().cast("array<string>"))
+    best = best.select("directory", F.array_union("references", one).alias("paths"))
+    asked = papers.select("family", F.col("directory").alias("prefix")).distinct().join(place, "prefix").join(best, "directory", "left")
+    return asked.select("family", "directory", F.explode_outer("paths").alias("path")).distinct()
+
+
 def missing_keys(wanted: DataFrame, stored: DataFrame, key: str = "key") -> DataFrame:
     """Distinct wanted keys that are not stored yet: what a content-addressed cache still has to make."""
     return wanted.select(key).distinct().join(stored.select(key).distinct(), key, "left_anti")

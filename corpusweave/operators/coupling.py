@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import in_ranges
+from .tables import cut, in_ranges
 
 
 def weights(edges: DataFrame, families: DataFrame) -> DataFrame:
@@ -16,12 +16,14 @@ def weights(edges: DataFrame, families: DataFrame) -> DataFrame:
 
 
 def weighted_edges(edges: DataFrame, families: DataFrame) -> DataFrame:
-    return edges.select("family", "work").distinct().join(weights(edges, families), "work")
+    """Distinct edges with their work's weight, written once: both sides of the self-join and the norms read them."""
+    once = cut(edges.select("family", "work").distinct(), "edges")
+    return cut(once.join(weights(once, families), "work").select("family", "work", "idf"), "weights")
 
 
 def pairs(edges: DataFrame, families: DataFrame) -> DataFrame:
     """fa < fb, shared, score for every pair with a common work (C4-C6). An equi-join on the work: pairs without one never arise."""
-    w = weighted_edges(edges, families).select("family", "work", "idf")
+    w = weighted_edges(edges, families)
     norm = w.groupBy("family").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
     a, b = w.select(F.col("family").alias("fa"), "work", "idf"), w.select(F.col("family").alias("fb"), "work")
     shared = a.join(b, "work").where("fa < fb").groupBy("fa", "fb").agg(F.count("*").alias("shared"), F.sum(F.col("idf") * F.col("idf")).alias("dot"))
@@ -52,7 +54,7 @@ def isolates(edges: DataFrame, families: DataFrame, scored: DataFrame, gap: floa
 
 def evidence(edges: DataFrame, families: DataFrame, chosen: DataFrame) -> DataFrame:
     """chosen(fa, fb) -> the works a pair shares, rarest first."""
-    w = weighted_edges(edges, families).select("family", "work", "idf")
+    w = weighted_edges(edges, families)
     a = chosen.join(w.select(F.col("family").alias("fa"), "work", "idf"), "fa")
     both = a.join(w.select(F.col("family").alias("fb"), "work"), ["fb", "work"])
     order = Window.partitionBy("fa", "fb").orderBy(F.desc(F.round("idf", 6)), "work")

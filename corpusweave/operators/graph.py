@@ -1,27 +1,100 @@
-"""Dependency graphs: closures and name resolution."""
+"""Dependency graphs: closures and name resolution."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
+from ..functions.text import TOKEN, normal_path
+from .tables import Parts, cut
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges(u, v) -> node, root for every node with an edge to another; the root is the least node of its component.
+
+    Alternating star contraction: each larger neighbour of a node is linked with the least node around it, then each
+    smaller one. Minima are partial sums joined back, so no node's neighbours meet in one task; rounds grow with the
+    logarithm of the longest chain, and each is written.
+    """
+    now, seen = cut(edges.where("u <> v").select("u", "v").distinct(), "edges"), None
+    while True:
+        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        now = cut(moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+        if state == seen:
+            break
+        seen = state
+    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def closure(edges: DataFrame, roots: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """edges(src, dst), roots(root) -> root, node, depth of everything reachable, cycles closed once.
+    """edges(src, dst), roots(root) -> root, node, depth of everything reachable, cycles closed once.
 
-    Each round expands the last frontier of all roots together and is written; rounds are as many as the longest path.
+    Each round expands the last frontier of all roots together and is written as a part of one table, which the next
+    round reads for what it has seen; nothing is written twice. Rounds are as many as the longest path.
     """
-    seen = frontier = cut(roots.select("root", F.col("root").alias("node"), F.lit(0).cast("long").alias("depth")).distinct())
+    table = Parts(roots.sparkSession, "closure")
+    frontier = table.add(roots.select("root", F.col("root").alias("node"), F.lit(0).cast("long").alias("depth")).distinct())
     links = edges.select(F.col("src").alias("node"), "dst").distinct()
     for depth in range(1, most_rounds + 1):
         step = frontier.select("root", "node").join(links, "node").select("root", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        new = step.join(table.all().select("root", "node"), ["root", "node"], "left_anti")
+        frontier = table.add(new.withColumn("depth", F.lit(depth).cast("long")))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+    return table.all()
+
+
+def local_closure(edges: DataFrame, roots: DataFrame, local: DataFrame) -> DataFrame:
+    """edges(src, dst), roots(root), local(node) -> root, node, found: modules reached, and with ``found`` false those outside, which are not followed."""
+    known = local.select("node").distinct()
+    inner = edges.join(known.withColumnRenamed("node", "src"), "src", "left_semi")
+    reached = closure(inner, roots).select("root", "node")
+    return reached.join(known.withColumn("found", F.lit(True)), "node", "left").select("root", "node", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def compiler_closure(declarations: DataFrame, uses: DataFrame, targets: DataFrame) -> DataFrame:
+    """declarations(name, local, kind), uses(name, dependency), targets(entry, name) -> entry, name, state.
+
+    Local declarations are followed; an ``external`` one is recorded, a name without a declaration is ``missing``. A ``sorry``
+    and an ``axiom`` are told from ``resolved`` by name and kind, whether local or not.
+    """
+    local = declarations.where("local").select(F.col("name").alias("src")).distinct()
+    entry, name = lambda c: F.concat(F.lit("entry "), F.col(c).cast("string")), lambda c: F.concat(F.lit("name "), F.col(c))
+    inner = uses.select(F.col("name").alias("src"), F.col("dependency").alias("dst")).join(local, "src", "left_semi").select(name("src").alias("src"), name("dst").alias("dst"))
+    edges = inner.unionAll(targets.select(entry("entry").alias("src"), name("name").alias("dst")))
+    reached = closure(edges, targets.select(entry("entry").alias("root")).distinct()).where("depth > 0").select(F.substring("root", 7, 1 << 30).alias("entry"), F.substring("node", 6, 1 << 30).alias("name"))
+    d = declarations.groupBy("name").agg(F.max("local").alias("local"), F.min("kind").alias("kind"))
+    state = (F.when(F.col("name").isin("sorry", "sorryAx"), "sorry").when(F.col("kind") == "axiom", "axiom").when(F.col("local").isNull(), "missing")
+             .when(F.col("local"), "resolved").otherwise("external"))
+    return reached.join(d, "name", "left").select("entry", "name", state.alias("state"))
+
+
+def cite_reach(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """files(path, inputs), roots(directory, path) -> directory, path of every TeX file reached.
+
+    A name is looked up beside the root file first, then beside the file that names it; so the root's folder goes along with
+    each file reached. A name found in neither place is passed over.
+    """
+    folder = lambda c: F.when(F.contains(c, F.lit("/")), F.regexp_replace(c, "/[^/]*$", "")).otherwise(F.lit(""))
+    beside = lambda at, name: normal_path(F.concat(at, F.lit("/"), name))
+    known = files.select("path").distinct()
+    named = files.select("path", F.explode("inputs").alias("name")).distinct()
+    table, state = Parts(files.sparkSession, "reach"), ["directory", "base", "path"]
+    frontier = table.add(roots.join(known, "path", "left_semi").select("directory", folder(F.col("path")).alias("base"), "path").distinct())
+    while not frontier.isEmpty():
+        places = F.array(beside(F.col("base"), F.col("name")), beside(folder(F.col("path")), F.col("name")))
+        asked = frontier.join(named, "path").select(*state, "name", F.posexplode(places).alias("nth", "to"))
+        there = asked.join(known.withColumnRenamed("path", "to"), "to", "left_semi").groupBy(*state, "name").agg(F.min_by("to", "nth").alias("to"))
+        child = there.select("directory", "base", F.col("to").alias("path")).distinct()
+        frontier = table.add(child.join(table.all(), state, "left_anti"))
+    return table.all().select("directory", "path").distinct()
 
 
 def suffixes(name: Column) -> Column:
@@ -53,6 +126,65 @@ def two_hops(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return zero.unionAll(one).unionAll(two).groupBy("node").agg(F.min("depth").alias("depth"))
 
 
+def name_index(declarations: DataFrame) -> DataFrame:
+    """declarations(key, name, module) -> token, in_module, n, key: how many names of a module end in a token, and the least."""
+    each = declarations.select("key", F.col("module").alias("in_module"), F.explode(suffixes(F.col("name"))).alias("token")).distinct()
+    return each.groupBy("token", "in_module").agg(F.count("*").alias("n"), F.min("key").alias("key"))
+
+
+def chosen(asked: DataFrame, index: DataFrame, reachable: DataFrame) -> DataFrame:
+    """asked(entry, module, token), reachable(entry, in_module) -> the same with key and known.
+
+    A token is the one declaration of its own module that it ends, else the one in all modules its entry reaches, else none;
+    ``known`` tells whether it ends any name at all.
+    """
+    own = ["entry", "module", "token"]
+    asked = asked.select(*own).distinct()
+    sought = asked.withColumn("sought", F.replace("token", F.lit("_root_."), F.lit("")))
+    hits = sought.join(index.withColumnRenamed("token", "sought"), "sought")
+    scope = reachable.select("entry", "in_module").distinct().withColumn("in_scope", F.lit(True))
+    hits = hits.join(scope, ["entry", "in_module"], "left")
+    here, far = F.col("in_module") == F.col("module"), F.coalesce("in_scope", F.lit(False))
+    total = lambda w: F.sum(F.when(w, F.col("n")))
+    found = hits.groupBy(*own).agg(total(here).alias("a"), F.min(F.when(here, F.col("key"))).alias("ka"), total(far).alias("b"), F.min(F.when(far, F.col("key"))).alias("kb"))
+    found = found.select(*own, F.when(F.col("a") == 1, F.col("ka")).when(F.col("b") == 1, F.col("kb")).alias("key"))
+    known = asked.join(index.select("token").distinct(), "token", "left_semi").withColumn("known", F.lit(True))
+    return asked.join(found, own, "left").join(known, own, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def seeds(entries: DataFrame, targets: DataFrame, declarations: DataFrame, reachable: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """entries(entry, module, text), targets(entry, target) -> seeds(entry, key), unresolved(entry, target), fallback declarations.
+
+    An entry none of whose targets is found is its own text, kept as a declaration with the key ``module:entry``.
+    """
+    asked = targets.join(entries.select("entry", "module"), "entry").select("entry", "module", F.col("target").alias("token"))
+    told = cut(chosen(asked, name_index(declarations), reachable))
+    found = told.where("key IS NOT NULL").select("entry", "key").distinct()
+    bare = entries.join(found.select("entry").distinct(), "entry", "left_anti")
+    key = F.concat("module", F.lit(":entry"))
+    fallback = bare.select(key.alias("key"), F.col("module").alias("name"), "module", F.lit(1).cast("long").alias("line"), "text")
+    return found.unionAll(bare.select("entry", key.alias("key"))), told.where("key IS NULL").select("entry", F.col("token").alias("target")), fallback
+
+
+def expand(declarations: DataFrame, start: DataFrame, reachable: DataFrame, hops: int = 2) -> tuple[DataFrame, DataFrame]:
+    """declarations(key, name, module, text), start(entry, key) -> included(entry, key, depth), ambiguous(entry, token).
+
+    Names in a text are its references, but for its own and undotted ones under eight letters; each hop resolves those of the
+    last. A dotted name that ends several declarations and is none of one is ambiguous.
+    """
+    names = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))).alias("token")
+    tokens = declarations.select("key", "name", "module", names).where((F.col("token") != F.col("name")) & (F.col("token").contains(".") | (F.length("token") >= 8)))
+    tokens, index = cut(tokens.select("key", "module", "token")), cut(name_index(declarations))
+    table, unclear = Parts(declarations.sparkSession, "expand"), Parts(declarations.sparkSession, "unclear")
+    frontier = table.add(start.select("entry", "key", F.lit(0).cast("long").alias("depth")).distinct())
+    for depth in range(1, hops + 1):
+        told = cut(chosen(frontier.join(tokens, "key"), index, reachable))
+        unclear.add(told.where("key IS NULL AND known AND token LIKE '%.%'").select("entry", "token"))
+        new = told.where("key IS NOT NULL").select("entry", "key").distinct().join(table.all(), ["entry", "key"], "left_anti")
+        frontier = table.add(new.withColumn("depth", F.lit(depth).cast("long")))
+    return table.all(), unclear.all().distinct()
+
+
 def owners(names: DataFrame) -> DataFrame:
     """names(name, in_module, has_range) -> each name's owner: itself, else the nearest dotted ancestor of its module with a range."""
     parts = F.split("name", r"\.")

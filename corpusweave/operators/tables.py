@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -20,9 +21,11 @@ def _forget(spark: SparkSession, path: str) -> None:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the session's ``spark.checkpoint.dir``, in a local folder only where that is unset; all go when the driver ends."""
+    """A fresh path in the session's ``spark.checkpoint.dir``, in a local folder only where that is unset and the session is local; all go when the driver ends."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="corpusweave-")
         spark.sparkContext.setCheckpointDir(top)
     top = f"{top.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
@@ -39,6 +42,23 @@ def cut(df: DataFrame, tag: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Parts:
+    """A table that grows part by part in the shared folder: what is written is never written again."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.top, self.paths = spark, new_path(spark, tag), []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        path = f"{self.top}/{len(self.paths)}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.schema = df.schema
+        self.paths.append(path)
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+
 def in_ranges(rows: DataFrame, by: str, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows dealt to ranges of ``by`` (column ``part``), and part, n, before: the rows (or sum of ``weight``) in it and in all ranges before.
 

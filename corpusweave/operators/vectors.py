@@ -1,13 +1,15 @@
-"""Vector operators: normalising, lenses, exact neighbours, layout quality and alignment."""
+"""Vector operators: normalising, lenses, exact neighbours, layout quality and alignment."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TINY = 1e-9
 #: Largest matrix that is sent to every executor; beyond it, tiles of vectors are joined in blocks.
@@ -135,6 +137,90 @@ def mean_vectors(rows: DataFrame, key: str) -> DataFrame:
     return long.join(length, key).where(F.col("length") > TINY).select(key, F.col("pos").cast("long").alias("pos"), F.round(F.col("x") / F.col("length"), 6).alias("value"))
 
 
+def module_vectors(rows: DataFrame) -> DataFrame:
+    """rows(family, path, ordinal, vector) -> family, vector, modules: the unit mean of a family's modules, each path's last row counting.
+
+    Fails for a row without path or vector, and for a family whose vectors differ in length, are not finite or cancel out.
+    """
+    fail = lambda what: F.raise_error(F.concat(F.lit(f"{what} in family "), F.coalesce(F.col("family").cast("string"), F.lit("null")))).cast("array<double>")
+    vector = F.when(F.col("path").isNull() | F.coalesce(F.size("vector") == 0, F.lit(True)), fail("no path or vector")).otherwise(F.transform("vector", lambda x: x.cast("double")))
+    last = rows.groupBy("family", "path").agg(F.max_by(vector, "ordinal").alias("v"))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    sums = last.select("family", F.size("v").alias("n"), finite.alias("fine"), F.posexplode("v").alias("pos", "x"))
+    sums = sums.groupBy("family", "pos").agg(F.sum("x").alias("x"), F.count("*").alias("modules"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("fine").alias("fine"))
+    whole = sums.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("pos", (F.col("x") / F.col("modules")).alias("x")))).alias("m"), F.max("modules").alias("modules"),
+                                       F.min("least").alias("least"), F.max("most").alias("most"), F.min("fine").alias("fine"))
+    whole = whole.withColumn("mean", F.transform("m", lambda p: p["x"]))
+    unit = normalize(F.col("mean"))
+    checked = F.when((F.col("least") != F.col("most")) | ~F.col("fine"), fail("invalid vector")).when(unit.isNull(), fail("degenerate vector")).otherwise(unit)
+    return whole.select("family", checked.alias("vector"), "modules")
+
+
+def chunk_vectors(rows: DataFrame, key: str, chunk: str) -> DataFrame:
+    """rows(key, chunk, vector) -> the mean over a key's different chunks, as ``mean_vectors`` (V9): repeats of a chunk count once."""
+    return mean_vectors(rows.groupBy(key, chunk).agg(F.first("vector").alias("vector")), key)
+
+
+def hashed_embedding(texts: list[str], dimensions: int = 64) -> np.ndarray:
+    """A stand-in encoder without a model: signed hashes of lower-case words, as unit rows; blank texts point along the first axis."""
+    out = np.zeros((len(texts), dimensions))
+    for i, text in enumerate(texts):
+        for w in (text or "").lower().split():
+            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+            out[i, h % dimensions] += 1 if h >> 63 else -1
+        if not out[i].any():
+            out[i, 0] = 1
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+def embed(chunks: DataFrame, encode=hashed_embedding, dimensions: int = 64, batch: int = 32) -> DataFrame:
+    """chunks(key, text) -> key, vector by any encoder of a list of texts.
+
+    Rows must be as many as the texts, of ``dimensions`` finite numbers; they are made unit vectors. A text is encoded once per row.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for at in range(0, rows.num_rows, batch):
+                part = rows.slice(at, batch)
+                m = np.asarray(encode([x or "" for x in part.column("text").to_pylist()]), float)
+                if m.shape != (part.num_rows, dimensions) or not np.isfinite(m).all():
+                    raise ValueError(f"the encoder gave {m.shape} for {part.num_rows} texts of {dimensions} dimensions, or a number that is not finite")
+                size = np.linalg.norm(m, axis=1, keepdims=True)
+                if (size <= TINY).any():
+                    raise ValueError("the encoder gave a vector without length")
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array((m / size).tolist(), pa.list_(pa.float64()))], names=["key", "vector"])
+
+    return chunks.select("key", "text").mapInArrow(run, T.StructType([chunks.schema["key"], T.StructField("vector", T.ArrayType(T.DoubleType()))]))
+
+
+def flat_layout(items: DataFrame) -> DataFrame:
+    """items(id, vector) -> id, x, y on the two directions of largest variance, each turned so that its largest weight is positive.
+
+    This stands in for a neighbour-graph layout, which needs a library that isn't there (V19). Only the covariance, a
+    square of the vector's length, is gathered by the driver; it is summed in parts.
+    """
+    items = _vectors(items)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, square = 0, 0.0, 0.0
+        for b in batches:
+            m = _matrix(b.column("vector"))
+            n, total, square = n + len(m), total + m.sum(axis=0), square + m.T @ m
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([square.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "total", "square"])
+
+    parts = items.mapInArrow(sums, "n long, total array<double>, square array<double>").toArrow()
+    if not parts.num_rows:
+        return items.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    n = sum(parts.column("n").to_pylist())
+    mean = _matrix(parts.column("total")).sum(axis=0) / n
+    d = len(mean)
+    _, axes = np.linalg.eigh(_matrix(parts.column("square")).sum(axis=0).reshape(d, d) / n - np.outer(mean, mean))
+    two = [v * np.sign(v[np.abs(v).argmax()]) for v in axes.T[::-1][:2]]
+    at = lambda v: F.round(dot(F.col("vector"), F.array(*(F.lit(float(x)) for x in v))) - float(mean @ v), 6)
+    return items.select("id", at(two[0]).alias("x"), (at(two[1]) if d > 1 else F.lit(0.0)).alias("y"))
+
+
 def numeric_audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """ours(id, vector), theirs(id, vector) -> compared, missing (on either side), uneven (lengths differ), worst: the largest difference of two components."""
     both = ours.select("id", F.col("vector").alias("a")).join(theirs.select("id", F.col("vector").alias("b")), "id", "full")

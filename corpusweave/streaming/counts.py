@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RETENTION_DAYS = 90
@@ -34,13 +34,25 @@ def report(counts: DataFrame) -> DataFrame:
     return counts.rollup("day").agg(F.sum("app").cast("long").alias("app"), F.sum("demo").cast("long").alias("demo"), F.sum(F.col("app") + F.col("demo")).cast("long").alias("total"))
 
 
-def stream_daily(views: DataFrame, name: str, checkpoint: str):
-    """A query that keeps each day's counts in a memory table; a day's state goes when the watermark passes it."""
+def stream_daily(views: DataFrame, path: str, checkpoint: str, every: str | None = None):
+    """A query that keeps each day's counts in a table of batches below ``path`` (ST1-ST3); ``stored_counts`` reads it.
+
+    In update mode a batch brings the days it changed, and a day's state goes when the watermark, as long as the
+    retention, passes it. A batch is written under its number, over itself if it is tried again, so each counts once;
+    after a restart the checkpoint goes on. ``every`` is the time between batches (``5 seconds``); without it the
+    query ends with what is there.
+    """
     counted = (views.withWatermark("ts", f"{RETENTION_DAYS} days").groupBy(F.window("ts", "1 day"))
                .agg(F.count_if(F.col("page") == "app").alias("app"), F.count_if(F.col("page") == "demo").alias("demo"))
                .select(F.to_date("window.start").alias("day"), "app", "demo"))
-    return (counted.writeStream.outputMode("complete").format("memory").queryName(name)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    flow = counted.writeStream.outputMode("update").foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{path}/batch={n}"))
+    return flow.option("checkpointLocation", checkpoint).trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
+
+
+def stored_counts(spark: SparkSession, path: str) -> DataFrame:
+    """day, app, demo: of each day what its last batch says."""
+    rows = spark.read.schema("day date, app long, demo long, batch long").parquet(path)
+    return rows.groupBy("day").agg(F.max_by(F.struct("app", "demo"), "batch").alias("c")).select("day", "c.app", "c.demo")
 
 
 def admitted(requests: DataFrame, per_minute: int = 20) -> DataFrame:

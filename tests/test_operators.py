@@ -1,5 +1,9 @@
+import hashlib
+import json
 import math
 import os
+from collections import Counter
+from urllib.parse import quote
 
 import duckdb
 import numpy as np
@@ -8,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.functions import text as tx
 from corpusweave.operators import analysis, catalog, coupling, graph, resolve, search, vectors
-from corpusweave.plans.queries import QUERIES, SQL
+from corpusweave.plans.queries import QUERIES, SQL, mixed_records
 from corpusweave.sources import files, parsers
 from corpusweave.streaming import counts
 
@@ -28,7 +32,7 @@ def rows(df):
     return sorted(map(repr, df[c].astype(object).where(df[c].notna(), None).values.tolist()))
 
 
-@pytest.mark.parametrize("name", ["coupling_topk", "color_ramp", "markup_escape", "path_encode", "path_normalize", "first_candidate", "self_reference_exclusion", "numeric_audit", "build_states", "json_by_key", "coupling_isolates", "shared_works_evidence", "knn_cosine_top8", "knn_lens_projected", "trustworthiness", "rank_audit", "nearest_other_subject", "representatives", "reference_reorder", "procrustes_align", "lexical_search",
+@pytest.mark.parametrize("name", ["coupling_topk", "identifier_works", "title_works", "title_inside_works", "merge_conflicts", "merge_reasons", "family_sources", "identifier_columns", "bibliography_scan", "source_imports", "source_declarations", "import_closure", "reference_expand", "compiler_states", "source_slices", "number_search", "faceted_search", "retrieval_eval", "module_vectors", "label_ari", "color_ramp", "markup_escape", "path_encode", "path_normalize", "first_candidate", "self_reference_exclusion", "numeric_audit", "build_states", "json_by_key", "coupling_isolates", "shared_works_evidence", "knn_cosine_top8", "knn_lens_projected", "trustworthiness", "rank_audit", "nearest_other_subject", "representatives", "reference_reorder", "procrustes_align", "lexical_search",
                                   "combined_search", "token_chunks", "tfidf_keywords", "resolve_entities", "closure", "owner_reuse", "glossary_tags", "changed_views", "viewport_fit", "nearest_point", "concept_matches", "unused_entries", "release_gate", "coverage_union", "unique_prefix", "chunk_cache_fill", "titled_chunks", "visits_report", "streaming_page_counts"])
 def test_query_matches_sql(spark, duck, name):
     ours, theirs = QUERIES[name](spark, DATA).toPandas(), duck.sql(SQL[name]).df()
@@ -94,55 +98,276 @@ def test_closure_of_a_cycle(spark):
 
 
 def record(i, **x):
-    return {"record": i, "title": "", "authors": "", "year": "", "citation": "", "raw": "", "doi": "", "arxiv": "", "url": "", "families": [f"f{i}"], **x}
-
-
-RECORDS = "record long, title string, authors string, year string, citation string, raw string, doi string, arxiv string, url string, families array<string>"
+    return {"record": i, "title": "", "authors": "", "year": "", "citation": "", "raw": "", "doi": "", "arxiv": "", "url": "", "source": "", "families": [f"f{i}"], **x}
+
+
+RECORDS = "record long, title string, authors string, year string, citation string, raw string, doi string, arxiv string, url string, source string, families array<string>"
+
+
+def in_order(records):
+    """A plain sequential reading of the merge rules: groups as sets, each record in turn against all before it."""
+    found = [resolve.keys(*(r[c] for c in ("title", "authors", "year", "citation", "raw", "doi", "arxiv"))) for r in records]
+    group, ids, count, refused = {i: {i} for i in range(len(records))}, {i: set(k["ids"]) for i, k in enumerate(found)}, Counter(), []
+    kinds = lambda x, p: {k for k in x if k.startswith(p)}
+
+    def join(i, j, reason):
+        if group[i] is group[j]:
+            return
+        x, y = set().union(*(ids[k] for k in group[i])), set().union(*(ids[k] for k in group[j]))
+        if reason != "identifier" and any(kinds(x, p) and kinds(y, p) and not kinds(x, p) & kinds(y, p) for p in ("doi:", "arxiv:")):
+            refused.append((i, j, reason))
+            return
+        whole = group[i] | group[j]
+        for k in whole:
+            group[k] = whole
+        count[reason] += 1
+
+    long = lambda k, words, chars: len(k["title"].split()) >= words and len(k["title"]) >= chars and k["surname"]
+    for i, k in enumerate(found):
+        for x in k["ids"]:
+            if (j := next(j for j in range(i + 1) if x in found[j]["ids"])) < i:
+                join(i, j, "identifier")
+        join(i, next(j for j in range(i + 1) if found[j]["text"] == k["text"]), "identical citation")
+        for j in range(i) if long(k, 3, 20) else ():
+            same = (found[j]["title"], found[j]["surname"]) == (k["title"], k["surname"])
+            if same and (k["year"] is None or found[j]["year"] is None or abs(k["year"] - found[j]["year"]) <= 3):
+                join(i, j, "title and author")
+    known = {}
+    for j, k in enumerate(found):
+        if long(k, 4, 28) and any(len(w) > 3 for w in k["title"].split()):
+            known.setdefault((k["title"], k["surname"]), j)
+    for i, k in enumerate(found):
+        hit = [j for (t, a), j in known.items() if f" {t} " in f" {k['text']} " and a in k["text"].split()] if not records[i]["title"] else []
+        if len({id(group[j]) for j in hit}) == 1:
+            join(i, hit[0], "exact title in citation")
+    return found, [sorted(x) for x in {id(g): g for g in group.values()}.values()], count, refused
+
+
+def best_work(records, found, members):
+    ids = sorted({x for i in members for x in found[i]["ids"]})
+    best = max(members, key=lambda i: (bool(records[i]["title"]), bool(found[i]["ids"]), bool(records[i]["authors"]), len(records[i]["citation"]), -i))
+    key = next((x for x in ids if x.startswith("doi:")), ids[0] if ids else "text:" + found[best]["text"])
+    title = records[best]["title"] or records[best]["citation"]
+    web = next((records[i]["url"].replace("\\_", "_") for i in members if records[i]["url"].startswith("http")), "")
+    url = "https://doi.org/" + key[4:] if key.startswith("doi:") else "https://arxiv.org/abs/" + key[6:] if key.startswith("arxiv:") else web or "https://scholar.google.com/scholar?q=" + quote(title[:220])
+    families = sorted({f for i in members for f in records[i]["families"]})
+    return (hashlib.sha256(key.encode()).hexdigest()[:16], title, records[best]["authors"], records[best]["year"], url, ids, families, {f: next(records[i]["source"] for i in members if f in records[i]["families"]) for f in families}, members)
 
 
 def test_resolution_rules():
     title = "A long enough title about groups"
-    merged = resolve.replay([record(0, title=title, authors="Ada Byron", year="1999", citation="c0"), record(1, title=title, authors="Byron, A.", year="2001", citation="c1"), record(2, title=title, authors="A. Byron", year="1990", citation="c2")])
-    assert merged.find(0) == merged.find(1) != merged.find(2)
-    veto = resolve.replay([record(0, title=title, authors="A Byron", doi="10.1000/a", citation="c0"), record(1, title=title, authors="A Byron", doi="10.1000/b", citation="c1")])
-    assert veto.find(0) != veto.find(1) and veto.refused == 1
-    inside = resolve.replay([record(0, title=title, authors="Ada Byron", citation="c0"), record(1, citation=f"Byron, A. {title}. Some Journal 3")])
-    assert inside.find(0) == inside.find(1)
-    assert resolve.identifiers("", "", "10.1000/a and 10.1000/b") == set()
-
-
-def test_resolution_by_component_equals_whole_replay(spark):
-    rng = np.random.default_rng(3)
-    titles = [f"On the theory of objects of kind number {i}" for i in range(4)]
-    recs = [record(i, title=titles[t] if (t := int(rng.integers(0, 5))) < 4 else "", authors=["Ada Byron", "Emmy Noether"][int(rng.integers(0, 2))], year=str(rng.integers(1990, 2000)),
-                   citation=f"Byron {titles[int(rng.integers(0, 4))]} {i % 7}", doi=["", "", "10.1/x", "10.1/y"][int(rng.integers(0, 4))]) for i in range(40)]
-    whole = resolve.replay(recs)
-    want = {}
-    for i in range(40):
-        want.setdefault(whole.find(i), []).append(i)
-    got = resolve.resolve(spark.createDataFrame([tuple(r.values()) for r in recs], RECORDS)).collect()
-    assert sorted(map(sorted, want.values())) == sorted(sorted(r.records) for r in got)
-
-
-def test_parsers():
-    bib = '@comment{x} @Article{k1, Title = {A {Nested} $x_{i}$ title}, author="B, C and D", year = 1999}\n@book{k2, title={T}}'
-    first, second = parsers.bib_entries(bib)
-    assert first["key"] == "k1" and first["fields"] == {"title": "A {Nested} $x_{i}$ title", "author": "B, C and D", "year": "1999"} and second["key"] == "k2"
-    assert parsers.plain_tex(first["fields"]["title"]) == "A Nested $x_{i}$ title"
-    items = list(parsers.bib_items("%\\bibitem{no} commented entry that is long enough\n\\bibitem[A]{k} Some Author, {\\em A title}. \\url{http://a.b}\n\\bibitem{s} short\\end{thebibliography}"))
+    def merged(*records):
+        return [set(g) for g in in_order([record(i, citation=f"c{i}") | r for i, r in enumerate(records)])[1]]
+    years = [{"title": title, "authors": a, "year": y} for a, y in (("Ada Byron", "1999"), ("Byron, A.", "(2001)"), ("A. Byron", "1990"))]
+    assert merged(*years) == [{0, 1}, {2}] and merged(*years, {"title": title, "authors": "Byron"}) == [{0, 1, 2, 3}]
+    assert merged({"doi": "n/a"}, {"doi": "n/a"}) == [{0}, {1}]
+    assert resolve.identifiers("", "", "10.1000/a and 10.1000/b") == set() == resolve.identifiers("n/a", "", "10.1000/a")
+    assert resolve.identifiers("", "", "arXiv:math/0112017 \\url{https://arxiv.org/pdf/math/0112017v2}") == {"arxiv:math/0112017"}
+    assert resolve.identifiers("10.1234/ABC", "2102.11818v4", "") == resolve.identifiers("", "", r"\url{https://doi.org/10.1234/abc} \url{https://arxiv.org/pdf/2102.11818v1.pdf}") == {"doi:10.1234/abc", "arxiv:2102.11818"}
+    assert resolve.norm(r"\v{C}ech and Erd\H{o}s, π-groups {\it of} $x_{i}$") == "cech and erdos groups of x i"
+    assert resolve.first_surname("van der Berg, A. and X") == "berg" and resolve.first_surname("Ada Q. Byron; Y") == "byron" == resolve.first_surname("A Byron B")
+
+
+def some_records(n, seed):
+    rng = np.random.default_rng(seed)
+    pick = lambda *x: x[int(rng.integers(0, len(x)))]
+    titles = [f"On the theory of objects of kind number {i}" for i in range(4)] + ["one two odd six its who can how"]
+    out = []
+    for i in range(n):
+        t = pick("", "", *titles)
+        out.append(record(i, title=t, authors=pick("Ada Byron", "Byron, Ada and X", "Emmy Noether", ""), year=pick("", str(rng.integers(1990, 2000)), "c. 1995"), citation=f"{pick('Byron', 'Noether')} {pick(*titles)} {pick('', i % 7)}",
+                          raw=pick("", "", "see arXiv:2101.00001v1", "10.1000/x."), doi=pick("", "", "", "10.1000/x", "10.1000/Y.", "n/a"), arxiv=pick("", "", "2101.00001", "2101.00002v3"), url=pick("", "http://a.test/x\\_y", "ftp://b"), source=f"s{i % 3}", families=[f"f{i % 4}", "g"][:i % 3]))
+    return out
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_resolution_equals_a_sequential_reading(spark, seed):
+    recs = some_records(60, seed)
+    found, groups, count, refused = in_order(recs)
+    done = resolve.resolution(spark.createDataFrame([tuple(r.values()) for r in recs], RECORDS).repartition(3))
+    got = sorted(tuple(r) for r in resolve.works(done).collect())
+    assert got == sorted(best_work(recs, found, g) for g in groups)
+    assert {r.reason: r.n for r in done.merges.collect()} == dict(count)
+    assert Counter((r.record, r.reason) for r in done.conflicts.collect()) == Counter((i, reason) for i, _, reason in refused)
+    variants = {r.record: r.first for r in resolve.audit(done).collect()}
+    assert all({variants[i] for i in g} == {g[0]} for g in groups)
+
+
+def test_every_kind_of_record_together(spark):
+    """The records of the query without SQL, at the smallest scale, against a sequential reading."""
+    table = mixed_records(spark, DATA)
+    recs = sorted((r.asDict() for r in table.collect()), key=lambda r: r["record"])
+    found, groups, _, _ = in_order([r | {c: r[c] or "" for c in r if c not in ("record", "families")} for r in recs])
+    want = sorted((recs[min(g)]["record"], len(g)) for g in groups)
+    assert sorted((r.first_record, r.records) for r in QUERIES["canonical_works"](spark, DATA).collect()) == want
+
+
+def test_resolution_of_no_records_and_nulls(spark):
+    none = spark.createDataFrame([], RECORDS)
+    assert resolve.resolve(none).count() == 0
+    blank = spark.createDataFrame([(i, *[None] * 9, None) for i in range(3)], RECORDS)
+    assert [sorted(r.records) for r in resolve.resolve(blank).collect()] == [[0, 1, 2]]
+
+
+def test_bibliography_records():
+    bib = '@comment{x @book{in, title={T}}} @string{s = "x"} @misc{nocomma}\n% @book{out, title={T}}\n@Article{k1, odd, Title = {A {Nested} $x_{i}$ title}, author="B, C and D", year = 1999, doi={10.1/A}, eprint=2101.00001, archivePrefix={arXiv}}\n@book{k2, title={T}, editor={E}, publisher={P}}\n@book{k3, year=1}'
+    assert [e["key"] for e in parsers.bib_entries(bib)] == ["out", "k1", "k2", "k3"]
+    one, two = parsers.citation_records("a.bib", bib)
+    assert one[:6] == ("a.bib", "k1", "A Nested $x_{i}$ title", "B, C and D", "1999", "B, C and D. A Nested $x_{i}$ title. 1999") and one[7:9] == ("10.1/A", "2101.00001")
+    assert json.loads(one[6])["title"] == "A {Nested} $x_{i}$ title" and two[3:6] == ("E", "", "E. T. P")
+    assert list(parsers.citation_records("a.bib", "")) == [] and parsers.bib_fields('a = {x\\}y}, b = "q\\"r", c = z') == {"a": "x\\}y", "b": 'q\\"r', "c": "z"}
+    items = list(parsers.bib_items("%\\bibitem{no} commented entry that is long enough\n\\bibitem[A]{k} Some Author, {\\em A title}. \\url{ftp://x} \\url{http://a.b}\n\\bibitem{s} short\\end{thebibliography}"))
     assert [x["key"] for x in items] == ["k"] and items[0]["url"] == "http://a.b"
+    assert parsers.plain_tex(r"\v{C}ech, Erd\H{o}s \& \'Etude~\$5 \textbf{b}--c $\alpha_{1}$\url{http://x}") == "Cech, Erdos & Etude $5 b–c $\\alpha_{1}$"
     assert parsers.cite_keys(r"\citep*[p. 3]{a, b} % \cite{no}" + "\n\\cite{c}") == ["a", "b", "c"]
-    code = "import A B\npublic import C\n/- /- nested -/ import No -/\n-- import No\nnamespace N\ntheorem t : True := x\nsection\nnoncomputable def _root_.d := \"-- s\"\nend\nlemma u : t\nend N\n"
-    assert parsers.imports(code) == ["A", "B", "C"]
-    found = parsers.declarations(code, "M")
-    assert [(d["name"], d["line"]) for d in found] == [("N.t", 6), ("d", 8), ("N.u", 10)] and '"-- s"' in found[1]["text"]
+    legacy = "\\bibitem{a} Some Author, \\emph{A title of a paper}. \\href{http://b.test/x\\_y}{link}\n\\bibitem{b} Another Author, a paper without any link\n\\bibitem{c} Own Name, some paper that is long enough\\end{thebibliography}"
+    assert [(r[1], r[2], r[3]) for r in parsers.legacy_references("p/refs.tex", legacy, "Own Name")] == [
+        ("Some Author, A title of a paper.", "http://b.test/x_y", "source-link"),
+        ("Another Author, a paper without any link", "https://scholar.google.com/scholar?q=Another%20Author%2C%20a%20paper%20without%20any%20link", "literature-search")]
+    assert [r[2] for r in parsers.legacy_references("x.bib", "@article{k, title={A title that is long}, doi = {10.1/x}, url={http://c.test}}")] == ["https://doi.org/10.1/x"]
+
+
+def test_source_scans(spark):
+    code = "import A B.C' -- import No\npublic import C\n/- /- nested -/ import No -/\n-- import No\nnamespace N\ntheorem t : True := x\nsection\nnoncomputable def _root_.d := \"-- s /- \"\nend\nlemma u : t\nnamespace M.K\nsection S\nend M.K\ndef v.{w} : X\nend N\n@[simp] private abbrev out := a/-x-/b\n"
+    assert parsers.imports(code) == ["A", "B.C'", "C"]
+    found = parsers.declarations(code, "Q")
+    assert [(d["name"], d["line"]) for d in found] == [("N.t", 6), ("d", 8), ("N.u", 10), ("N.v", 14), ("out", 16)] and '"-- s /- "' in found[1]["text"]
+    assert found[-1]["text"].endswith("a  b") and parsers.strip_comments("a/-x\n-/b") == "a  \nb" and parsers.strip_comments("/- --/ x") == "    x"
+    files = spark.createDataFrame([("lean/A/B.lean", code), ("lean/C.lean", None)], "path string, text string")
+    sources = parsers.scan_sources(files)
+    assert {r.module: r.imports for r in sources.collect()} == {"A.B": ["A", "B.C'", "C"], "C": []}
+    assert sorted((r.module, r.name, r.line) for r in parsers.scan_declarations(sources).collect()) == sorted(("A.B", d["name"], d["line"]) for d in found)
+    assert files.select(parsers.module_path(parsers.module_name(F.col("path"))).alias("p")).first().p == "lean/A/B.lean"
     assert parsers.source_slice("aé\nbcd\nef", 1, 1, 2, 2) == "é\nbc"
-    assert parsers.catalogue("**001. One** [p](a/b)\n**002. Two**")[0]["links"] == ["a/b"]
+    with pytest.raises(ValueError):
+        parsers.source_slice("a", 1, 0, 2, 1)
+    texts = ["aé\nbcd\nef", "one", "", "x\n\ny\n"]
+    places = [(i, t, a, b, c, e) for i, t in enumerate(texts) for a, b, c, e in ((1, 1, 2, 2), (1, 0, 1, 2), (2, 1, 3, 1), (1, 0, 3, 9))]
+    table = spark.createDataFrame([(10 * n, *p[1:]) for n, p in enumerate(places)], "id int, text string, start_line int, start_column int, end_line int, end_column int")
+    for r in parsers.scan_slices(table).collect():
+        lines = places[r.id // 10][1].split("\n")
+        _, t, a, b, c, e = places[r.id // 10]
+        want = None if c > len(lines) else lines[a - 1][b:e] if a == c else "\n".join([lines[a - 1][b:], *lines[a:c - 1], lines[c - 1][:e]])
+        assert r.part == want
+
+
+def test_catalogue_scan(spark):
+    text = "**001. One &amp; all.** ([Lean](lean/doc.md)) A summary. &emsp; [Paper <b>one</b>](preprints/a/p.tex) About it. &emsp; [else](other/x) no\n**002. Two** plain"
+    one, two = parsers.catalogue(text, "preprints/")
+    assert (one["title"], one["summary"], one["document"], one["papers"]) == ("One & all", ") A summary.", "lean/doc.md", [{"title": "Paper one", "path": "preprints/a/p.tex", "abstract": "About it."}])
+    assert two["papers"] == [] and two["document"] is None and one["links"] == ["lean/doc.md", "preprints/a/p.tex", "other/x"]
+    got = parsers.scan_catalogue(spark.createDataFrame([("c.md", text)], "path string, text string")).collect()
+    assert [(r.id, r.papers) for r in got] == [("001", ["preprints/a/p.tex", "other/x"]), ("002", [])]
+    tex = spark.createDataFrame([("o.tex", r"\sec{A}{1} \item{001} \item{002} \sec{B}{2} \item{003}")], "path string, text string")
+    assert {r.item: r.subject for r in parsers.subjects(tex, r"\\sec\{([^}]+)\}\{\d+\}", r"\\item\{(\d+)\}").collect()} == {"001": "A", "002": "A", "003": "B"}
+
+
+def test_texts_are_read_in_order_of_path(spark, tmp_path):
+    for name in ("b/2.lean", "a/1.lean", "a/0.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    assert [r.text for r in parsers.ordered(parsers.read_texts(spark, str(tmp_path), "*.lean")).collect()] == ["a/1.lean", "b/2.lean"]
+
+
+def test_citations_are_followed_through_inputs(spark):
+    files = {"d/main.tex": r"\input{sec/one} \cite{a} % \input{no}", "d/sec/one.tex": r"\include{two} \cite{b,c}", "d/two.tex": r"\input{sec/one}", "d/sec/two.tex": r"\cite{hidden}", "e/main.tex": r"\subfile{../d/sec/two}\input{gone}"}
+    scanned = parsers.scan_citations(spark.createDataFrame(list(files.items()), "path string, text string"))
+    reach = graph.cite_reach(scanned, spark.createDataFrame([("d", "d/main.tex"), ("e", "e/main.tex"), ("f", "none.tex")], "directory string, path string"))
+    got = {}
+    for r in reach.collect():
+        got.setdefault(r.directory, set()).add(r.path)
+    assert got == {"d": {"d/main.tex", "d/sec/one.tex", "d/two.tex"}, "e": {"e/main.tex", "d/sec/two.tex"}}
+
+
+def test_manuscript_files(spark):
+    files = ["d/main.tex", "d/sub/main.tex", "d/x.bib", "d/My-References.tex", "e/long-name.tex", "e/b.tex", "gx/paper.tex", "gx/other.tex", "h1/a.tex", "h2/a.tex"]
+    papers = spark.createDataFrame([("1", "d"), ("2", "d"), ("2", "e"), ("3", "g"), ("4", "h")], "family string, directory string")
+    got = catalog.manuscript_files(spark.createDataFrame([(f,) for f in files], "path string"), papers).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.family, r.directory), set()).add(r.path)
+    d = {"d/main.tex", "d/x.bib", "d/My-References.tex"}
+    assert by == {("1", "d"): d, ("2", "d"): d, ("2", "e"): {"e/b.tex"}, ("3", "gx"): {"gx/paper.tex"}, ("4", None): {None}}
+
+
+def test_closure_in_and_outside(spark):
+    edges = spark.createDataFrame([("A", "B"), ("A", "C"), ("B", "C"), ("B", "Lib.X"), ("C", "A")], "src string, dst string")
+    got = graph.local_closure(edges, spark.createDataFrame([("A",), ("Z",)], "root string"), spark.createDataFrame([("A",), ("B",), ("C",)], "node string"))
+    assert sorted((r.root, r.node, r.found) for r in got.collect()) == [("A", "A", True), ("A", "B", True), ("A", "C", True), ("A", "Lib.X", False), ("Z", "Z", False)]
+
+
+def test_names_are_chosen_when_they_are_one(spark):
+    decl = [("m:1", "N.first_one", "m", "uses N.dup and second_name and tiny N.first_one"), ("m:2", "N.dup", "m", ""), ("o:1", "P.second_name", "o", "third_name Q.twice"), ("p:1", "third_name", "p", "fourth_name"),
+            ("p:2", "fourth_name", "p", ""), ("q:1", "tiny", "q", ""), ("o:2", "A.Q.twice", "p", ""), ("o:3", "B.Q.twice", "q", ""), ("z:1", "second_name", "unreached", "")]
+    table = spark.createDataFrame(decl, "key string, name string, module string, text string")
+    scope = spark.createDataFrame([("e", m) for m in "mopq"] + [("g", "m")], "entry string, in_module string")
+    entries = spark.createDataFrame([("e", "m", "own text"), ("g", "m", "bare")], "entry string, module string, text string")
+    start, unresolved, fallback = graph.seeds(entries, spark.createDataFrame([("e", "_root_.first_one"), ("e", "nowhere"), ("g", "Q.twice")], "entry string, target string"), table, scope)
+    assert sorted(map(tuple, start.collect())) == [("e", "m:1"), ("g", "m:entry")] and sorted(map(tuple, unresolved.collect())) == [("e", "nowhere"), ("g", "Q.twice")]
+    assert [(r.key, r.text) for r in fallback.collect()] == [("m:entry", "bare")]
+    included, unclear = graph.expand(table, start, scope)
+    assert {(r.entry, r.key): r.depth for r in included.collect()} == {("e", "m:1"): 0, ("e", "m:2"): 1, ("e", "o:1"): 1, ("e", "p:1"): 2, ("g", "m:entry"): 0}
+    assert list(map(tuple, unclear.collect())) == [("e", "Q.twice")]
+
+
+def test_isolates_are_placed_in_a_row(spark):
+    e, f = edges(spark, {"a": ["x"], "b": ["x"], "c": ["y"], "d": [], "z": ["w"]})
+    got = {r.family: (r.place, r.x) for r in coupling.isolates(e, f, coupling.pairs(e, f)).collect()}
+    assert got == {"c": (0, -0.13), "d": (1, 0.0), "z": (2, 0.13)}
+
+
+def test_module_vectors_take_the_last_and_refuse_the_bad(spark):
+    schema = "family string, path string, ordinal long, vector array<double>"
+    make = lambda *rows: vectors.module_vectors(spark.createDataFrame(list(rows), schema)).collect()
+    (one,) = make(("f", "a", 1, [9.0, 9.0]), ("f", "a", 2, [1.0, 0.0]), ("f", "b", 0, [0.0, 1.0]))
+    assert np.allclose(one.vector, [0.5 ** 0.5] * 2) and one.modules == 2
+    for bad in (("f", None, 1, [1.0]), ("f", "a", 1, None), ("f", "a", 1, []), ("f", "a", 1, [float("nan"), 1.0]), ("f", "a", 1, [0.0, 0.0])):
+        with pytest.raises(Exception, match="in family f"):
+            make(bad)
+    with pytest.raises(Exception, match="invalid vector"):
+        make(("f", "a", 1, [1.0]), ("f", "b", 1, [1.0, 2.0]))
+
+
+def test_embedding_and_layout(spark):
+    chunks = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, None)], "key long, text string")
+    got = {r.key: r.vector for r in vectors.embed(chunks).collect()}
+    assert got[1] == got[2] != got[3] and all(math.isclose(sum(x * x for x in v), 1) for v in got.values())
+    with pytest.raises(Exception, match="encoder"):
+        vectors.embed(chunks, lambda texts: np.zeros((len(texts), 3))).collect()
+    m = np.random.default_rng(5).normal(size=(50, 4)) * [5, 3, 1, 1]
+    flat = {r.id: (r.x, r.y) for r in vectors.flat_layout(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vector array<double>")).collect()}
+    c = m - m.mean(axis=0)
+    _, _, axes = np.linalg.svd(c)
+    for n in range(2):
+        own = axes[n] * np.sign(axes[n][np.abs(axes[n]).argmax()])
+        assert np.allclose([flat[i][n] for i in range(50)], c @ own, atol=1e-5)
+
+
+def test_seed_agreement(spark):
+    rng = np.random.default_rng(2)
+    items = spark.createDataFrame([(i, (rng.normal(size=3) * 0.01 + [i % 3, 0, 1]).tolist()) for i in range(60)], "id long, vector array<double>")
+    both = analysis.seed_assignments(items, 3)
+    assert both.count() == 60 and both.columns == ["id", "a", "b"] and analysis.rand_index(both).first().ari == 1.0
+
+
+def test_texts_that_hold_an_item(spark):
+    items = [(1, "Beta gamma del"), (2, "the"), (3, "nowhere found here"), (4, None), (5, ""), (6, "alpha beta"), (7, "Über große Wörter")]
+    docs = [(1, "alpha beta gamma delta"), (2, "The other"), (3, None), (4, "xalpha betax"), (5, "über große wörter"), (6, "alpha  beta")]
+    got = analysis.containing_pairs(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    want = {(i, j) for i, q in items for j, t in docs if q and t and q.lower() in t.lower()}
+    assert Counter((r.item_id, r.doc_id) for r in got.collect()) == Counter(want)
+
+
+def test_markup_text(spark):
+    df = spark.createDataFrame([("<p>a &amp; b</p>\n $`x`$ &nbsp;&eacute;",)], "t string")
+    assert df.select(tx.markup_text(F.col("t")).alias("x")).first().x.replace("\xa0", " ").split() == ["a", "&", "b", "$x$", "é"]
 
 
 def test_search_parsing():
-    q = search.parse_query('Topic:"Number Theory" lean:yes family #7 prime gaps')
-    assert q.fields == {"subject": "number theory", "lean": "yes", "id": "7"} and q.words == ["prime", "gaps"]
+    q = search.parse_query('Topic:"Number Theory" lean : yes family #7 prime gaps research  family 9 Research Family:12')
+    assert q.fields == {"topic": "number theory", "lean": "yes", "family": "9"} and q.words == ["prime", "gaps"]
+    assert search.parse_query("id:3 family 5").fields == {"id": "3", "family": "5"} and search.title_words(search.parse_query("How is Pi related to pi")) == ["pi", "related", "pi"]
+    assert not search.wants_semantic(search.parse_query("éé")) and search.wants_semantic(search.parse_query("π 1"))
     assert search.wants_semantic(search.parse_query("primes")) and not search.wants_semantic(search.parse_query("12")) and not search.wants_semantic(q)
     assert tx.search_text("Poincaré π") == "poincare pi"
 
