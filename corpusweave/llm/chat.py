@@ -66,15 +66,20 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def reply_pairs(turns: DataFrame) -> DataFrame:
-    """A pair for each conversation with an assistant turn: chosen is the conversation up to its last reply; rejected has,
-    in that place, the first reply of the same conversation, or an empty one where that is the reply itself."""
+    """A pair for each conversation: chosen is the conversation itself; rejected has, in place of its middle reply (of an even
+    number the one before the middle), the text of the reply after it, or nothing where there is one reply only.
+
+    Turns before that reply are the common prefix, and it and all turns after it the completions. A conversation without a
+    reply is paired with itself.
+    """
     c = gather(turns)
-    replies = F.filter("turns", lambda x: x["role"] == LEARN)
-    c = c.withColumn("last", F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda x: x["role"])), LEARN).cast("int") + 1)
-    c = c.withColumn("replies", replies).where(F.size("replies") > 0)
-    other = F.when(F.size("replies") > 1, F.get("replies", F.lit(0))["text"]).otherwise(F.lit(""))
-    swapped = F.array_append(F.slice("turns", F.lit(1), F.col("last") - 1), F.struct(F.lit(LEARN).alias("role"), other.alias("text")))
-    return c.select(F.col("conv_id").alias("pair_id"), F.slice("turns", F.lit(1), F.col("last")).alias("chosen"), swapped.alias("rejected"))
+    numbered = F.transform("turns", lambda x, i: F.when(x["role"] == LEARN, i))
+    c = c.withColumn("replies", F.array_compact(numbered))
+    middle = F.floor((F.size("replies") + 1) / 2).cast("int") - 1
+    c = c.withColumns({"here": F.get("replies", middle), "next": F.get("replies", middle + 1)})
+    other = F.coalesce(F.get("turns", F.col("next"))["text"], F.lit(""))
+    swapped = F.transform("turns", lambda x, i: F.when(F.coalesce(i == F.col("here"), F.lit(False)), F.struct(x["role"].alias("role"), other.alias("text"))).otherwise(x))
+    return c.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), swapped.alias("rejected"))
 
 
 def spans_text(spans: Column) -> Column:

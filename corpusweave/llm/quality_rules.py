@@ -4,7 +4,11 @@ Per language and source, each metric has a mergeable quantile sketch: a histogra
 relative width, kept as (bucket, count) rows. Sketches merge by adding counts, so partial sketches are made
 before the shuffle, results don't depend on the order, and the sketch of a language or of everything is the
 sum of its parts. Quartiles from the sketch set Tukey fences, which replace fixed cutoffs; a joined filter
-applies them. Groups of few rows use their language's sketch, small languages the sketch of all rows.
+applies them. Every group's sketch is merged with its language's, which weighs as ``PRIOR`` rows, and a language's with
+that of all rows likewise: the fewer rows a group has, the nearer are its fences to its language's, at every size.
+
+A fence lies ``FENCE`` spreads beyond a quartile; the spread is the distance of the quartiles, but not less than the
+metric's floor, as most texts have no symbols, shouts or repeats at all.
 
 Edge cases: a null or blank text has no words, fails the base rules and enters no sketch; a null language or
 source is a group of its own; repeated rows count as often as they occur; an empty table gives an empty result.
@@ -21,13 +25,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-MIN_ROWS = 200
+PRIOR = 200
 FENCE = 4
 #: Metric -> (numerator, denominator, least spread in thousandths, whether low values are fenced too).
 METRICS = {
     "word_length": ("word_chars", "n_words", 400, True),
     "symbols": ("n_symbols", "n_words", 20, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 120, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 90, False),
     "repeats": ("n_repeat_words", "n_words", 60, False),
     "shouting": ("n_shouts", "n_words", 40, False),
 }
@@ -98,24 +102,42 @@ def sketches(measured: DataFrame) -> DataFrame:
             .groupBy("lang", "source", "e.metric", "e.bucket").agg(F.count("*").alias("n")))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """rows, q1 and q3 of each key's merged sketch. A window's partition holds the buckets of one sketch, a bounded number."""
-    by = [*keys, "metric"]
-    merged = sketch.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
-    upto = Window.partitionBy(*by).orderBy("bucket")
-    ranked = merged.withColumn("upto", F.sum("n").over(upto)).withColumn("rows", F.sum("n").over(Window.partitionBy(*by)))
+def merged(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """lang, source, metric, bucket, weight: each group's sketch with its language's as ``prior`` rows, that one's with all rows' as ``prior`` rows.
+
+    Weights are whole numbers over a common denominator, so no order of addition changes them. A language has at most as
+    many rows here as its groups have buckets.
+    """
+    exact = lambda c: c.cast("decimal(38,0)")
+    whole = sketch.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
+    total = whole.groupBy("metric").agg(F.sum("n").alias("rows"))
+    whole = whole.join(total, "metric")
+    lang = sketch.groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("own"))
+    size = lang.groupBy("lang", "metric").agg(F.sum("own").alias("lang_rows"))
+    every = size.join(whole, "metric").select(F.col("lang").alias("l"), F.col("metric").alias("m"), F.col("bucket").alias("b"), "n", "rows", "lang_rows")
+    same = lambda x, y, keys: [x[k].eqNullSafe(y[k[0]]) for k in keys]
+    lang = every.join(lang, same(lang, every, ("lang", "metric", "bucket")), "left")
+    lang = lang.select("l", "m", "b", (exact(F.coalesce("own", F.lit(0))) * F.col("rows") + prior * exact(F.col("n"))).alias("lang_weight"), (exact(F.col("rows")) * (F.col("lang_rows") + prior)).alias("scale"))
+    groups = sketch.select("lang", "source", "metric").distinct()
+    spread = groups.join(lang, [groups["lang"].eqNullSafe(lang["l"]), groups["metric"] == lang["m"]]).select(F.col("lang").alias("g"), F.col("source").alias("s"), F.col("metric").alias("m"), F.col("b"), "lang_weight", "scale")
+    own = sketch.select("lang", "source", "metric", "bucket", "n")
+    both = spread.join(own, [spread["g"].eqNullSafe(own["lang"]), spread["s"].eqNullSafe(own["source"]), spread["m"] == own["metric"], spread["b"] == own["bucket"]], "left")
+    weight = exact(F.coalesce("n", F.lit(0))) * F.col("scale") + prior * F.col("lang_weight")
+    return both.select(F.col("g").alias("lang"), F.col("s").alias("source"), F.col("m").alias("metric"), F.col("b").alias("bucket"), weight.cast("decimal(38,0)").alias("weight"))
+
+
+def quartiles(weighted: DataFrame) -> DataFrame:
+    """lang, source, metric, q1, q3. A window's partition holds the buckets of one sketch, a bounded number."""
+    by = ["lang", "source", "metric"]
+    upto, rows = Window.partitionBy(*by).orderBy("bucket"), Window.partitionBy(*by)
+    ranked = weighted.withColumn("upto", F.sum("weight").over(upto)).withColumn("rows", F.sum("weight").over(rows))
     at = lambda quarter: F.min(F.when(4 * F.col("upto") >= quarter * F.col("rows"), F.col("bucket")))
-    return ranked.groupBy(*by).agg(F.max("rows").alias("rows"), at(1).alias("q1"), at(3).alias("q3"))
+    return ranked.groupBy(*by).agg(at(1).alias("q1"), at(3).alias("q3"))
 
 
-def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+def thresholds(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
     """lang, source and, for each metric, the lowest and highest value kept."""
-    own = quartiles(sketch, ["lang", "source"])
-    lang = quartiles(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("metric").alias("m"), F.col("rows").alias("l_rows"), F.col("q1").alias("l1"), F.col("q3").alias("l3"))
-    whole = quartiles(sketch, []).select(F.col("metric").alias("a"), F.col("q1").alias("a1"), F.col("q3").alias("a3"))
-    both = (own.join(lang, own["lang"].eqNullSafe(lang["l"]) & (own["metric"] == lang["m"])).join(F.broadcast(whole), F.col("metric") == F.col("a")))
-    pick = lambda q, l, a: F.when(F.col("rows") >= min_rows, F.col(q)).when(F.col("l_rows") >= min_rows, F.col(l)).otherwise(F.col(a))  # noqa: E731, E741
-    q = both.select("lang", "source", "metric", pick("q1", "l1", "a1").alias("q1"), pick("q3", "l3", "a3").alias("q3"))
+    q = quartiles(merged(sketch, prior))
     out = []
     for m, (_, _, spread, low) in METRICS.items():
         here, width = F.col("metric") == m, F.greatest(F.col("q3") - F.col("q1"), F.lit(spread))
@@ -125,10 +147,11 @@ def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     return q.groupBy("lang", "source").agg(*out)
 
 
-def apply_rules(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+def apply_rules(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """doc_id, the counts, base_failed and kept, for every row of ``docs``. Texts are read once and never shuffled."""
     measured = materialize(measure(docs), "quality-counts")
-    limits = thresholds(sketches(measured), min_rows).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
+    sketch = materialize(sketches(measured), "sketches")
+    limits = thresholds(sketch, prior).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
     joined = measured.join(limits, measured["lang"].eqNullSafe(limits["t_lang"]) & measured["source"].eqNullSafe(limits["t_source"]), "left")
     fine = F.lit(True)
     for m, (_, _, _, low) in METRICS.items():

@@ -14,12 +14,13 @@ m AS (SELECT w.rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(reg
 v AS (SELECT rid, lang, source, unnest(['word_length', 'symbols', 'dup_lines', 'repeats', 'shouting']) AS metric,
   unnest([floor(1000.0::DOUBLE * word_chars / n_words)::BIGINT, floor(1000.0::DOUBLE * n_symbols / n_words)::BIGINT, floor(1000.0::DOUBLE * n_dup_lines / n_lines)::BIGINT, floor(1000.0::DOUBLE * n_repeat_words / n_words)::BIGINT, floor(1000.0::DOUBLE * n_shouts / n_words)::BIGINT]) AS val FROM m WHERE n_words > 0),
 b AS (SELECT *, val - val % (1::BIGINT << greatest(length(bin(val)) - 10, 0)::INT) AS bucket FROM v),
-q AS (SELECT metric, lang, source, count(*) AS rows, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY ALL),
-ql AS (SELECT metric, lang, count(*) AS rows, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY ALL),
-qa AS (SELECT metric, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY ALL),
-t AS (SELECT q.metric, q.lang, q.source, CASE WHEN q.rows >= 200 THEN q.q1 WHEN ql.rows >= 200 THEN ql.q1 ELSE qa.q1 END AS q1,
-  CASE WHEN q.rows >= 200 THEN q.q3 WHEN ql.rows >= 200 THEN ql.q3 ELSE qa.q3 END AS q3, CASE q.metric WHEN 'word_length' THEN 400 WHEN 'symbols' THEN 20 WHEN 'dup_lines' THEN 120 WHEN 'repeats' THEN 60 ELSE 40 END AS spread
-  FROM q JOIN ql ON q.metric = ql.metric AND q.lang IS NOT DISTINCT FROM ql.lang JOIN qa ON q.metric = qa.metric),
+h AS (SELECT metric, lang, source, bucket, count(*) AS n FROM b GROUP BY ALL), ha AS (SELECT metric, bucket, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY metric) AS rows FROM h GROUP BY metric, bucket),
+hl AS (SELECT metric, lang, bucket, sum(n) AS n FROM h GROUP BY ALL), sl AS (SELECT metric, lang, sum(n) AS rows FROM hl GROUP BY ALL),
+wl AS (SELECT sl.metric, sl.lang, ha.bucket, coalesce(hl.n, 0)::HUGEINT * ha.rows + 200 * ha.n AS w, ha.rows * (sl.rows + 200)::HUGEINT AS scale FROM sl JOIN ha ON sl.metric = ha.metric LEFT JOIN hl ON hl.metric = sl.metric AND hl.lang IS NOT DISTINCT FROM sl.lang AND hl.bucket = ha.bucket),
+wg AS (SELECT g.metric, g.lang, g.source, wl.bucket, coalesce(h.n, 0)::HUGEINT * wl.scale + 200 * wl.w AS w FROM (SELECT DISTINCT metric, lang, source FROM h) g JOIN wl ON wl.metric = g.metric AND wl.lang IS NOT DISTINCT FROM g.lang
+  LEFT JOIN h ON h.metric = g.metric AND h.lang IS NOT DISTINCT FROM g.lang AND h.source IS NOT DISTINCT FROM g.source AND h.bucket = wl.bucket),
+c AS (SELECT *, sum(w) OVER (PARTITION BY metric, lang, source ORDER BY bucket) AS upto, sum(w) OVER (PARTITION BY metric, lang, source) AS rows FROM wg),
+t AS (SELECT metric, lang, source, min(bucket) FILTER (4 * upto >= rows) AS q1, min(bucket) FILTER (4 * upto >= 3 * rows) AS q3, CASE metric WHEN 'word_length' THEN 400 WHEN 'symbols' THEN 20 WHEN 'dup_lines' THEN 90 WHEN 'repeats' THEN 60 ELSE 40 END AS spread FROM c GROUP BY metric, lang, source),
 ok AS (SELECT v.rid, bool_and(v.val <= t.q3 + 4 * greatest(t.q3 - t.q1, t.spread) AND (v.metric <> 'word_length' OR v.val >= t.q1 - 4 * greatest(t.q3 - t.q1, t.spread))) AS fine
   FROM v JOIN t ON v.metric = t.metric AND v.lang IS NOT DISTINCT FROM t.lang AND v.source IS NOT DISTINCT FROM t.source GROUP BY v.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
@@ -29,17 +30,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 OP8 = r"""
 WITH c AS (SELECT conv_id, list(struct_pack(role := coalesce(role, 'unknown'), text := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS t
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-r AS (SELECT *, list_filter(t, lambda x: x.role = 'assistant') AS replies, list_max(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i].role = 'assistant' THEN i END)) AS last FROM c),
-p AS (SELECT conv_id, t[1:last] AS a, list_append(t[1:last - 1], struct_pack(role := 'assistant', text := CASE WHEN len(replies) > 1 THEN replies[1].text ELSE '' END)) AS b, last FROM r WHERE len(replies) > 0),
-n AS (SELECT *, CASE WHEN a[last] = b[last] THEN last ELSE last - 1 END AS n FROM p),
-s AS (SELECT conv_id, n, a[1:n] AS head, a[n + 1:] AS ca, b[n + 1:] AS cb FROM n)
+r AS (SELECT *, list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant') AS ix FROM c),
+m AS (SELECT *, ix[(len(ix) + 1) // 2] AS here, CASE WHEN len(ix) > 1 THEN t[ix[(len(ix) + 1) // 2 + 1]].text ELSE '' END AS other FROM r),
+p AS (SELECT conv_id, t AS a, CASE WHEN here IS NULL THEN t ELSE list_transform(range(1, len(t) + 1), lambda i: CASE WHEN i = here THEN struct_pack(role := 'assistant', text := other) ELSE t[i] END) END AS b, here FROM m),
+n AS (SELECT *, CASE WHEN here IS NULL OR a[here] = b[here] THEN len(a) ELSE here - 1 END AS n FROM p),
+s AS (SELECT conv_id, n, a[1:n] AS head, a[n + 1:] AS ca, b[n + 1:] AS cb FROM n),
+e AS (SELECT *, list_transform(ca, lambda x: length(x.role) + 5 + length(x.text) + 8) AS la, list_transform(cb, lambda x: length(x.role) + 5 + length(x.text) + 8) AS lb FROM s)
 SELECT conv_id, n::BIGINT AS prompt_turns,
   coalesce(array_to_string(list_transform(head, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)), ''), '') AS prompt,
   coalesce(array_to_string(list_transform(ca, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)), ''), '') AS chosen,
-  CASE WHEN len(ca) = 0 THEN '' ELSE '14-' || (14 + length(ca[1].text) + 8) END AS chosen_mask,
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(ca) + 1), lambda i: ca[i].role = 'assistant'), lambda i: (coalesce(list_sum(la[1:i - 1]), 0) + 14)::BIGINT || '-' || coalesce(list_sum(la[1:i]), 0)::BIGINT), ','), '') AS chosen_mask,
   coalesce(array_to_string(list_transform(cb, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)), ''), '') AS rejected,
-  CASE WHEN len(cb) = 0 THEN '' ELSE '14-' || (14 + length(cb[1].text) + 8) END AS rejected_mask
-FROM s
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(cb) + 1), lambda i: cb[i].role = 'assistant'), lambda i: (coalesce(list_sum(lb[1:i - 1]), 0) + 14)::BIGINT || '-' || coalesce(list_sum(lb[1:i]), 0)::BIGINT), ','), '') AS rejected_mask
+FROM e
 """
 
 OP6 = r"""
