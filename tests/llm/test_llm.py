@@ -60,8 +60,24 @@ def test_sharding(docs, empty):
         assert (r.size, r.text_crc32) == (len(raw) + 8, zlib.crc32(raw))
     for _, g in got.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
-    sums = got[got["size"] < 5000].groupby("shard")["size"].sum()
-    assert len(sums) >= 4
+    slot = got.groupby("virtual_slot").agg(n=("size", "sum"), shards=("shard", "nunique"))
+    load = got.groupby("shard")["size"].sum().reindex(range(5), fill_value=0)
+    # Bytes are even as far as whole slots allow: no shard is over its share by more than one slot.
+    assert slot.shards.max() == 1 and (load - got["size"].sum() / 5).max() <= slot.n.max()
+    assert set(got.law) == {"bytes"} and got.grown_shard.isna().all()
+
+
+def test_bytes_are_even_where_no_record_is_large(spark):
+    """Within 1 % with 8,192 slots, though a third of all rows has one text."""
+    table = spark.range(30_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'the same text' ELSE repeat('x', int(id % 90)) END AS text")
+    got = sharding.place_documents(table, 24).groupBy("shard").agg(F.sum("size").alias("n"), F.count("*").alias("rows"), F.max("slot").alias("last")).toPandas()
+    assert len(got) == 24 and got.n.max() < 1.01 * got.n.mean() and got.n.min() > 0.99 * got.n.mean() and (got["last"] + 1 == got["rows"]).all()
+
+
+def test_assigned_shards_keep_all_columns(spark, docs, empty):
+    odd = docs.withColumnRenamed("size", "Virtual_Slot").withColumnRenamed("key", "shard")
+    got = sharding.assign_shards(odd, 5, 256)
+    assert got.count() == docs.count() and got.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "virtual_slot"] and sharding.assign_shards(empty).count() == 0
 
 
 def test_growing_a_map_moves_slots_into_the_new_shard_only(docs):
@@ -73,7 +89,7 @@ def test_growing_a_map_moves_slots_into_the_new_shard_only(docs):
 
 
 def test_quality_counts(docs, empty):
-    got = quality_rules.apply_rules(docs, min_rows=5).collect()
+    got = quality_rules.apply_rules(docs, prior=5).collect()
     assert len(got) == docs.count() and quality_rules.apply_rules(empty).count() == 0
     text = {r.doc_id: r.text for r in docs.collect()}
     for r in got:
@@ -86,6 +102,21 @@ def test_quality_counts(docs, empty):
         assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (r.base_failed and r.kept)
 
 
+def test_thresholds_are_the_merged_quartiles(spark):
+    """A group's fences from its own values, its language's as ten rows, and all rows' as ten of the language's."""
+    values = {("en", "a"): [0] * 30 + [5, 900], ("en", None): [700, 800], (None, "a"): [100] * 4}
+    rows = [(g[0], g[1], v) for g, x in values.items() for v in x]
+    sketch = spark.createDataFrame(rows, "lang string, source string, bucket long").groupBy("lang", "source", "bucket").agg(F.count("*").alias("n")).withColumn("metric", F.lit("repeats"))
+    got = {(r.lang, r.source): r.repeats_max for r in quality_rules.thresholds(sketch, 10).collect()}
+    every = Counter(v for _, _, v in rows)
+    for (lang, source), own in values.items():
+        mine = Counter(v for a, _, v in rows if a == lang)
+        blend = {v: mine[v] + 10 * every[v] / len(rows) for v in every}
+        final = {v: own.count(v) + 10 * blend[v] / sum(blend.values()) for v in every}
+        at = lambda q: next(v for v in sorted(final) if sum(final[x] for x in final if x <= v) >= q * sum(final.values()) - 1e-9)
+        assert got[(lang, source)] == at(0.75) + 4 * max(at(0.75) - at(0.25), 60)
+
+
 def test_sketch_buckets_keep_order_and_precision(spark):
     v = spark.range(0, 200000, 37).select("id", quality_rules.bucket(F.col("id")).alias("b")).toPandas()
     assert (v.b <= v.id).all() and ((v.id - v.b) <= v.id / 500).all() and v.b.is_monotonic_increasing
@@ -148,6 +179,40 @@ def test_language(docs, empty):
     assert all(i in kept for i, r in got.items() if r.score > 0.9) and language_id.accepted(empty).count() == 0
 
 
+def test_language_scores_are_the_mean_of_subword_rows():
+    """The model read byte by byte: every 2- to 4-gram of folded bytes that parts no border of words, hashed, averaged."""
+    names, rng = ["a", "b", "c"], np.random.default_rng(3)
+    model = language_id.Model(names, rng.normal(size=(language_id.BUCKETS + 1, 4)), rng.normal(size=3), 0.7)
+    model.logits[:-1, -1], model.logits[-1] = 1, 0
+
+    def slow(text):
+        raw, fold = text.encode(), []
+        for i, c in enumerate(raw):
+            low = c | 0x20 if 65 <= c <= 90 else c
+            if i and raw[i - 1] == 0xC3 and 0x80 <= c <= 0x9E and c != 0x97:
+                low = c | 0x20
+            fold.append(low if 97 <= low <= 122 or low >= 128 else 0)
+        total, n = np.zeros(3), 0
+        for k in (2, 3, 4):
+            for i in range(len(fold) - k + 1):
+                g = fold[i:i + k]
+                if 0 in g[1:-1] or (g[0] == 0 and g[-1] == 0):
+                    continue
+                code = g[0]
+                for j in range(1, k):
+                    code = (code * 0x01000193 + g[j] + j + 1) % 2**32
+                h = ((code ^ (code >> 15)) * 0x2C1B3C6D % 2**32) >> 16
+                total, n = total + model.logits[h, :3], n + 1
+        z = (total / max(n, 1) + model.bias) / 0.7
+        e = np.exp(z - z.max())
+        return int(z.argmax()), e.max() / e.sum()
+
+    texts = ["The quick É Über fox", "x", "", "a-b 12c", prose("de", 40), "日本 ×÷ Ü"]
+    best, score = model.predict(pa.array(texts))
+    for t, b, s in zip(texts, best, score, strict=True):
+        assert slow(t) == (b, pytest.approx(s))
+
+
 def test_tokens_round_trip(docs, empty):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -320,14 +385,32 @@ def turns(spark, x):
 
 
 def test_chat(spark):
-    data = [(1, 0, "user", "q"), (1, 1, "assistant", "good"), (1, 2, "user", "more"), (1, 3, "assistant", "é best"), (2, 0, "user", "alone"), (3, 0, None, None), (3, 1, "assistant", "x"), (None, 0, "user", "lost")]
+    data = [(1, 0, "user", "q"), (1, 1, "assistant", "good"), (1, 2, "user", "more"), (1, 3, "assistant", "é best"), (1, 4, "user", "thanks"), (2, 0, "user", "alone"), (3, 0, None, None), (3, 1, "assistant", "x"), (None, 0, "user", "lost"),
+            (4, 0, "assistant", "same"), (4, 1, "assistant", "same")]
     got = {r.pair_id: r for r in chat.format_pairs(chat.reply_pairs(turns(spark, data))).collect()}
-    assert set(got) == {1, 3}
+    assert set(got) == {1, 2, 3, 4}
     one = got[1]
-    assert one.prompt_turns == 3 and one.prompt == "<|user|>\nq<|end|>\n<|assistant|>\ngood<|end|>\n<|user|>\nmore<|end|>\n"
-    (a, z), = one.chosen_mask
-    assert one.chosen[a:z] == "é best<|end|>\n" and one.rejected == "<|assistant|>\ngood<|end|>\n"
-    assert got[3].prompt == "<|unknown|>\n<|end|>\n" and chat.format_pairs(chat.reply_pairs(turns(spark, []))).count() == 0
+    assert one.prompt_turns == 1 and one.prompt == "<|user|>\nq<|end|>\n"
+    assert one.chosen == "<|assistant|>\ngood<|end|>\n<|user|>\nmore<|end|>\n<|assistant|>\né best<|end|>\n<|user|>\nthanks<|end|>\n"
+    assert [one.chosen[a:z] for a, z in one.chosen_mask] == ["good<|end|>\n", "é best<|end|>\n"] and [one.rejected[a:z] for a, z in one.rejected_mask] == ["é best<|end|>\n"] * 2
+    assert got[2].prompt == "<|user|>\nalone<|end|>\n" and (got[2].chosen, got[2].chosen_mask) == ("", []) == (got[2].rejected, got[2].rejected_mask)
+    assert got[3].prompt == "<|unknown|>\n<|end|>\n" and got[3].rejected == "<|assistant|>\n<|end|>\n" and got[4].prompt_turns == 2
+    assert chat.format_pairs(chat.reply_pairs(turns(spark, []))).count() == 0
+
+
+def test_pairs_part_anywhere(spark):
+    """Any two conversations: the prompt is what they share, completions are all the rest, masks cover the replies."""
+    talk = lambda: [(str(RNG.choice(["user", "assistant"])), str(RNG.choice(["a", "é b", ""]))) for _ in range(int(RNG.integers(0, 6)))]
+    pairs = [(i, x := talk(), talk() if i % 3 else x[:i % 5] + talk()) for i in range(60)]
+    kind = "array<struct<role:string,text:string>>"
+    got = {r.pair_id: r for r in chat.format_pairs(spark.createDataFrame(pairs, f"pair_id long, chosen {kind}, rejected {kind}")).collect()}
+    show = lambda t: "".join(f"<|{r}|>\n{x}<|end|>\n" for r, x in t)
+    for i, a, b in pairs:
+        n = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        r = got[i]
+        assert (r.prompt_turns, r.prompt, r.chosen, r.rejected) == (n, show(a[:n]), show(a[n:]), show(b[n:]))
+        for text, mask, rest in ((r.chosen, r.chosen_mask, a[n:]), (r.rejected, r.rejected_mask, b[n:])):
+            assert [text[s:e] for s, e in mask] == [f"{x}<|end|>\n" for role, x in rest if role == "assistant"]
 
 
 def brute_groups(data, k, sim):
@@ -389,6 +472,55 @@ def test_forward_backward_matches_enumeration():
     assert np.isclose(pairs.sum(), 4)
 
 
+def test_crf_scores_are_the_length_weighted_marginals():
+    """A document's score from its lines' marginals by enumeration, line lengths and the scale."""
+    rng = np.random.default_rng(6)
+    model = quality_crf.Model(rng.normal(size=quality_crf.WIDTH) * 0.2, 0.1, rng.normal(size=(2, 2)), (1.3, -0.2))
+    texts = ["one line\nTWO!! lines\n\nthree | # $ 12", "", "same\nsame\nsame", None]
+    features, size, at = quality_crf.line_features(pa.array(texts))
+    got = model.score(pa.array(texts))
+    for d, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        f = features[at[d]:at[d + 1]]
+        assert len(f) == len(lines) and size[at[d]:at[d + 1]].tolist() == [len(x.encode()) for x in lines]
+        own = [model.weight[f[i]].sum() + model.bias for i in range(len(lines))]
+        paths = [[(p >> i) & 1 for i in range(len(lines))] for p in range(2 ** len(lines))]
+        w = np.array([np.exp(sum(o * x for o, x in zip(own, p)) + sum(model.tie[x, y] for x, y in zip(p, p[1:]))) for p in paths])
+        good = [sum(w[k] * p[i] for k, p in enumerate(paths)) / w.sum() for i in range(len(lines))]
+        q = sum(g * (len(x.encode()) + 1) for g, x in zip(good, lines)) / sum(len(x.encode()) + 1 for x in lines)
+        assert got[d] == pytest.approx(1 / (1 + np.exp(-(1.3 * np.log(q / (1 - q)) - 0.2))))
+    bins = lambda t: quality_crf.line_features(pa.array([t]))[0][0, :quality_crf.METRICS] - np.arange(quality_crf.METRICS) * (quality_crf.EACH + 1)
+    plain, loud = bins("a few plain words here"), bins("LOUD!!! $$$ ### 123 || LOUD!!! LOUD!!!")
+    assert plain[:4].tolist() == [0, 0, 0, 0] and (loud[:4] > 0).all() and loud[7] > plain[7] == 0
+
+
+def test_features_of_neighbours_and_repeats():
+    f = quality_crf.line_features(pa.array(["x\ny !\nx"]))[0] - np.tile(np.arange(3 * quality_crf.METRICS) * (quality_crf.EACH + 1), (3, 1))
+    m, edge = quality_crf.METRICS, quality_crf.EACH
+    assert (f[0, m:2 * m] == edge).all() and (f[2, 2 * m:] == edge).all() and (f[1, m:2 * m] == f[0, :m]).all() and (f[0, 2 * m:] == f[1, :m]).all()
+    assert f[:, 10].tolist() == [0, 0, 1]
+
+
+def test_the_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "some benchmark text")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_sample_is_the_first_of_each_label(spark):
+    from corpusweave.llm import sampling
+
+    table = spark.range(6000).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    labelled = table.selectExpr("doc_id", "CASE WHEN doc_id % 3 = 0 THEN 'a' WHEN doc_id % 1000 = 1 THEN 'b' ELSE 'c' END AS label")
+    got = sampling.labelled_sample(table, labelled, 300, 100).to_pylist()
+    learn = labelled.where(~sampling.held_out(F.col("doc_id"))).selectExpr("doc_id", "label", "xxhash64(doc_id) AS h").collect()
+    for name in "abc":
+        want = [f"t{r.doc_id}" for r in sorted((r for r in learn if r.label == name), key=lambda r: r.h)][:100]
+        assert [r["text"] for r in got if r["label"] == name] == want
+
+
 def test_stored_tables_use_the_session_folder(spark):
     assert store.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert store.materialize(spark.range(3), "t").count() == 3
