@@ -133,6 +133,24 @@ def title_terms(c: Column, stop: tuple[str, ...]) -> Column:
     return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{5,}"), F.lit(0))), F.array(*map(F.lit, stop)))
 
 
+def glossary(c: Column, terms: tuple[str, ...], names: dict[str, str] | None = None, most: int = 7) -> Column:
+    """Of the terms found in a text, in the order of the list, the first ``most``, under the name they are shown by."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    hits = F.array_compact(F.array(*(F.when(low.contains(t), (names or {}).get(t, t)) for t in terms)))
+    return F.slice(hits, 1, most)
+
+
+def first_rule(c: Column, rules: tuple[tuple[tuple[str, ...], str], ...], default: str) -> Column:
+    """The name of the first rule one of whose words is in the lower-cased text (P5)."""
+    low, out = F.lower(F.coalesce(c, F.lit(""))), F.lit(default)
+    for words, name in reversed(rules):
+        hit = F.lit(False)
+        for w in words:
+            hit |= low.contains(w)
+        out = F.when(hit, name).otherwise(out)
+    return out
+
+
 def valid_request(texts: Column, most: int = 32, each: int = 2048, total: int = 16000) -> Column:
     """1 to 32 non-blank texts, none and all together too long."""
     return ((F.size(texts) >= 1) & (F.size(texts) <= most) & F.forall(texts, lambda t: (F.trim(t) != "") & (F.length(t) <= each))

@@ -103,20 +103,6 @@ def suffixes(name: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
-def choose(tokens: DataFrame, declarations: DataFrame, reachable: DataFrame) -> DataFrame:
-    """tokens(module, token) -> token's one declaration of its own module, else the one in reachable modules, else none.
-
-    declarations(name, in_module), reachable(module, in_module).
-    """
-    index = declarations.select("name", "in_module", F.explode(suffixes(F.col("name"))).alias("token"))
-    hits = tokens.join(index, "token")
-    own = hits.where(F.col("module") == F.col("in_module")).groupBy("module", "token").agg(F.count("*").alias("n_own"), F.min("name").alias("own"))
-    far = hits.join(reachable, ["module", "in_module"]).groupBy("module", "token").agg(F.count("*").alias("n_far"), F.min("name").alias("far"))
-    found = tokens.distinct().join(own, ["module", "token"], "left").join(far, ["module", "token"], "left")
-    return found.select("module", "token", F.when(F.col("n_own") == 1, F.col("own")).when(F.col("n_far") == 1, F.col("far")).alias("name"),
-                        (F.coalesce("n_own", F.lit(0)) + F.coalesce("n_far", F.lit(0))).alias("candidates"))
-
-
 def two_hops(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """seeds(node) -> node, depth within two references (G7); two joins, no loop."""
     e = edges.select("src", "dst").distinct()

@@ -633,12 +633,18 @@ def two_hop_expand(spark, d):
     return graph.two_hops(_tree(spark, d), table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("node")).distinct())
 
 
-@query("WITH dcl AS (SELECT p_type || '.' || p_brand || '.' || p_name AS name, replace(p_type, ' ', '.') AS m FROM part), n AS (SELECT DISTINCT replace(replace(replace(name, ' ', '_'), '#', ''), '-', '_') AS name, replace(m, '.', '_') AS m FROM dcl), x AS (SELECT name, m, array_to_string((string_split(name, '.'))[i:], '.') AS tok FROM n, range(1, 10) r(i) WHERE i <= len(string_split(name, '.'))), t AS (SELECT DISTINCT m, (string_split(name, '.'))[-1] AS token FROM n) SELECT t.m AS module, t.token, CASE WHEN count(*) = 1 THEN min(x.name) END AS name, count(*) AS candidates FROM t JOIN x ON x.tok = t.token AND x.m = t.m GROUP BY ALL")
+@query("""WITH n AS (SELECT DISTINCT p_type || '.' || replace(p_brand, '#', '') || '.' || replace(p_name, ' ', '_') AS name, p_type AS m FROM part),
+x AS (SELECT name, m, array_to_string((string_split(name, '.'))[i:], '.') AS tok FROM n, range(1, 4) r(i)), t AS (SELECT DISTINCT m, unnest([(string_split(name, '.'))[-1], array_to_string((string_split(name, '.'))[2:], '.')]) AS token FROM n),
+c AS (SELECT t.m, t.token, count(*) FILTER (x.m = t.m) AS own, min(name) FILTER (x.m = t.m) AS o, count(*) FILTER (x.m <= t.m) AS far, min(name) FILTER (x.m <= t.m) AS f FROM t LEFT JOIN x ON x.tok = t.token GROUP BY ALL)
+SELECT m AS module, token, CASE WHEN own = 1 THEN o WHEN far = 1 THEN f END AS name FROM c""")
 def suffix_resolve(spark, d):
-    flat = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, " ", "_"), "#", ""), "-", "_")
-    n = table(spark, d, "part").select(flat(F.concat_ws(".", "p_type", "p_brand", "p_name")).alias("name"), F.regexp_replace("p_type", r"[ .]", "_").alias("in_module")).distinct()
-    tokens = n.select(F.col("in_module").alias("module"), F.element_at(F.split("name", r"\."), -1).alias("token")).distinct()
-    return graph.choose(tokens, n, n.select(F.lit("").alias("module"), "in_module").limit(0))
+    """The last one and two parts of each name, sought in the own module first, then in all modules up to it in order of name."""
+    n = table(spark, d, "part").select(F.concat_ws(".", "p_type", F.replace("p_brand", F.lit("#"), F.lit("")), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("name"), F.col("p_type").alias("module")).distinct()
+    parts = F.split("name", r"\.")
+    tokens = n.select(F.col("module").alias("entry"), "module", F.explode(F.array(F.element_at(parts, -1), F.array_join(F.slice(parts, F.lit(2), F.lit(2)), "."))).alias("token"))
+    modules = n.select("module").distinct()
+    scope = modules.withColumnRenamed("module", "entry").join(modules.withColumnRenamed("module", "in_module"), F.col("in_module") <= F.col("entry"))
+    return graph.chosen(tokens, graph.name_index(n.withColumn("key", F.col("name"))), scope).select("module", "token", F.col("key").alias("name"))
 
 
 @query("WITH n AS (SELECT 'm.' || (p_partkey // 100) || '.' || p_partkey AS name, p_partkey % 3 = 0 AS has FROM part UNION ALL SELECT DISTINCT 'm.' || (p_partkey // 100), true FROM part), u AS (SELECT name, array_to_string((string_split(name, '.'))[:i], '.') AS up, i FROM n, range(1, 4) r(i) WHERE i <= len(string_split(name, '.'))), f AS (SELECT u.name, u.up, i FROM u JOIN n ON n.name = u.up AND n.has) SELECT n.name, max_by(f.up, i) AS owner FROM n LEFT JOIN f ON n.name = f.name GROUP BY n.name")
@@ -652,23 +658,15 @@ def owner_reuse(spark, d):
 @query("SELECT doc_id, CASE WHEN contains(lower(text), 'thon') OR contains(lower(text), 'eroth') THEN 'first' WHEN contains(lower(text), 'über') THEN 'second' WHEN contains(lower(text), 'ción') THEN 'third' ELSE 'other' END AS topic FROM documents")
 def keyword_classify(spark, d):
     rules = ((("thon", "eroth"), "first"), (("über",), "second"), (("ción",), "third"))
-    low, out = F.lower("text"), None
-    for words, name in rules:
-        hit = F.lit(False)
-        for w in words:
-            hit |= low.contains(w)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return table(spark, d, "documents").select("doc_id", out.otherwise("other").alias("topic"))
+    return table(spark, d, "documents").select("doc_id", tx.first_rule(F.col("text"), rules, "other").alias("topic"))
 
 
 _TERMS = ("and", "the", "ing", "able", "tion", "und", "der", "que", "los")
 
 
-@query(f"SELECT doc_id, array_to_string((list_filter([{', '.join(repr(t) for t in _TERMS)}], lambda t: contains(lower(text), t)))[1:7], ',') AS terms FROM documents")
+@query(f"SELECT doc_id, replace(array_to_string((list_filter([{', '.join(repr(t) for t in _TERMS)}], lambda t: contains(lower(coalesce(text, '')), t)))[1:7], ','), 'tion', '-tion') AS terms FROM documents")
 def glossary_tags(spark, d):
-    low = F.lower("text")
-    hits = F.array_compact(F.array(*(F.when(low.contains(t), t) for t in _TERMS)))
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(hits, 1, 7), ",").alias("terms"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(tx.glossary(F.col("text"), _TERMS, {"tion": "-tion"}), ",").alias("terms"))
 
 
 @query("SELECT p_partkey, CASE WHEN s_suppkey IS NOT NULL THEN s_name ELSE p_name END AS name, p_size FROM part LEFT JOIN supplier ON s_suppkey = p_partkey")
