@@ -6,7 +6,9 @@ committer, so a lost executor leaves no half file; ``export`` writes them as pla
 
 The tokenizers library makes all ids. As byte-pair merges never cross pre-tokens, each distinct pre-token is sent to
 the library once per worker and its ids are kept in arrays (at most ``CACHE`` pre-tokens, then afresh); texts that
-contain an added token's string go to the library whole.
+contain an added token's string go to the library whole, and so do all texts where the tokenizer's file asks for anything
+but plain byte-level byte pairs. Pre-tokens are told apart by 64 bits: two of a full cache share a name with a chance
+below 1e-6. A long text is encoded in stretches, cut before a blank between two words, where a pre-token always begins.
 
 Edge cases: null and empty texts have the end id alone; repeated rows are written again; null doc_ids come first and
 are stored as the least 64-bit number; an empty table gives no file and an empty result.
@@ -14,6 +16,7 @@ are stored as the least 64-bit number; an empty table gives no file and an empty
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,8 +36,11 @@ from .store import materialize
 END_ID = 2
 SEGMENT = 1 << 20
 CACHE = 3_000_000
+#: Characters of a long text encoded together.
+STRETCH = 1 << 20
 NO_ID = -(2**63)
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
+_BORDER = regex.compile(r"(?<=\S) (?=\S)")
 
 
 @lru_cache(1)
@@ -82,12 +88,26 @@ def pre_tokens(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def stretches(text: str) -> Iterator[str]:
+    """A text in parts of ``STRETCH`` characters or a little more, each from a blank between two words on."""
+    at = 0
+    while len(text) - at > STRETCH and (m := _BORDER.search(text, at + STRETCH)):
+        yield text[at:m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 class Encoder:
     """Ids of texts through the library, one call per distinct pre-token."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        made = json.loads(self.tokenizer.to_str())
+        cut, model = made["pre_tokenizer"] or {}, made["model"]
+        #: Whether texts part into pre-tokens as ``pre_tokens`` says, and ids depend on nothing else.
+        self.plain = (made["normalizer"] is None and made["truncation"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+                      and model["type"] == "BPE" and not model.get("dropout") and not any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")))
         self.clear()
 
     def clear(self) -> None:
@@ -121,6 +141,21 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of each text's."""
+        if not self.plain:
+            found = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+            return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
+        if all(len(t) <= STRETCH for t in texts) or any(_BORDER.search(a) for a in self.added):
+            return self._encode(texts)
+        ids, sizes = [np.zeros(0, np.uint32)], []
+        for t in texts:
+            n = 0
+            for part in stretches(t):
+                ids.append(self._encode([part])[0])
+                n += len(ids[-1])
+            sizes.append(n)
+        return np.concatenate(ids), np.array(sizes, np.int64)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
         special = {i: self.tokenizer.encode(texts[i], add_special_tokens=False).ids for i in whole}
         plain = ["" if i in special else t for i, t in enumerate(texts)] if special else texts

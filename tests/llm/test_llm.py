@@ -236,6 +236,27 @@ def test_pre_tokens_part_as_the_library_does():
     assert ids.tolist() == [i for t in odd for i in coder.tokenizer.encode(t, add_special_tokens=False).ids]
 
 
+def test_long_texts_are_encoded_in_stretches(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    coder = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    odd = "".join(str(RNG.choice(["it's", " ", "  ", "we'll", "\n", " \n", "é!", "12", " <|endoftext|>", "日本", "'", "\t "])) for _ in range(3000))
+    monkeypatch.setattr(token_files, "STRETCH", 50)
+    assert "".join(token_files.stretches(odd)) == odd and len(list(token_files.stretches(odd))) > 20
+    ids, n = coder.encode([odd, "", "x" * 300])
+    assert coder.plain and np.split(ids, np.cumsum(n)[:-1])[0].tolist() == coder.tokenizer.encode(odd, add_special_tokens=False).ids and n[1] == 0
+
+
+def test_other_tokenizers_go_to_the_library_whole():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import normalizers
+
+    coder = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    coder.tokenizer.normalizer = normalizers.Lowercase()
+    coder.plain = False
+    ids, n = coder.encode(["Some WORDS", "more"])
+    assert ids.tolist() == [i for t in ("some words", "more") for i in coder.tokenizer.encode(t).ids] and n.sum() == len(ids)
+
+
 def test_simple8b():
     for n in (0, 1, 511, 512, 513, 4000):
         v = RNG.integers(0, 2**63, n, dtype=np.uint64) >> RNG.integers(0, 63, n).astype(np.uint64)
