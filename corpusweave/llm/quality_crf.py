@@ -30,6 +30,8 @@ STEPS = 150
 #: Bytes of text, and lines, looked at together.
 STRETCH = 1 << 20
 LINES = 1 << 15
+#: Lines of a chain that is scanned by itself.
+LONG = 4096
 
 
 def _class(characters: str) -> np.ndarray:
@@ -107,22 +109,72 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return out.reshape(len(size), -1) + np.arange(3 * METRICS, dtype=np.int16) * np.int16(EACH + 1), size, at
 
 
+def scan(local: np.ndarray, pot: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States along one chain, each the one before times ``pot`` times the line's ``local``, normalised, and the logarithms of the norms.
+
+    The chain is cut into as many blocks as a block has lines. All blocks advance together, first from both labels at once,
+    which tells the state each begins with, then from that: steps grow with the square root of the lines.
+    """
+    n = len(local)
+    width = max(1, int(np.ceil(np.sqrt(n))))
+    blocks = np.ones((-(-n // width) * width, 2))
+    blocks[:n] = local
+    blocks = blocks.reshape(-1, width, 2)
+    through = np.broadcast_to(np.eye(2), (len(blocks), 2, 2))
+    for j in range(width):
+        through = (through @ pot) * blocks[:, j, None, :]
+        through = through / through.sum(axis=(1, 2), keepdims=True)
+    entry = np.empty((len(blocks), 2))
+    for k, t in enumerate(through):
+        entry[k] = state
+        state = state @ t
+        state = state / state.sum()
+    states, logs = np.empty(blocks.shape), np.empty(blocks.shape[:2])
+    for j in range(width):
+        entry = (entry @ pot) * blocks[:, j]
+        norm = entry.sum(axis=1)
+        entry = entry / norm[:, None]
+        states[:, j], logs[:, j] = entry, np.log(norm)
+    return states.reshape(-1, 2)[:n], logs.ravel()[:n]
+
+
+def long_chain(local: np.ndarray, pot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Normalised forward and backward states of one chain, logarithms of its norms, and its expected label pairs."""
+    first, last = local[0].sum(), local[-1].sum()
+    ahead, logs = scan(local[1:], pot, local[0] / first)
+    ahead, logs = np.concatenate([local[:1] / first, ahead]), np.concatenate([[np.log(first)], logs])
+    after, _ = scan(local[-2::-1], pot.T, local[-1] / last)
+    after = np.concatenate([after[::-1], local[-1:] / last])
+    back = np.ones_like(ahead)
+    back[:-1] = after[1:] @ pot.T
+    both = ahead[:-1, :, None] * pot[None] * after[1:, None, :]
+    return ahead, back / back.sum(axis=1, keepdims=True), logs, (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+
+
 def forward_backward(score: np.ndarray, at: np.ndarray, tie: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals of "good", expected label pairs (2 x 2, each chain's times its ``weight``) and log of the partition sum of each chain.
 
-    ``score``: by line, of good against bad. Chains advance together, longest first, so a step is a slice.
+    ``score``: by line, of good against bad. Chains advance together, longest first, so a step is a slice; those of more
+    than ``LONG`` lines are scanned block by block.
     """
     n = np.diff(at)
     weight = np.ones(len(n)) if weight is None else weight
     order = np.argsort(-n, kind="stable")
     first, n, weight = at[:-1][order], n[order], weight[order]
-    most = int(n[0]) if len(n) else 0
-    live = np.searchsorted(-n, -np.arange(most), side="left")
+    apart = int((n > LONG).sum())  # they come first
+    most = int(n[apart]) if len(n) > apart else 0
+    live = np.searchsorted(-n[apart:], -np.arange(most), side="left")
     emit = np.stack([np.zeros(len(score)), score], axis=1)
     ahead, back, logs = np.zeros_like(emit), np.zeros_like(emit), np.zeros(len(score))
     pot = np.exp(tie)
     shift = emit.max(axis=1)
     local = np.exp(emit - shift[:, None])
+    pairs = np.zeros((2, 2))
+    for f, m, w in zip(first[:apart].tolist(), n[:apart].tolist(), weight[:apart], strict=True):
+        own = slice(f, f + m)
+        ahead[own], back[own], norms, two = long_chain(local[own], pot)
+        logs[own], pairs = norms + shift[own], pairs + w * two
+    first, n, weight = first[apart:], n[apart:], weight[apart:]
     state = None
     for t in range(most):
         i = first[:live[t]] + t
@@ -130,7 +182,6 @@ def forward_backward(score: np.ndarray, at: np.ndarray, tie: np.ndarray, weight:
         norm = state.sum(axis=1)
         state = state / norm[:, None]
         ahead[i], logs[i] = state, np.log(norm) + shift[i]
-    pairs = np.zeros((2, 2))
     back[first + n - 1] = 1
     for t in range(most - 2, -1, -1):
         i = first[:live[t + 1]] + t
