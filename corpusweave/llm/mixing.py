@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import let, materialize, unused
+from .store import let, materialize, sweep, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -268,6 +268,7 @@ def mixed_documents(docs: DataFrame, seed: int = 7, n_blocks: int | None = None,
     last = last_seats(blocks, seats)
     more = extra.groupBy(F.col("doc_id").alias(name["id"]), F.col("source").alias(name["from"]), F.col("size").alias(name["size"])).agg(F.count("*").alias(name["n"]))
     more = materialize(more.join(last, more[name["from"]].eqNullSafe(last["l_source"])).drop("l_source").withColumnRenamed("last", name["shard"]), "mix-more")
+    sweep(docs.sparkSession)
     filled = placed.where(named("filled")).withColumn(name["words"], word_count(F.col("text")))
     filled = filled.join(more, filled["doc_id"].eqNullSafe(more[name["id"]]) & filled["source"].eqNullSafe(more[name["from"]]) & (filled[name["words"]] == more[name["size"]]))
     same = Window.partitionBy(name["id"], name["from"], name["size"]).orderBy(F.md5("text"))

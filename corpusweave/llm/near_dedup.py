@@ -5,7 +5,8 @@
 2. Signatures are cut into bands; nodes with a common band are candidates. In each bucket every node is compared
    with the least one only, on the full sets; verified links give first components.
 3. Buckets that still hold several components are searched once more for links between components, in tiles of bounded
-   size. Signatures, which miss a true link with a chance below 1e-10, choose the pairs, and full sets decide.
+   size. Signatures, which miss a true link with a chance below 1e-10, choose the pairs, first to tell which texts are
+   needed at all, and full sets decide.
 4. Verified links are merged (union-find as star contraction on tables).
 
 No pair inside a component found so far is made, so large groups of copies cost their size. A set is identified by
@@ -24,12 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components
-from .store import materialize, unused
+from .store import materialize, sweep, unused
 
 SIGNATURE = 120
 #: Similarity in hundredths -> words of the signature in a band.
@@ -40,6 +41,8 @@ SLICE = 1 << 17
 RAW = 2 << 20
 TILE = 2048
 TILE_SHINGLES = 1 << 19
+#: Rows to drop that are sent to every executor: 32 MB of numbers.
+SENT_ROWS = 1 << 21
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -194,13 +197,23 @@ def alike(n: Column, m: Column, similarity: int) -> Column:
     return 100 * F.least(n, m) >= similarity * F.greatest(n, m)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
-    """pairs(u, v) whose full sets reach the similarity. A hub u goes before the texts compared with it, once for each ``TILE`` of them."""
+def one_text(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows(node, packed, ...), wanted(node) -> node, packed: one text for each node that is wanted."""
+    return rows.select("node", "packed").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("packed").alias("packed"))
+
+
+def verified(pairs: DataFrame, rows: DataFrame, k: int, similarity: int) -> DataFrame:
+    """pairs(u, v) whose full sets reach the similarity. A hub u goes before the texts compared with it, once for each ``TILE`` of them.
+
+    Places are settled on the narrow table first, so texts are joined to them once.
+    """
     hub = materialize(pairs.groupBy("u").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")), "hubs")
-    near = pairs.join(hub, "u").join(texts.select(F.col("node").alias("v"), "packed"), "v")
-    near = near.select("u", F.pmod(F.xxhash64("v"), "parts").cast("int").alias("part"), "v", "packed")
-    hub = hub.join(texts.select(F.col("node").alias("u"), "packed"), "u").select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("v"), "packed")
-    rows = hub.unionByName(near).repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
+    none = F.lit(None).cast("long").alias("v")
+    places = pairs.join(hub, "u").select(F.col("v").alias("node"), "u", F.pmod(F.xxhash64("v"), "parts").cast("int").alias("part"), "v")
+    places = places.unionByName(hub.select(F.col("u").alias("node"), "u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), none))
+    places = materialize(places, "places")
+    rows = one_text(rows, places.select("node").distinct()).join(places, "node").select("u", "part", "v", "packed")
+    rows = rows.repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = np.zeros(0, np.uint64)
@@ -223,16 +236,18 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> Dat
 
 
 def tiled(rows: DataFrame) -> DataFrame:
-    """rows(key, node, root, size) -> the same with block, low and high, for buckets of several roots.
+    """rows(key, node, root, size) -> the same with keys, block, low and high, for buckets of several roots; of buckets with the same nodes one.
 
     A bucket is cut into blocks of about ``TILE`` nodes or ``TILE_SHINGLES`` shingles, and each pair of blocks is a group of
     its own, so no task holds a bucket. A root with more than half a block has blocks of its own, and pairs of these are
-    left out: a large component costs its size, however many small ones are in the bucket.
+    left out: a large component costs its size, however many small ones are in the bucket. ``keys`` has all the node's buckets.
     """
     weight = F.greatest(F.count("*") / TILE, F.sum("size") / TILE_SHINGLES).alias("weight")
-    roots = rows.groupBy("key", "root").agg(weight)
-    open_ = roots.groupBy("key").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("weight") <= 0.5, F.col("weight"))).alias("small")).where("roots > 1")
-    roots = roots.join(open_, "key").withColumn("own", F.col("weight") > 0.5)
+    roots = rows.groupBy("key", "root").agg(weight, F.bit_xor(F.xxhash64("node")).alias("mark"), F.count("*").alias("n"))
+    small = F.sum(F.when(F.col("weight") <= 0.5, F.col("weight"))).alias("small")
+    open_ = roots.groupBy("key").agg(F.count("*").alias("roots"), small, F.bit_xor("mark").alias("mark"), F.sum("n").alias("n")).where("roots > 1")
+    open_ = open_.groupBy("mark", "n").agg(F.min(F.struct("key", "small")).alias("o")).select("o.key", "o.small")
+    roots = roots.drop("mark", "n").join(open_, "key").withColumn("own", F.col("weight") > 0.5)
     roots = roots.select("key", "root", "own", F.greatest(F.ceil(F.when(F.col("own"), F.col("weight")).otherwise(F.col("small"))), F.lit(1)).cast("int").alias("parts"))
     roots = materialize(roots, "roots")
     name = lambda own, root, nth: F.concat_ws(":", F.when(own, root.cast("string")).otherwise(F.lit("-")), nth)
@@ -243,30 +258,65 @@ def tiled(rows: DataFrame) -> DataFrame:
     pairs = blocks.join(other, "key").where(F.coalesce(F.col("whose") != F.col("other_whose"), F.lit(True)))
     pairs = pairs.select("key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     nth = F.pmod(F.when(F.col("own"), F.xxhash64("node")).otherwise(F.xxhash64("root")), F.col("parts"))
-    cut = rows.join(roots, ["key", "root"]).withColumn("block", name(F.col("own"), F.col("root"), nth)).drop("own", "parts")
-    return cut.join(pairs, ["key", "block"])
+    cut = materialize(rows.join(roots, ["key", "root"]).withColumn("block", name(F.col("own"), F.col("root"), nth)).drop("own", "parts"), "open")
+    keys = cut.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    return cut.join(pairs, ["key", "block"]).join(keys, "node")
+
+
+class Tile:
+    """The nodes of a tile, and the pairs of different roots that signatures let through; they miss a link at the threshold with a chance below 1e-10."""
+
+    def __init__(self, table: pa.Table, similarity: int):
+        self.similarity = similarity
+        self.node, self.root = table.column("node").to_numpy(), table.column("root").to_numpy()
+        self.size = table.column("size").to_numpy()
+        _, self.block = np.unique(np.array(table.column("block").to_pylist(), object), return_inverse=True)
+        self.brief = np.frombuffer(b"".join(table.column("brief").to_pylist()), np.uint8).reshape(len(self.node), SIGNATURE)
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        lone = not self.block.any()
+        for i in range(len(self.node) - 1):
+            rest = slice(i + 1, None)
+            far = self.root[rest] != self.root[i]
+            if not lone:
+                far &= self.block[rest] != self.block[i]
+            far &= 100 * np.minimum(self.size[rest], self.size[i]) >= self.similarity * np.maximum(self.size[rest], self.size[i])
+            j = i + 1 + np.flatnonzero(far)
+            if len(j):
+                j = j[(self.brief[j] == self.brief[i]).sum(axis=1) >= least_matches(self.similarity)]
+            if len(j):
+                yield i, j
+
+
+def least_matches(similarity: int) -> int:
+    return SIGNATURE * max(similarity - 25, 0) // 100
+
+
+def promising(tiles: DataFrame, similarity: int) -> DataFrame:
+    """node of those with a pair to look at in a tile of (key, node, root, size, brief, block); no text is moved for the others."""
+    def run(table: pa.Table) -> pa.Table:
+        tile = Tile(table, similarity)
+        on = np.zeros(len(tile.node), bool)
+        for i, j in tile.pairs():
+            on[i] = True
+            on[j] = True
+        return pa.table({"node": pa.array(tile.node[on])})
+
+    return tiles.groupBy("key", "low", "high").applyInArrow(run, "node long").distinct()
 
 
 def between(tiles: DataFrame, k: int, similarity: int) -> DataFrame:
-    """Verified links between different roots in a tile of (key, node, root, brief, bands, packed): at most one per root less one.
+    """Verified links between different roots in a tile of (key, node, root, size, brief, keys, block, packed): at most one per root less one.
 
-    Signatures choose the pairs, a pair is looked at in the first band it shares, full sets decide, and pairs that are
-    connected by then are passed over.
+    Full sets decide. Pairs that are connected by then are passed over, and each pair is looked at in the least bucket it shares.
     """
-    need = SIGNATURE * max(similarity - 25, 0) // 100
-
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
-        _, block = np.unique(np.array(table.column("block").to_pylist(), object), return_inverse=True)
-        lone = not block.any()
-        brief = np.frombuffer(b"".join(table.column("brief").to_pylist()), np.uint8).reshape(len(node), SIGNATURE)
-        band = np.array(table.column("bands").to_pylist(), np.int64)
-        here = band == key[0].as_py()
-        first = here.argmax(axis=1)
+        tile, here = Tile(table, similarity), key[0].as_py()
+        keys = [frozenset(x) for x in table.column("keys").to_pylist()]
         sets: list[np.ndarray] = []
         for _, h, at in unpacked_sets(table.column("packed").to_pylist(), k):
             sets += [h[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
-        names, of = np.unique(root, return_inverse=True)
+        names, of = np.unique(tile.root, return_inverse=True)
         parent = list(range(len(names)))
 
         def find(x: int) -> int:
@@ -276,54 +326,60 @@ def between(tiles: DataFrame, k: int, similarity: int) -> DataFrame:
             return x
 
         us, vs = [], []
-        size = np.array([len(x) for x in sets])
-        for i in range(len(node) - 1):
-            rest = slice(i + 1, None)
-            far = of[rest] != of[i]
-            if not lone:
-                far &= block[rest] != block[i]
-            far &= 100 * np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i])
-            j = i + 1 + np.flatnonzero(far)
-            if len(j):
-                j = j[(brief[j] == brief[i]).sum(axis=1) >= need]
-            if len(j) and first[i]:
-                j = j[~(band[j, :first[i]] == band[i, :first[i]]).any(axis=1)]
+        for i, j in tile.pairs():
             for o in j.tolist():
                 a, b = find(of[i]), find(of[o])
-                if a == b:
+                if a == b or min(keys[i] & keys[o]) < here:
                     continue
                 common = in_common(sets[i], sets[o])
-                if 100 * common >= similarity * (size[i] + size[o] - common):
+                if 100 * common >= similarity * (len(sets[i]) + len(sets[o]) - common):
                     parent[a] = b
-                    us.append(node[i])
-                    vs.append(node[o])
+                    us.append(tile.node[i])
+                    vs.append(tile.node[o])
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return tiles.groupBy("key", "low", "high").applyInArrow(run, "u long, v long")
 
 
+def resembling(pairs: DataFrame, briefs: DataFrame, similarity: int) -> DataFrame:
+    """pairs(u, v) that signatures let through."""
+    both = pairs.join(briefs.select(F.col("node").alias("v"), F.col("brief").alias("bv")), "v").join(briefs.select(F.col("node").alias("u"), F.col("brief").alias("bu")), "u")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIGNATURE) for c in ("bu", "bv"))
+            yield batch.select(["u", "v"]).filter(pa.array((a == b).sum(axis=1) >= least_matches(similarity)))
+
+    return both.select("u", "v", "bu", "bv").mapInArrow(run, "u long, v long")
+
+
 def grouped(docs: DataFrame, k: int, similarity: int) -> DataFrame:
     """doc_id, digest, n_shingles, node and first: of the row's component the least row, as (no doc_id, doc_id, digest).
 
-    Equal sets are one node before bands are made, so a group of exact copies costs one node's bands.
+    Equal sets are one node before bands are made, so a group of exact copies costs one node's bands. Texts are moved
+    for pairs only that sizes and signatures let through.
     """
     rows = materialize(signed(docs, k, similarity), "signed")
     some = rows.where("node IS NOT NULL")
-    nodes = materialize(some.groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("bands").alias("bands"),
+    nodes = materialize(some.groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("brief").alias("brief"),
                                                  F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "digest")).alias("first")), "nodes")
+    bucket = Window.partitionBy("key")
     keyed = nodes.select(F.explode("bands").alias("key"), "node", "size")
-    hub = F.struct("node", "size")
-    shared = keyed.groupBy("key").agg(F.min(hub).alias("hub"), F.max("node").alias("most")).where("hub.node < most")
-    bucketed = materialize(keyed.join(shared.select("key", F.col("hub.node").alias("u"), F.col("hub.size").alias("u_size")), "key"), "buckets")
+    hub, most = F.min(F.struct("node", "size")).over(bucket), F.max("node").over(bucket)
+    bucketed = keyed.withColumns({"hub": hub, "most": most}).where("hub.node < most")
+    bucketed = materialize(bucketed.select("key", "node", "size", F.col("hub.node").alias("u"), F.col("hub.size").alias("u_size")), "buckets")
+    sweep(docs.sparkSession)
     stars = bucketed.where(F.col("node") != F.col("u")).where(alike(F.col("size"), F.col("u_size"), similarity))
-    stars = materialize(stars.select("u", F.col("node").alias("v")).distinct(), "stars")
-    near = bucketed.select("node").distinct()
-    texts = materialize(some.select("node", "packed", "brief", "bands").join(near, "node", "left_semi")
-                        .groupBy("node").agg(F.first("packed").alias("packed"), F.first("brief").alias("brief"), F.first("bands").alias("bands")), "texts")
-    links = materialize(verified(stars, texts, k, similarity), "links")
+    briefs = nodes.select("node", "brief")
+    stars = materialize(resembling(stars.select("u", F.col("node").alias("v")).distinct(), briefs, similarity), "stars")
+    links = materialize(verified(stars, some, k, similarity), "links")
+    sweep(docs.sparkSession)
     roots = components(links)
     named = bucketed.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    late = materialize(between(tiled(named).join(texts, "node"), k, similarity), "links")
+    hopeful = materialize(promising(tiled(named).join(briefs, "node"), similarity), "promising")
+    left = tiled(named.join(hopeful, "node", "left_semi")).join(briefs.join(hopeful, "node", "left_semi"), "node")
+    late = materialize(between(left.join(one_text(some, hopeful), "node"), k, similarity), "links")
+    sweep(docs.sparkSession)
     if late.limit(1).count():
         roots = components(links.unionByName(late))
     ids = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
@@ -351,6 +407,7 @@ def deduplicated(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame
     again = row(done.where(own)).groupBy(i, d).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     gone = materialize(row(done.where(~own)).distinct(), "gone")
     again = materialize(again, "again")
+    sweep(docs.sparkSession)
     own_digest = unused(docs, "near_own")
     told = docs.withColumn(own_digest, F.xxhash64("text"))
     same = told["doc_id"].eqNullSafe(F.col(i)) & (told[own_digest] == F.col(d))
