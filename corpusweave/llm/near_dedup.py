@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components
-from .store import materialize, sweep, unused
+from .store import materialize, unused
 
 SIGNATURE = 120
 #: Similarity in hundredths -> words of the signature in a band.
@@ -41,7 +41,7 @@ SLICE = 1 << 17
 RAW = 2 << 20
 TILE = 2048
 TILE_SHINGLES = 1 << 19
-#: Rows to drop that are sent to every executor: 32 MB of numbers.
+#: Rows of one or two numbers that are sent to every executor: 32 MB. More are joined by a shuffle.
 SENT_ROWS = 1 << 21
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -197,9 +197,15 @@ def alike(n: Column, m: Column, similarity: int) -> Column:
     return 100 * F.least(n, m) >= similarity * F.greatest(n, m)
 
 
+def only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows(node, ...) whose node is in wanted(node). Few nodes are sent to the rows, so that what isn't wanted is not moved."""
+    wanted = materialize(wanted.distinct(), "wanted")
+    return rows.join(F.broadcast(wanted) if wanted.count() <= SENT_ROWS else wanted, "node", "left_semi")
+
+
 def one_text(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """rows(node, packed, ...), wanted(node) -> node, packed: one text for each node that is wanted."""
-    return rows.select("node", "packed").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("packed").alias("packed"))
+    return only(rows.select("node", "packed"), wanted).groupBy("node").agg(F.first("packed").alias("packed"))
 
 
 def verified(pairs: DataFrame, rows: DataFrame, k: int, similarity: int) -> DataFrame:
@@ -212,7 +218,7 @@ def verified(pairs: DataFrame, rows: DataFrame, k: int, similarity: int) -> Data
     places = pairs.join(hub, "u").select(F.col("v").alias("node"), "u", F.pmod(F.xxhash64("v"), "parts").cast("int").alias("part"), "v")
     places = places.unionByName(hub.select(F.col("u").alias("node"), "u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), none))
     places = materialize(places, "places")
-    rows = one_text(rows, places.select("node").distinct()).join(places, "node").select("u", "part", "v", "packed")
+    rows = one_text(rows, places.select("node")).join(places, "node").select("u", "part", "v", "packed")
     rows = rows.repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,6 +349,7 @@ def between(tiles: DataFrame, k: int, similarity: int) -> DataFrame:
 
 def resembling(pairs: DataFrame, briefs: DataFrame, similarity: int) -> DataFrame:
     """pairs(u, v) that signatures let through."""
+    briefs = materialize(only(briefs, pairs.select(F.col("u").alias("node")).union(pairs.select("v"))), "briefs")
     both = pairs.join(briefs.select(F.col("node").alias("v"), F.col("brief").alias("bv")), "v").join(briefs.select(F.col("node").alias("u"), F.col("brief").alias("bu")), "u")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,18 +375,17 @@ def grouped(docs: DataFrame, k: int, similarity: int) -> DataFrame:
     hub, most = F.min(F.struct("node", "size")).over(bucket), F.max("node").over(bucket)
     bucketed = keyed.withColumns({"hub": hub, "most": most}).where("hub.node < most")
     bucketed = materialize(bucketed.select("key", "node", "size", F.col("hub.node").alias("u"), F.col("hub.size").alias("u_size")), "buckets")
-    sweep(docs.sparkSession)
     stars = bucketed.where(F.col("node") != F.col("u")).where(alike(F.col("size"), F.col("u_size"), similarity))
     briefs = nodes.select("node", "brief")
-    stars = materialize(resembling(stars.select("u", F.col("node").alias("v")).distinct(), briefs, similarity), "stars")
+    stars = materialize(stars.select("u", F.col("node").alias("v")).distinct(), "near")
+    stars = materialize(resembling(stars, briefs, similarity), "stars")
     links = materialize(verified(stars, some, k, similarity), "links")
-    sweep(docs.sparkSession)
     roots = components(links)
     named = bucketed.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    hopeful = materialize(promising(tiled(named).join(briefs, "node"), similarity), "promising")
-    left = tiled(named.join(hopeful, "node", "left_semi")).join(briefs.join(hopeful, "node", "left_semi"), "node")
+    tiles = materialize(tiled(named), "tiles")
+    hopeful = materialize(promising(tiles.join(only(briefs, tiles.select("node")), "node"), similarity), "promising")
+    left = tiled(only(named, hopeful)).join(only(briefs, hopeful), "node")
     late = materialize(between(left.join(one_text(some, hopeful), "node"), k, similarity), "links")
-    sweep(docs.sparkSession)
     if late.limit(1).count():
         roots = components(links.unionByName(late))
     ids = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
@@ -407,7 +413,6 @@ def deduplicated(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame
     again = row(done.where(own)).groupBy(i, d).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     gone = materialize(row(done.where(~own)).distinct(), "gone")
     again = materialize(again, "again")
-    sweep(docs.sparkSession)
     own_digest = unused(docs, "near_own")
     told = docs.withColumn(own_digest, F.xxhash64("text"))
     same = told["doc_id"].eqNullSafe(F.col(i)) & (told[own_digest] == F.col(d))

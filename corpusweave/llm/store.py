@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import re
 import tempfile
 import uuid
@@ -55,12 +54,6 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of finished jobs: Spark deletes them once the driver's collector has dropped their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
