@@ -37,9 +37,9 @@ GRAM = 24
 SIDE = LENGTH - GRAM
 NO_ID = 2**63 - 1
 BUCKET_BYTES = 1 << 20
-#: Bytes of a long text in a chunk, and texts around grams that are refined together.
-PART = 2 << 20
-TOGETHER = 1 << 15
+#: Bytes of a chunk, and texts around grams that are refined together.
+PART = 1 << 20
+TOGETHER = 1 << 12
 _MIX = np.random.default_rng(50).integers(1, 2**63, 2 * SIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -52,7 +52,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         pack, task, nth = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
         names = [x.split()[0] for x in STORED.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        for batch in tb.pieces(batches):
+        for batch in tb.pieces(batches, limit=PART):
             raw, starts = tb.text_bytes(batch.column("text"))
             ids = batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy()
             first = (task << 32) | nth
@@ -91,6 +91,7 @@ class Chunk:
         with np.errstate(over="ignore"):
             name = eight[:-16] * np.uint64(5) + eight[8:-8]
             name = tb.mixed(name * np.uint64(5) + eight[16:])
+        del eight
         least = (name & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(name), dtype=np.uint64)
         width = 1
         while 2 * width <= SIDE + 1:
@@ -99,6 +100,7 @@ class Chunk:
         rest = SIDE + 1 - width
         least = np.minimum(least[:len(least) - rest], least[rest:])
         at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        del least
         new = valid.copy()
         new[1:] &= (at[1:] != at[:-1]) | ~valid[:-1]
         ends = valid.copy()
