@@ -197,10 +197,14 @@ def alike(n: Column, m: Column, similarity: int) -> Column:
     return 100 * F.least(n, m) >= similarity * F.greatest(n, m)
 
 
+def sent(keys: DataFrame) -> DataFrame:
+    """keys, a written table, marked to be sent to the rows they are joined with if they are few, so that these rows are not moved."""
+    return F.broadcast(keys) if keys.count() <= SENT_ROWS else keys
+
+
 def only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rows(node, ...) whose node is in wanted(node). Few nodes are sent to the rows, so that what isn't wanted is not moved."""
-    wanted = materialize(wanted.distinct(), "wanted")
-    return rows.join(F.broadcast(wanted) if wanted.count() <= SENT_ROWS else wanted, "node", "left_semi")
+    """rows(node, ...) whose node is in wanted(node)."""
+    return rows.join(sent(materialize(wanted.distinct(), "wanted")), "node", "left_semi")
 
 
 def one_text(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -411,13 +415,13 @@ def deduplicated(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame
     i, d = (unused(docs, c) for c in ("near_id", "near_digest"))
     row = lambda t: t.select(F.col("doc_id").alias(i), F.col("digest").alias(d))
     again = row(done.where(own)).groupBy(i, d).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = materialize(row(done.where(~own)).distinct(), "gone")
     again = materialize(again, "again")
+    gone = materialize(row(done.where(~own)).distinct().unionByName(again), "gone")
     own_digest = unused(docs, "near_own")
     told = docs.withColumn(own_digest, F.xxhash64("text"))
     same = told["doc_id"].eqNullSafe(F.col(i)) & (told[own_digest] == F.col(d))
-    single = told.join(gone.unionByName(again), same, "left_anti").select(*docs.columns)
+    single = told.join(sent(gone), same, "left_anti").select(*docs.columns)
     hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    first = told.join(again, same, "left_semi").groupBy(F.col("doc_id").alias(i), F.col(own_digest).alias(d)).agg(
+    first = told.join(sent(again), same, "left_semi").groupBy(F.col("doc_id").alias(i), F.col(own_digest).alias(d)).agg(
         F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("row"))
     return single.unionByName(first.select(*(F.col("row")[c].alias(c) for c in docs.columns)))

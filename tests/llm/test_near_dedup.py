@@ -99,3 +99,21 @@ def test_every_pair_of_roots_meets_in_one_tile(spark, monkeypatch):
     want = {(k, *sorted((n, m))) for k, n, r, _ in rows for j, m, q, _ in rows if k == j != 4 and r != q}  # bucket 4 has the nodes of bucket 1
     assert set(met) == want and set(met.values()) == {1}
     assert not any(k in (2, 4) for k, *_ in tiles) and not any(low == high and low.startswith("0:") for _, low, high in tiles)
+
+
+def test_dropped_ids_are_sent_and_texts_stay_in_place(spark, monkeypatch):
+    texts = [text(60) for _ in range(40)]
+    docs = spark.createDataFrame([(i, texts[i % 40], "x", "y", "z") for i in range(120)] + [(1, texts[1], "x", "y", "z")], SCHEMA)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = near_dedup.deduplicated(docs)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+        rows = Counter(got.collect())
+        monkeypatch.setattr(near_dedup, "SENT_ROWS", 0)
+        shuffled = near_dedup.deduplicated(docs)
+        assert "SortMergeJoin" in shuffled._jdf.queryExecution().executedPlan().toString()
+        assert Counter(shuffled.collect()) == rows and sorted(r.doc_id for r in rows) == list(range(40)) and set(rows.values()) == {1}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
