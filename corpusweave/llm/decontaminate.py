@@ -355,7 +355,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
             made = [x.batch.column("doc_id").cast(pa.int64()), pa.array(x.n_words, pa.int64()), pa.array(x.n_hit(), pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest), pa.array(x.contaminated()), x.matches()]
             yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "matches"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tb.tidied(run), SCHEMA)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -367,4 +367,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
         for x in searched(batches, sent, depth, window, False):
             yield x.batch.filter(pa.array(~(x.whole | x.contaminated())))
 
-    return docs.mapInArrow(run, plain)
+    return docs.mapInArrow(tb.tidied(run), plain)

@@ -187,7 +187,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return (docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), letter.alias("letter"))
-            .mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"))
+            .mapInArrow(tb.tidied(run), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"))
 
 
 def accepted(docs: DataFrame) -> DataFrame:
@@ -201,4 +201,4 @@ def accepted(docs: DataFrame) -> DataFrame:
             _, _, gone = _judge(batch, sent.value, letter)
             yield batch.drop_columns([letter]).filter(pa.array(~gone))
 
-    return docs.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, plain)
+    return docs.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(tb.tidied(run), plain)

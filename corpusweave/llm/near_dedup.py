@@ -177,7 +177,7 @@ def signed(docs: DataFrame, k: int, similarity: int) -> DataFrame:
                 pa.array([x.tobytes() for x in brief], pa.binary()), pa.array(packed, pa.binary())],
                 names=["doc_id", "digest", "n_shingles", "node", "bands", "brief", "packed"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, SIGNED)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(tb.tidied(run), SIGNED)
 
 
 def unpacked_sets(packed: list[bytes], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -242,7 +242,7 @@ def verified(pairs: DataFrame, rows: DataFrame, k: int, similarity: int) -> Data
                         vs.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(tb.tidied(run), "u long, v long")
 
 
 def tiled(rows: DataFrame) -> DataFrame:
@@ -361,7 +361,7 @@ def resembling(pairs: DataFrame, briefs: DataFrame, similarity: int) -> DataFram
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIGNATURE) for c in ("bu", "bv"))
             yield batch.select(["u", "v"]).filter(pa.array((a == b).sum(axis=1) >= least_matches(similarity)))
 
-    return both.select("u", "v", "bu", "bv").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "bu", "bv").mapInArrow(tb.tidied(run), "u long, v long")
 
 
 def grouped(docs: DataFrame, k: int, similarity: int) -> DataFrame:

@@ -6,13 +6,16 @@ or one longer row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
 
 PIECE = 2 << 20
+#: Bytes hashed at once; a table of powers of that length stays in each worker.
+HASHED = 1 << 18
 _SEED = np.random.default_rng(20240229)
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -43,6 +46,32 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at += n
 
 
+@lru_cache(1)
+def _malloc_trim() -> Callable[[int], int] | None:
+    """The C library's, if it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return None
+
+
+def give_back() -> None:
+    """Returns freed memory to the system. A Python worker outlives its tasks, and while it waits would keep the most that one of them took."""
+    pa.default_memory_pool().release_unused()
+    if trim := _malloc_trim():
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, a function for mapInArrow, with freed memory given back once its task is done."""
+    @wraps(run)
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return out
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column, and where each row starts (one more entry at the end); null is empty."""
     if column.null_count:
@@ -94,17 +123,17 @@ def word_spans(raw: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> tuple
 def span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each span's bytes, never 0. Spans are in order and don't overlap; memory is bounded by runs of them."""
     out = np.zeros(len(begin), np.uint64)
-    at, table = 0, LOWER_BYTE if lower else _BYTE
+    at, table, most = 0, LOWER_BYTE if lower else _BYTE, min(HASHED, PIECE)
     with np.errstate(over="ignore"):
         while at < len(begin):
-            upto = max(at + 1, int(np.searchsorted(end, begin[at] + PIECE, side="right")))
+            upto = max(at + 1, int(np.searchsorted(end, begin[at] + most, side="right")))
             base, stop = begin[at], end[upto - 1]
             n = int(stop - base)
-            up, down = _powers(PIECE)
-            if n > PIECE:  # one long span
+            up, down = _powers(most)
+            if n > most:  # one long span
                 total = n
-                for a in range(0, n, PIECE):
-                    part = table[raw[base + a:min(base + a + PIECE, stop)]]
+                for a in range(0, n, most):
+                    part = table[raw[base + a:min(base + a + most, stop)]]
                     total += int((part * up[:len(part)]).sum(dtype=np.uint64)) * pow(int(_BASE), a, 2**64)
                 out[at] = total % 2**64
                 at = upto
