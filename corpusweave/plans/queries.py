@@ -50,7 +50,7 @@ _ALL = _COUPLING
 
 @query(f"WITH {_ALL}, b AS (SELECT fa AS family, fb AS neighbor, shared, score FROM s UNION ALL SELECT fb, fa, shared, score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY score DESC, shared DESC, neighbor) AS rank FROM b) SELECT family, neighbor, shared, score, rank FROM r WHERE rank <= 8")
 def coupling_topk(spark, d):
-    return coupling.neighbors(coupling.pairs(*_families(spark, d)))
+    return coupling.nearest(*_families(spark, d))
 
 
 @query(f"WITH {_ALL} SELECT * FROM s")
@@ -67,7 +67,7 @@ def coupling_idf(spark, d):
 def coupling_isolates(spark, d):
     """Families that share no work; whole tables have few, or none."""
     edges, families = _families(spark, d)
-    return coupling.isolates(edges, families, coupling.pairs(edges, families))
+    return coupling.isolates(edges, families)
 
 
 @query(f"WITH {_ALL}, k AS (SELECT family, count(*) AS works FROM e GROUP BY family) SELECT (SELECT count(*) FROM s) AS pairs, (SELECT count(*) FROM (SELECT work FROM e GROUP BY work HAVING count(*) > 1)) AS shared_works, (SELECT string_agg(family::VARCHAR, ',' ORDER BY works DESC, family) FROM (SELECT * FROM k ORDER BY works DESC, family LIMIT 10)) AS largest")

@@ -316,6 +316,28 @@ def test_isolates_are_placed_in_a_row(spark):
     assert got == {"c": (0, -0.13), "d": (1, 0.0), "z": (2, 0.13)}
 
 
+def test_pairs_are_counted_where_their_family_is(spark, monkeypatch):
+    """Lists of a common work are cut, families lie over several batches, and no pair goes through a shuffle."""
+    rng = np.random.default_rng(7)
+    works = {f"f{i:03}": {"all", *rng.choice(40, 6)} for i in range(70)} | {"alone": {"own"}, "none": set()}
+    works = {f: [str(w) for w in x] for f, x in works.items()}
+    e, f = edges(spark, works)
+    idf = {w: 1 + math.log((len(works) + 1) / (sum(w in x for x in works.values()) + 1)) for x in works.values() for w in x}
+    norm = {a: math.sqrt(sum(idf[w] ** 2 for w in set(x))) for a, x in works.items()}
+    both = {(a, b): set(works[a]) & set(works[b]) for a in works for b in works if a != b}
+    want = {p: (len(x), round(sum(idf[w] ** 2 for w in x) / norm[p[0]] / norm[p[1]] * len(x) / (len(x) + 2), 6)) for p, x in both.items() if x}
+    ranked = {a: sorted((b for x, b in want if x == a), key=lambda b: (-want[a, b][1], -want[a, b][0], b))[:3] for a in works}
+    for limit in (coupling.PAIRS_AT_ONCE, 50):
+        monkeypatch.setattr(coupling, "PAIRS_AT_ONCE", limit)
+        monkeypatch.setattr(coupling, "LIST", limit)
+        monkeypatch.setattr(coupling, "PAIRS_PER_TASK", 1000)
+        near, every = coupling.nearest(e, f, 3), coupling.pairs(e, f)
+        assert {(r.fa, r.fb): (r.shared, r.score) for r in every.collect()} == {p: v for p, v in want.items() if p[0] < p[1]}
+        assert {(r.family, r["rank"]): r.neighbor for r in near.collect()} == {(a, n + 1): b for a, x in ranked.items() for n, b in enumerate(x)}
+        assert "near" in (last := every._jdf.queryExecution().executedPlan().toString().split("Exchange")[1]) and "shared" not in last
+    assert [r.family for r in coupling.isolates(e, f).collect()] == ["alone", "none"]
+
+
 def test_module_vectors_take_the_last_and_refuse_the_bad(spark):
     schema = "family string, path string, ordinal long, vector array<double>"
     make = lambda *rows: vectors.module_vectors(spark.createDataFrame(list(rows), schema)).collect()
