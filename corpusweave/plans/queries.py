@@ -570,26 +570,27 @@ def source_declarations(spark, d):
 _IMPORTS = "e AS (SELECT p_partkey AS src, unnest([p_partkey // 2, p_partkey // 3]) AS dst FROM part), x AS (SELECT p_partkey AS src, 'Std.X' || (p_partkey % 7) AS dst FROM part), c AS (SELECT p_partkey AS root, p_partkey AS node FROM part UNION SELECT root, dst FROM c JOIN e ON src = node), l AS (SELECT root, node FROM c WHERE node IN (SELECT p_partkey FROM part))"
 
 
-def _reached(spark, d) -> tuple[DataFrame, DataFrame]:
+def _reached(spark, d) -> tuple[DataFrame, graph.Reach]:
     """The sources, and of each module what it imports, directly or not."""
     sources = cut(_sources(spark, d))
     edges = sources.select(F.col("module").alias("src"), F.explode("imports").alias("dst"))
-    return sources, graph.local_closure(edges, sources.select(F.col("module").alias("root")), sources.select(F.col("module").alias("node")))
+    return sources, graph.Reach(edges, sources.select(F.col("module").alias("root")), sources.select(F.col("module").alias("node")))
 
 
 @query(f"WITH RECURSIVE {_IMPORTS} SELECT 'M.P' || root AS root, count(*) AS found, 0::BIGINT AS missing, string_agg(DISTINCT dst, ',' ORDER BY dst) AS outside FROM (SELECT root, node, NULL AS dst FROM l) GROUP BY root".replace("string_agg(DISTINCT dst, ',' ORDER BY dst) AS outside FROM (SELECT root, node, NULL AS dst FROM l) GROUP BY root", "max(o.outside) AS outside FROM l JOIN (SELECT root AS r, string_agg(DISTINCT x.dst, ',' ORDER BY x.dst) AS outside FROM l JOIN x ON x.src = l.node GROUP BY root) o ON o.r = l.root GROUP BY root").replace("0::BIGINT AS missing, ", ""))
 def import_closure(spark, d):
     """Modules found and modules outside, for each module."""
     _, reached = _reached(spark, d)
-    return reached.groupBy("root").agg(F.count_if("found").alias("found"), F.array_join(F.array_sort(F.collect_set(F.when(~F.col("found"), F.col("node")))), ",").alias("outside"))
+    # Modules found are counted first, so that few rows of a root are left for the set.
+    few = reached.all().groupBy("root", F.when(~F.col("found"), F.col("node")).alias("other")).agg(F.count_if("found").alias("n"))
+    return few.groupBy("root").agg(F.sum("n").alias("found"), F.array_join(F.array_sort(F.collect_set("other")), ",").alias("outside"))
 
 
 @query(f"WITH RECURSIVE {_IMPORTS}, a AS (SELECT p_partkey AS entry, p_partkey AS k, 0::BIGINT AS depth FROM part UNION ALL SELECT src, dst, 1 FROM e UNION ALL SELECT e.src, f.dst, 2 FROM e JOIN e f ON f.src = e.dst) SELECT 'M.P' || entry AS entry, 'M.P' || k AS module, min(depth) AS depth FROM a WHERE k IN (SELECT p_partkey FROM part) GROUP BY ALL")
 def reference_expand(spark, d):
     """Declarations within two references of each module's step, resolved by name among what it imports."""
-    sources, reached = _reached(spark, d)
+    sources, scope = _reached(spark, d)
     decl = cut(parsers.scan_declarations(sources).withColumn("key", F.concat_ws(":", "module", "line")))
-    scope = cut(reached.where("found").select(F.col("root").alias("entry"), F.col("node").alias("in_module")))
     entries = sources.select(F.col("module").alias("entry"), "module", F.col("code").alias("text"))
     targets = entries.select("entry", F.concat(F.lit("step_number_"), F.substring("module", 4, 20)).alias("target"))
     start, _, _ = graph.seeds(entries, targets, decl, scope)

@@ -310,6 +310,40 @@ def test_names_are_chosen_when_they_are_one(spark):
     assert list(map(tuple, unclear.collect())) == [("e", "Q.twice")]
 
 
+def test_reach_in_tasks_and_in_rounds_is_the_same(spark, monkeypatch):
+    """Cycles, a root that reaches all, unknown and null roots, parts of the roots; a graph too large for a task is closed in rounds."""
+    rng = np.random.default_rng(9)
+    links = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 60, (90, 2))] + [("hub", f"n{i}") for i in range(60)] + [(None, "n1"), ("n2", None)]
+    e = spark.createDataFrame(links, "src string, dst string").repartition(3)
+    roots = spark.createDataFrame([(f"n{i}",) for i in range(60)] + [("hub",), ("unknown",)], "root string")
+    local = spark.createDataFrame([(f"n{i}",) for i in range(0, 60, 2)] + [("hub",)], "node string")
+
+    def walk(root, follow):
+        depth, new = {root: 0}, [root]
+        while new:
+            new = [b for b in dict.fromkeys(b for a, b in links if a in new and a is not None and follow(a)) if b not in depth]
+            depth |= {b: max(depth.values()) + 1 for b in new}
+        return depth
+
+    names, kept = [r.root for r in roots.collect()], {r.node for r in local.collect()}
+    want = {(r, n): d for r in names for n, d in walk(r, lambda a: True).items() if n is not None}
+    inner = {(r, n): n in kept for r in names for n in walk(r, kept.__contains__) if n is not None}
+    for reached, graph_size in ((graph.REACHED, graph.GRAPH), (20, graph.GRAPH), (20, 0)):
+        monkeypatch.setattr(graph, "REACHED", reached)
+        monkeypatch.setattr(graph, "GRAPH", graph_size)
+        assert {(r.root, r.node): r.depth for r in graph.closure(e, roots).where("node IS NOT NULL").collect()} == want
+        assert {(r.root, r.node): r.found for r in graph.local_closure(e, roots, local).where("node IS NOT NULL").collect()} == inner
+        asked = spark.createDataFrame([(a, f"n{i}") for a in ("n1", "n2", "hub", "unknown") for i in range(60)], "entry string, in_module string")
+        got = graph.Reach(e, roots, local).within(asked, "entry", "in_module")
+        assert {tuple(r) for r in got.collect()} == {p for p, found in inner.items() if found and p[0] in ("n1", "n2", "hub", "unknown") and p[1] != "hub"}
+    monkeypatch.setattr(graph, "GRAPH", 1 << 25)
+    assert "Join" not in graph.closure(e, roots)._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    small = graph._Graph.__new__(graph._Graph)
+    small.nodes, small.begin, small.ends = e.toArrow().slice(0, 4), np.array([0, 3, 4, 4, 4]), np.array([1, 2, 3, 0])
+    monkeypatch.setattr(graph, "REACHED", 3)
+    assert sorted((int(a), int(n), int(d)) for x in small.reach(np.array([0, 1, 2]), 9) for a, n, d in zip(*x)) == [(0, 0, 0), (0, 1, 1), (0, 2, 1), (0, 3, 1), (1, 0, 1), (1, 1, 0), (1, 2, 2), (1, 3, 2), (2, 2, 0)]
+
+
 def test_isolates_are_placed_in_a_row(spark):
     e, f = edges(spark, {"a": ["x"], "b": ["x"], "c": ["y"], "d": [], "z": ["w"]})
     got = {r.family: (r.place, r.x) for r in coupling.isolates(e, f, coupling.pairs(e, f)).collect()}
