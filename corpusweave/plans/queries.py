@@ -398,9 +398,7 @@ def identifier_extract(spark, d):
 @query("WITH r AS (SELECT p_partkey AS id, p_name AS title, p_brand AS surname, p_size AS y FROM part) SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.title = b.title AND a.surname = b.surname AND a.id < b.id AND (a.y IS NULL OR b.y IS NULL OR abs(a.y - b.y) <= 3)")
 def title_author_year_join(spark, d):
     r = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("surname"), F.col("p_size").alias("y"))
-    a, b = r.select(*(F.col(c).alias(f"{c}_a") for c in r.columns)), r
-    near = F.col("y_a").isNull() | F.col("y").isNull() | (F.abs(F.col("y_a") - F.col("y")) <= 3)
-    return a.join(b, (F.col("title_a") == F.col("title")) & (F.col("surname_a") == F.col("surname")) & (F.col("id_a") < F.col("id")) & near).select(F.col("id_a").alias("a"), F.col("id").alias("b"))
+    return resolve.near_years(r, 3)
 
 
 _RECORD = ("record", "title", "authors", "year", "citation", "raw", "doi", "arxiv", "url", "source", "families")

@@ -344,6 +344,19 @@ def test_reach_in_tasks_and_in_rounds_is_the_same(spark, monkeypatch):
     assert sorted((int(a), int(n), int(d)) for x in small.reach(np.array([0, 1, 2]), 9) for a, n, d in zip(*x)) == [(0, 0, 0), (0, 1, 1), (0, 2, 1), (0, 3, 1), (1, 0, 1), (1, 1, 0), (1, 2, 2), (1, 3, 2), (2, 2, 0)]
 
 
+def test_records_of_near_years(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    recs = [(i, ["t", "u", None][int(rng.integers(0, 3))], "ab"[int(rng.integers(0, 2))], None if i % 9 == 0 else int(rng.integers(0, 20))) for i in range(160)]
+    want = Counter((a[0], b[0]) for a in recs for b in recs if a[0] < b[0] and a[1] == b[1] and a[1] and a[2] == b[2] and (a[3] is None or b[3] is None or abs(a[3] - b[3]) <= 3))
+    table = spark.createDataFrame(recs, "id long, title string, surname string, y int")
+    for of_key, of_task in ((4096, 1 << 22), (3, 200)):
+        monkeypatch.setattr(resolve, "RECORDS_OF_KEY", of_key)
+        monkeypatch.setattr(resolve, "PAIRS_OF_TASK", of_task)
+        got = resolve.near_years(table, 3)
+        assert Counter(map(tuple, got.collect())) == want
+    assert got.rdd.getNumPartitions() > 8  # a task for so many pairs, however few titles there are
+
+
 def test_isolates_are_placed_in_a_row(spark):
     e, f = edges(spark, {"a": ["x"], "b": ["x"], "c": ["y"], "d": [], "z": ["w"]})
     got = {r.family: (r.place, r.x) for r in coupling.isolates(e, f, coupling.pairs(e, f)).collect()}
